@@ -6,16 +6,73 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import minhash
+from tessera.llm import bpe, fingerprints, licenses, line_dedup, minhash, packing, pii, quality_classifier, quality_rules, warc
 from tessera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file; the same on driver and executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threshold-scaled fingerprints of documents and of edited texts of them."""
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences of at most 1024 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of documents: 3-word shingles, similarity 85 % or more."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
-QUERIES: dict[str, Query] = {"op3_minhash": op3_minhash}
-ORACLE_SQL: dict[str, str] = {}
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics of documents, judged by an isolation forest."""
+    return quality_rules.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the BPE ids of documents and of what they decode to."""
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without cross-site boilerplate lines."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in documents, plain and disguised."""
+    return pii.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of documents by supervised subword embeddings."""
+    return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to dictionary-compressed archives and read back."""
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families that documents name."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_fingerprints, op2_packing, op3_minhash, op4_quality_rules, op5_bpe, op6_line_dedup, op7_pii, op8_quality_classifier, op9_warc, op10_licenses,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.dedup_report_sql()}
