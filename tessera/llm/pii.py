@@ -14,6 +14,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -252,8 +253,6 @@ def mask_documents(docs: DataFrame) -> DataFrame:
 
     Null texts stay null; all rows and columns stay.
     """
-    import pandas as pd
-
     def masked(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else mask(t))
 

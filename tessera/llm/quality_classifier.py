@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -166,16 +167,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS)
     """The rows of docs, with all their columns, whose score is 0.5 or more."""
     model = train(*training_rows(docs, labels, "quality", train_rows))
 
-    def scores(batches):
-        import pandas as pd
-
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for raw in batches:
             yield pd.Series([model.score(x or b"") for x in raw], dtype="float64")
 
-    from collections.abc import Iterator as It
-
-    import pandas as pd
-
-    scores.__annotations__ = {"batches": It[pd.Series], "return": It[pd.Series]}
     score = F.pandas_udf(scores, "double")
     return docs.where(score(F.col("text").cast("binary")) >= 0.5)
