@@ -109,8 +109,8 @@ WITH lines AS (
 SELECT d.doc_id, coalesce(j.n_lines, 0) AS n_lines, coalesce(j.n_removed, 0) AS n_removed,
        CASE WHEN d.text IS NOT NULL THEN coalesce(j.kept, '') END AS text
 FROM {documents} d LEFT JOIN (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed,
-         string_agg(line, chr(10) ORDER BY at) FILTER (stays) AS kept
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_removed,
+         string_agg(line, chr(10) ORDER BY at) FILTER (WHERE stays) AS kept
   FROM judged GROUP BY doc_id
 ) j ON d.doc_id = j.doc_id
 """
