@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import shared_table
+
 #: A line shown by so many distinct sources or more is boilerplate.
 MIN_SITES = 3
 #: Lines of fewer words are left alone: short ones coincide by chance.
@@ -27,10 +29,11 @@ def _lines(text: str) -> Column:
 
 
 def _name(line: Column) -> Column:
-    """Hash of the line in lower case (A-Z), white space collapsed; null if too short."""
-    plain = F.trim(F.regexp_replace(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[ \t\r\f\x0b]+", " "))
-    words = F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1
-    return F.when(words >= MIN_WORDS, F.xxhash64(plain))
+    """Hash of the line in lower case, white space collapsed; null if it is too short.
+    The expression engine meets few lines with white space to collapse."""
+    odd = line.contains("  ") | line.contains("\t") | line.contains("\r") | line.contains("\f") | line.contains("\x0b")
+    plain = F.trim(F.lower(F.when(odd, F.regexp_replace(line, "[ \t\r\f\x0b]+", " ")).otherwise(line)))
+    return F.when(F.substring_index(plain, " ", MIN_WORDS - 1) != plain, F.xxhash64(plain))
 
 
 def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
@@ -58,15 +61,16 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     site; a null doc_id is larger than any.  Rows repeating a doc_id are treated alike.
     All rows and columns stay, and an empty table gives an empty result.
     """
-    key = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").cast("long").alias("b"))
-    named = docs.select(key.alias("doc"), F.col("source").cast("string").alias("site"), F.transform(_lines("text"), _name).alias("names"))
-    lines = named.select("doc", "site", F.explode(F.array_distinct("names")).alias("name")).where("name is not null")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    names = F.array_compact(F.array_distinct(F.transform(_lines("text"), _name)))
+    named = docs.select(key.alias("doc"), F.col("source").cast("string").alias("site"), names.alias("names"))
+    lines = shared_table(named, "names").select("doc", "site", F.explode("names").alias("name"))
     found = boilerplate(lines, min_sites)
     hits = lines.join(found, "name").select("doc", "name", (F.col("doc") == F.col("first_doc")).alias("own"))
     marks = hits.groupBy("doc").agg(
         F.collect_set(F.when(~F.col("own"), F.col("name"))).alias("__gone"), F.collect_set(F.when(F.col("own"), F.col("name"))).alias("__once")
     )
-    joined = docs.withColumn("__key", key).join(marks.withColumnRenamed("doc", "__of"), F.col("__key").eqNullSafe(F.col("__of")), "left")
+    joined = docs.withColumn("__key", key).join(marks.withColumnRenamed("doc", "__of"), F.col("__key") == F.col("__of"), "left")
     names = F.transform(_lines("text"), _name)
     keep = F.when(F.col("__of").isNull(), _lines("text")).otherwise(
         F.transform(
@@ -93,24 +97,24 @@ def dedup_report_sql(min_sites: int = MIN_SITES, documents: str = "documents") -
     """DuckDB SQL for doc_id, n_lines, n_removed, text of dedup_lines."""
     return f"""
 WITH lines AS (
-  SELECT doc_id, source, u.line, u.at,
-         trim(regexp_replace(translate(u.line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\r\\f\\x0b]+', ' ', 'g')) AS plain
+  SELECT doc_id, source, u.line, u.pos,
+         trim(lower(regexp_replace(u.line, '[ \\t\\r\\f\\x0b]+', ' ', 'g'))) AS plain
   FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM {documents} WHERE text IS NOT NULL) d,
-       LATERAL (SELECT unnest(parts) AS line, generate_subscripts(parts, 1) AS at) u
+       LATERAL (SELECT unnest(parts) AS line, generate_subscripts(parts, 1) AS pos) u
 ), long AS (
   SELECT *, length(plain) - length(replace(plain, ' ', '')) + 1 >= {MIN_WORDS} AS counts FROM lines
 ), found AS (
   SELECT plain, min(doc_id) AS first_doc FROM long WHERE counts GROUP BY plain HAVING count(DISTINCT source) >= {min_sites}
 ), judged AS (
-  SELECT l.doc_id, l.line, l.at,
-         f.plain IS NULL OR (l.doc_id = f.first_doc AND row_number() OVER (PARTITION BY l.doc_id, l.plain ORDER BY l.at) = 1) AS stays
+  SELECT l.doc_id, l.line, l.pos,
+         f.plain IS NULL OR (l.doc_id = f.first_doc AND row_number() OVER (PARTITION BY l.doc_id, l.plain ORDER BY l.pos) = 1) AS stays
   FROM long l LEFT JOIN found f ON l.counts AND l.plain = f.plain
 )
 SELECT d.doc_id, coalesce(j.n_lines, 0) AS n_lines, coalesce(j.n_removed, 0) AS n_removed,
        CASE WHEN d.text IS NOT NULL THEN coalesce(j.kept, '') END AS text
 FROM {documents} d LEFT JOIN (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_removed,
-         string_agg(line, chr(10) ORDER BY at) FILTER (WHERE stays) AS kept
+         string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays) AS kept
   FROM judged GROUP BY doc_id
 ) j ON d.doc_id = j.doc_id
 """
