@@ -25,7 +25,7 @@ from tessera.llm.common import arrow_batches, arrow_rows, partitions, shared_tab
 
 SKIPPABLE = 0x184D2A5D
 #: Records and bytes of an archive, records and bytes that its dictionary is built from.
-ARCHIVE_RECORDS, ARCHIVE_BYTES = 4000, 64 << 20
+ARCHIVE_RECORDS, ARCHIVE_BYTES = 1000, 64 << 20
 SAMPLE_RECORDS, SAMPLE_BYTES, DICT_BYTES = 400, 4 << 20, 64 << 10
 _FRAMES = pa.schema([("archive", pa.string()), ("seq", pa.int32()), ("frame", pa.binary())])
 
