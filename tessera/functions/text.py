@@ -100,7 +100,7 @@ def word_columns(line: Column | str, word: str) -> Column:
     pieces = F.transform(F.split(col(line), whole_word(word), -1), lambda p: F.length(p))
     ends = F.aggregate(
         F.slice(pieces, 1, F.size(pieces) - 1), F.array().cast("array<int>"),
-        lambda acc, n: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1) + len(word), F.lit(0)) + n)),
+        lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)) + len(word), F.lit(0)) + n)),
     )
     return F.when(F.size(pieces) > 1, ends).otherwise(F.array().cast("array<int>"))
 

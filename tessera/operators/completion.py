@@ -62,7 +62,7 @@ def include_items(headers: DataFrame, prefix: str) -> DataFrame:
     name = insert_path("path")
     rest = F.substring(name, F.lit(len(prefix) + 1), F.length(name))
     begins = F.lower(name).startswith(low)
-    slashed = F.ltrim(F.lit("/"), rest) if prefix else rest
+    slashed = F.ltrim(rest, F.lit("/")) if prefix else rest
     lead = F.when(rest.startswith("/"), F.lit(prefix + "/")).otherwise(F.lit(prefix))
     label = F.concat(lead, F.substring_index(slashed, "/", 1), F.when(slashed.contains("/"), "/").otherwise(""))
     whole = F.lit("/" not in prefix) & F.lower(tx.file_name(name)).startswith(low)
