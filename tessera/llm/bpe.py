@@ -16,7 +16,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -31,10 +31,38 @@ from tessera.llm.packing import byte_alphabet
 _SETTLED = regex.compile(r"[\u0000-՗ա-ֆא-תء-يऄ-हก-ะḀ-ỿ‐-⁞€℀-⅏←-⏿─-➿぀-ゔァ-ヺ一-龥가-힣！-～\U0001F300-\U0001F64F]*+")
 
 
+class _Recent:
+    """Bounded memory of a function: two generations of at most `limit` entries; what is
+    used again moves to the young one, the old one goes when that is full."""
+
+    def __init__(self, make: Callable, limit: int) -> None:
+        self.make, self.limit = make, limit
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def one(self, key):
+        known = self.young.get(key)
+        if known is None:
+            known = self.old.get(key)
+            if known is None:
+                known = self.make(key)
+            if len(self.young) >= self.limit:
+                self.old, self.young = self.young, {}
+            if len(key) <= 64:
+                self.young[key] = known
+        return known
+
+    def all(self, keys: list) -> list:
+        found = list(map(self.young.get, keys))
+        if None in found:
+            found = [self.one(k) if v is None else v for k, v in zip(keys, found, strict=True)]
+        return found
+
+
 class WordBpe:
     """Encoder and decoder of a word-level BPE file with an end-of-word suffix."""
 
-    def __init__(self, path: str, cache: int = 300_000) -> None:
+    def __init__(self, path: str, cache: int = 100_000) -> None:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -61,9 +89,8 @@ class WordBpe:
         self.find_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
         library = Tokenizer.from_file(path)
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
-        self.limit = cache
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.fragments: dict[tuple[bytes, bool], tuple[int, ...]] = {}
+        self.words = _Recent(self.word, cache)
+        self.fragments = _Recent(self._fragment, cache)
 
     def _inside(self, symbol: dict[int, str]) -> bytearray:
         """1 for each pair of bytes (256 * first + second) inside some token."""
@@ -86,46 +113,40 @@ class WordBpe:
         parts = self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(text))
         return [bytes(back[c] for c in part).decode("utf-8", "surrogateescape") for part, _ in parts]
 
+    def runs(self, text: str) -> Iterator[tuple[list[str], int | None]]:
+        """Words between added tokens, each run with the token before it (None at first)."""
+        parts = self.find_added.split(text) if any(name in text for name in self.added) else [text]
+        yield self.words_of(parts[0]), None
+        for token, part in zip(parts[1::2], parts[2::2], strict=True):
+            yield self.words_of(part), self.added[token]
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        for ids in self.encode_words(text):
-            out += ids
+        for words, special in self.runs(text):
+            if special is not None:
+                out.append(special)
+            for ids in self.words.all(words):
+                out += ids
         return out
 
-    def encode_words(self, text: str) -> Iterator[tuple[int, ...]]:
-        special = any(name in text for name in self.added)
-        for i, part in enumerate(self.find_added.split(text) if special else (text,)):
-            if i % 2:
-                yield (self.added[part],)
-                continue
-            for word in self.words_of(part):
-                ids = self.words.get(word)
-                yield self.word(word) if ids is None else ids
+    def shown(self, ids: tuple[int, ...]) -> tuple[str, str]:
+        """Decimal ids and decoded text, both joined by spaces."""
+        return " ".join(map(str, ids)), self.decode(ids)
 
     def word(self, word: str) -> tuple[int, ...]:
         raw = word.encode("utf-8", "surrogateescape")
         cuts = [i for i in range(1, len(raw)) if not self.inside[raw[i - 1] << 8 | raw[i]]]
         ids: tuple[int, ...] = ()
         for a, b in zip([0, *cuts], [*cuts, len(raw)], strict=True):
-            ids += self.fragment(raw[a:b], b == len(raw))
-        if len(self.words) >= self.limit:
-            self.words.clear()
-        if len(raw) <= 64:
-            self.words[word] = ids
+            ids += self.fragments.one((raw[a:b], b == len(raw))) if len(cuts) else self._fragment((raw, True))
         return ids
 
-    def fragment(self, raw: bytes, last: bool) -> tuple[int, ...]:
-        known = self.fragments.get((raw, last))
-        if known is None:
-            ids = [self.plain[b] for b in raw]
-            if last:
-                ids[-1] = self.final[raw[-1]]
-            known = tuple(self._merge_few(ids) if len(ids) <= 24 else self._merge_many(ids))
-            if len(self.fragments) >= self.limit:
-                self.fragments.clear()
-            if len(raw) <= 64:
-                self.fragments[raw, last] = known
-        return known
+    def _fragment(self, key: tuple[bytes, bool]) -> tuple[int, ...]:
+        raw, last = key
+        ids = [self.plain[b] for b in raw]
+        if last:
+            ids[-1] = self.final[raw[-1]]
+        return tuple(self._merge_few(ids) if len(ids) <= 24 else self._merge_many(ids))
 
     def _merge_few(self, ids: list[int]) -> list[int]:
         merges, none = self.merges, (1 << 30, 0)
@@ -168,7 +189,7 @@ class WordBpe:
             offer(i)
         return [x for x, ok in zip(ids, alive, strict=True) if ok]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """As the library decodes without a decoder: tokens joined by one space."""
         return " ".join(self.names[i] for i in ids)
 
@@ -185,19 +206,17 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def rows(source: Iterator[tuple]) -> Iterator[tuple]:
         bpe = WordBpe(vocabulary)
-        shown: dict[tuple[int, ...], tuple[str, str]] = {}
+        shown = _Recent(lambda word: bpe.shown(bpe.word(word)), 250_000)
         for doc_id, text in source:
-            n, digits, names = 0, [], []
-            for ids in bpe.encode_words(text or ""):
-                n += len(ids)
-                both = shown.get(ids)
-                if both is None:
-                    if len(shown) >= bpe.limit:
-                        shown.clear()
-                    both = shown[ids] = " ".join(map(str, ids)), bpe.decode(ids)
-                digits.append(both[0])
-                names.append(both[1])
-            yield doc_id, n, *(hashlib.sha256(" ".join(x).encode()).hexdigest() for x in (digits, names))
+            parts: list[tuple[str, str]] = []
+            for word_run, special in bpe.runs(text or ""):
+                if special is not None:
+                    parts.append(bpe.shown((special,)))
+                parts += shown.all(word_run)
+            digits = " ".join([p[0] for p in parts])
+            names = " ".join([p[1] for p in parts])
+            n = digits.count(" ") + 1 if digits else 0
+            yield doc_id, n, hashlib.sha256(digits.encode()).hexdigest(), hashlib.sha256(names.encode()).hexdigest()
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return map_rows(picked, rows, ["doc_id", "text"], schema, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
