@@ -85,7 +85,9 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
             lambda x: x["line"],
         )
     )
-    out = joined.withColumn("__names", F.when(F.col("__of").isNotNull(), names)).withColumn("__kept", keep)
+    # The generator keeps later filters from being pushed below, which would judge lines twice.
+    judged = joined.withColumn("__names", F.when(F.col("__of").isNotNull(), names)).withColumn("__judged", keep)
+    out = judged.withColumn("__kept", F.explode(F.array("__judged")))
     total = F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines("text")))
     left = F.when(F.col("text").isNull(), 0).otherwise(F.size("__kept"))
     text = F.when(F.col("text").isNotNull(), F.array_join("__kept", "\n"))

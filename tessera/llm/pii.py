@@ -14,7 +14,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -253,8 +252,13 @@ def mask_documents(docs: DataFrame) -> DataFrame:
 
     Null texts stay null; all rows and columns stay.
     """
-    def masked(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else mask(t))
+    at = docs.columns.index("text")
 
-    out = docs.withColumn("text", F.pandas_udf(masked, "string")("text"))
+    def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(at)
+            new = (None if (t := x.as_py()) is None else mask(t) for x in column)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(new, column.type))
+
+    out = docs.mapInArrow(masked, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -167,9 +166,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS)
     """The rows of docs, with all their columns, whose score is 0.5 or more."""
     model = train(*training_rows(docs, labels, "quality", train_rows))
 
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for raw in batches:
-            yield pd.Series([model.score(x or b"") for x in raw], dtype="float64")
+    at = docs.columns.index("text")
 
-    score = F.pandas_udf(scores, "double")
-    return docs.where(score(F.col("text").cast("binary")) >= 0.5)
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = batch.column(at).cast(pa.binary())
+            yield batch.filter(pa.array([model.score(x.as_py() or b"") >= 0.5 for x in raws], pa.bool_()))
+
+    return docs.mapInArrow(good, docs.schema)
