@@ -63,11 +63,14 @@ def match_rank(candidate: Column | str, prefix: str) -> Column:
 def _ordered(words: Column, parts: list[str]) -> Column:
     """Least 10 * start + gaps over the starts from which the parts match greedily."""
 
+    def next_match(part: str, at: Column) -> Column:
+        return F.array_min(F.transform(words, lambda w, i: F.when((i > at) & w.startswith(part), i)))
+
     def from_start(word: Column, start: Column) -> Column:
-        # State: index of the last matched word (null once a part fails), gaps so far.
+        # Index of the last matched word (null once a part fails) and gaps so far.
         at, gaps = start, F.lit(0)
         for part in parts[1:]:
-            found = F.array_min(F.transform(words, lambda w, i, part=part, at=at: F.when((i > at) & w.startswith(part), i)))
+            found = next_match(part, at)
             gaps = gaps + found - at - 1
             at = found
         return F.when(word.startswith(parts[0]), start * 10 + gaps)

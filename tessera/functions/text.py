@@ -19,6 +19,14 @@ def ascii_lower(c: Column | str) -> Column:
     return F.translate(col(c), _UPPER, _LOWER)
 
 
+_WHITE = " \t\r\n\f\x0b"
+
+
+def strip(c: Column | str) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(col(c), F.lit(_WHITE))
+
+
 def contains_ci(c: Column | str, text: str) -> Column:
     return F.lower(col(c)).contains(text.lower())
 
@@ -117,8 +125,8 @@ def in_code(line: Column | str, column: Column) -> Column:
 def usage_kind(line: Column | str, column: Column, word: str) -> Column:
     """declaration, definition, call, write or read, by what stands around the word."""
     text = col(line)
-    left = F.rtrim(F.substring(text, F.lit(1), column))
-    right = F.ltrim(F.substring(text, column + 1 + len(word), F.length(text)))
+    left = F.rtrim(F.substring(text, F.lit(1), column), F.lit(_WHITE))
+    right = F.ltrim(F.substring(text, column + 1 + len(word), F.length(text)), F.lit(_WHITE))
     assigned = right.startswith("=") | F.substring(right, 1, 2).isin("+=", "-=", "*=", "/=")
     return (
         F.when(text.contains("UPROPERTY(") | text.contains("UFUNCTION("), "declaration")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as tx
+
 LOOK_AHEAD, BODY_AHEAD, ACCESS_BEHIND = 8, 20, 80
 # The two line forms of build logs.
 COMPILER = r"^([A-Za-z]:[^\r\n()]+)\((\d+)(?:,(\d+))?\):\s*(fatal error|error|warning)\s*([A-Z]+\d+):\s*(.+)$"
@@ -44,7 +46,7 @@ def rule_diagnostics(lines: DataFrame) -> DataFrame:
     declaration disagree, UHT002 no generated body, UEBP001 callable without category,
     UEBP002 private read-write property without access."""
     w = Window.partitionBy("path").orderBy("line")
-    text = F.trim("text")
+    text = tx.strip("text")
     window = F.collect_list(F.struct("line", text.alias("t"))).over(w.rowsBetween(0, LOOK_AHEAD + BODY_AHEAD))
     access = F.when(text.isin("public:", "protected:", "private:"), F.regexp_replace(text, ":", ""))
     marked = carry_forward(lines, access, "private", ACCESS_BEHIND, ["path"], "line")

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from tessera.operators.ordered import first_wins
 from tessera.plans.storage import shared_table
 
+#: Steps that one round takes before it drops what is known.
+HOPS = 3
+
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, include_seeds: bool = True) -> DataFrame:
     """(seed, node, depth) of all that the seeds reach over edges(src, dst).
@@ -23,23 +26,21 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, includ
     """
     links = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
     known = shared_table(seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("depth", F.lit(0)), "seeds")
-    frontier, rounds = known, [known]
-    depth = 0
+    frontier, rounds, depth = known, [known], 0
     while max_depth is None or depth < max_depth:
-        depth += 1
-        step = frontier.join(links, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
-        seen = rounds[0]
-        for r in rounds[1:]:
-            seen = seen.union(r)
-        if not include_seeds and depth == 1:
-            seen = seen.limit(0)
-        elif not include_seeds:
-            seen = seen.where("depth > 0")
-        fresh = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        frontier = shared_table(fresh.select("seed", "node", "depth"), "frontier")
+        hops = HOPS if max_depth is None else min(HOPS, max_depth - depth)
+        seen = _union(rounds) if include_seeds else _union(rounds).where("depth > 0")
+        at, steps = frontier.select("seed", "node"), []
+        for hop in range(1, hops + 1):
+            at = at.join(links, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
+            steps.append(at.withColumn("depth", F.lit(depth + hop)))
+        nearest = _union(steps).groupBy("seed", "node").agg(F.min("depth").alias("depth"))
+        fresh = shared_table(nearest.join(seen.select("seed", "node"), ["seed", "node"], "left_anti"), "round")
+        depth += hops
+        frontier = fresh.where(F.col("depth") == depth)
+        rounds.append(fresh)
         if frontier.isEmpty():
             break
-        rounds.append(frontier)
         if len(rounds) > 12:  # keeps the union of rounds short
             rounds = [shared_table(_union(rounds), "visited")]
     found = _union(rounds)

@@ -90,7 +90,7 @@ def header_sources(headers: DataFrame) -> DataFrame:
 def without_definition(declared: DataFrame, sources: DataFrame) -> DataFrame:
     """Anti-join by containment: declared(path, signature) that none of their candidate
     sources(path, text) holds, blanks collapsed on both sides."""
-    plain = lambda c: F.regexp_replace(F.trim(c), r"\s+", " ")
+    plain = lambda c: F.regexp_replace(tx.strip(c), r"\s+", " ")
     asked = header_sources(declared).select("path", "signature", F.col("source").alias("__at"))
     held = asked.join(sources.select(F.col("path").alias("__at"), plain(F.col("text")).alias("__text")), "__at")
     defined = held.where(F.col("__text").contains(plain(F.col("signature")))).select("path", "signature").distinct()

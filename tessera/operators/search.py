@@ -69,7 +69,7 @@ def grep(texts: DataFrame, pattern: str, limit: int = 100, offset: int = 0, orde
     limit = clamp(limit, 100, *TEXT_LIMIT)
     source = texts.where(tx.contains_ci("text", pattern)) if pattern else texts.limit(0)
     lines = source.select(*order, F.posexplode(tx.text_lines("text")).alias("at", "raw"))
-    hits = lines.where(tx.contains_ci("raw", pattern)).select(*order, (F.col("at") + 1).alias("line"), F.trim("raw").alias("text"))
+    hits = lines.where(tx.contains_ci("raw", pattern)).select(*order, (F.col("at") + 1).alias("line"), tx.strip("raw").alias("text"))
     return top(hits, [*order, "line"], limit, offset)
 
 

@@ -446,7 +446,8 @@ def usage_kinds(spark, d):
 
 
 @query("path:s", """
-SELECT path FROM (SELECT path FROM core UNION SELECT 'src' || (p_partkey % 20) FROM part WHERE 'src' || (p_partkey % 7) IN (SELECT path FROM core)) u ORDER BY path LIMIT 2000""",
+SELECT path FROM (SELECT path FROM core UNION SELECT 'src' || (p_partkey % 20) FROM part WHERE 'src' || (p_partkey % 7) IN (SELECT path FROM core)
+  UNION SELECT source FROM documents WHERE NOT EXISTS (SELECT 1 FROM core)) u ORDER BY path LIMIT 2000""",
     "core AS (SELECT DISTINCT source AS path FROM documents WHERE contains(text, 'license') UNION SELECT DISTINCT source FROM documents WHERE contains(text, 'token ='))")
 def candidate_files(spark, d):
     """Sources that define or call, and those that include them."""
