@@ -1,15 +1,15 @@
-"""Session plumbing shared by the operators: tables, shared storage, components."""
+"""Session plumbing shared by the operators: tables, row streams, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.storage import shared_table
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,28 +19,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one of our own only where none is set."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not known:
-        known = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.sparkContext.setCheckpointDir(known)
-        known = spark.sparkContext.getCheckpointDir()
-    return known.rstrip("/")
-
-
-def shared_table(df: DataFrame, tag: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: cuts lineage, survives lost
-    executors, and fixes the rows that several later jobs read.  The folder goes when
-    the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def arrow_rows(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """Rows of a mapInArrow input as tuples of Python values."""
     for batch in batches:

@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_batches, arrow_rows, components, map_rows, partitions, shared_table
+from tessera.llm.common import arrow_batches, arrow_rows, components, map_rows, partitions
 from tessera.llm.textkit import mix64, shingle_set
+from tessera.plans.storage import shared_table
 
 POSITIONS = 64
 #: Weight of a block in shingles; bounds the memory of a task to two blocks.
