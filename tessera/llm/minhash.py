@@ -218,7 +218,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     held = found.where("node is not null")
     classes = held.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("weight"), F.first("sig").alias("sig"))
     classes = shared_table(classes, "classes")
-    keys = classes.select("node", _key_column(distance_threshold(percent)).alias("key"))
+    spread = classes.repartition(partitions(docs.sparkSession))  # a row becomes dozens of keys
+    keys = spread.select("node", _key_column(distance_threshold(percent)).alias("key"))
     firsts = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
     keyed = shared_table(keys.join(firsts, "key"), "keys")
     tasks = _meetings(_blocks(keyed, classes.select("node", "weight")))
