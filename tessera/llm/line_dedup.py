@@ -13,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import partitions
 from tessera.plans.storage import shared_table
 
-
 #: A line shown by so many distinct sources or more is boilerplate.
 MIN_SITES = 3
 #: Lines of fewer words are left alone: short ones coincide by chance.
@@ -23,6 +23,9 @@ MIN_WORDS = 4
 #: Around the threshold, the share within which a sketch's estimate is not trusted
 #: (eight standard errors of 2^10 registers); at least one.
 _LG_K, _BAND = 10, 0.26
+#: Names that make up one part in so many of all repeated lines are hot: no more than
+#: that many can be, so their list is small enough to broadcast, whatever the corpus.
+HOT_NAMES = 1000
 
 
 def _lines(text: str) -> Column:
@@ -37,12 +40,33 @@ def _name(line: Column) -> Column:
     return F.when(F.substring_index(plain, " ", MIN_WORDS - 1) != plain, F.xxhash64(plain))
 
 
-def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
-    """(name, first_doc) of the names in lines(name, doc, site) that min_sites distinct
-    sites or more show."""
+def repeated(lines: DataFrame, least: int) -> DataFrame:
+    """(name, n, first_doc, hot) of the names that occur `least` times or more."""
     often = lines.groupBy("name").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc"))
-    often = often.where(F.col("n") >= min_sites).select("name", "first_doc")
-    seen = lines.join(often, "name").groupBy("name", "first_doc", "site").agg(F.lit(1).alias("one"))
+    often = shared_table(often.where(F.col("n") >= least), "repeated")
+    total = often.agg(F.sum("n")).first()[0] or 0
+    return often.withColumn("hot", F.col("n") * HOT_NAMES >= F.lit(total))
+
+
+def join_salted(lines: DataFrame, named: DataFrame, hot: DataFrame) -> DataFrame:
+    """lines joined with named on name.  Rows of a hot name are dealt over all tasks by
+    document, to as many copies of its row in named; other names have one."""
+    salts = partitions(lines.sparkSession)
+    marked = F.broadcast(hot.select("name", F.lit(True).alias("__hot")))
+    left = lines.join(marked, "name", "left")
+    left = left.withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64("doc"), F.lit(salts))).otherwise(F.lit(0).cast("long"))).drop("__hot")
+    right = named.join(marked, "name", "left")
+    copies = F.when(F.col("__hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    right = right.withColumn("__salt", F.explode(copies)).drop("__hot")
+    return left.join(right, ["name", "__salt"]).drop("__salt")
+
+
+def boilerplate(lines: DataFrame, min_sites: int, often: DataFrame | None = None) -> DataFrame:
+    """(name, first_doc) of the names in lines(name, doc, site) that min_sites distinct
+    sites or more show; often: what `repeated` says of these lines, if known."""
+    often = repeated(lines, min_sites) if often is None else often
+    firsts = often.select("name", "first_doc")
+    seen = join_salted(lines, firsts, often.where("hot")).groupBy("name", "first_doc", "site").agg(F.lit(1).alias("one"))
     spread = seen.groupBy("name", "first_doc").agg(F.hll_sketch_agg("site", _LG_K).alias("sketch"))
     sized = spread.select("name", "first_doc", F.hll_sketch_estimate("sketch").alias("sites"))
     band = max(1.0, _BAND * min_sites)
@@ -66,8 +90,9 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     names = F.array_compact(F.array_distinct(F.transform(_lines("text"), _name)))
     named = docs.select(key.alias("doc"), F.col("source").cast("string").alias("site"), names.alias("names"))
     lines = shared_table(named, "names").select("doc", "site", F.explode("names").alias("name"))
-    found = boilerplate(lines, min_sites)
-    hits = lines.join(found, "name").select("doc", "name", (F.col("doc") == F.col("first_doc")).alias("own"))
+    often = repeated(lines, min_sites)
+    found = boilerplate(lines, min_sites, often)
+    hits = join_salted(lines, found, often.where("hot")).select("doc", "name", (F.col("doc") == F.col("first_doc")).alias("own"))
     marks = hits.groupBy("doc").agg(
         F.collect_set(F.when(~F.col("own"), F.col("name"))).alias("__gone"), F.collect_set(F.when(F.col("own"), F.col("name"))).alias("__once")
     )
