@@ -16,7 +16,7 @@ from tessera.functions import matching as mt
 from tessera.functions import text as tx
 from tessera.index import Index
 from tessera.operators import assets, catalog, completion, diagnostics, graph, links, ordered, search, usage
-from tessera.sources import cpp
+from tessera.sources import cpp, words
 from tessera.sources import files as fs
 
 FUNCTION = "%function%"
@@ -267,6 +267,16 @@ class Engine:
         at = self.behind if scope == "engine" and self.behind is not None else self.index
         return search.grep(at.texts, pattern, limit, offset)
 
+    def references(self, symbol: str, current: str | None = None, limit: int = usage.RESULT_CAP, scope: str = "global") -> DataFrame:
+        """Usages here, then, unless the scope is local or a member's, in the index behind;
+        a place counts once, the first `limit` in that order."""
+        own = ordered.tag_source(self.symbol_usages(symbol, current, limit), "project")
+        if self.behind is None or scope in ("local", "member"):
+            return own
+        more = ordered.tag_source(Engine(self.behind).symbol_usages(symbol, None, limit), "engine")
+        merged = ordered.first_wins(ordered.staged_union([own, more]), ["path", "line", "column"], ["stage"])
+        return ordered.top(merged.drop("ord"), ["stage", "path", "line", "column"], limit).drop("stage")
+
     def symbol_usages(self, symbol: str, current: str | None = None, limit: int = usage.RESULT_CAP) -> DataFrame:
         i = self.index
         named = lambda df: df.where(F.col("name") == symbol).select("path")
@@ -321,20 +331,22 @@ class Engine:
     def signature_help(self, function: str, arguments: str, class_name: str | None = None) -> DataFrame:
         """Overloads of a function in a class chain, else anywhere, and which parameter the
         text between the parenthesis and the cursor has come to."""
-        i = self.index
         is_function = tx.like_ci("type", FUNCTION) & (F.col("name") == function)
-        stages = []
-        if class_name:
-            chain = graph.bfs(self._edges(), self._ids(class_name)).select(F.col("node").alias("class_id"), "depth")
-            stages.append(i.members.where(is_function).join(chain, "class_id"))
-        stages.append(i.members.where(is_function).withColumn("depth", F.lit(0)))
-        hits = ordered.lowest_stage(ordered.staged_union(stages))
+        sources = []
+        for i in filter(None, (self.index, self.behind)):
+            stages = []
+            if class_name:
+                chain = graph.bfs(self._edges(i), self._ids(class_name, i)).select(F.col("node").alias("class_id"), "depth")
+                stages.append(i.members.where(is_function).join(chain, "class_id"))
+            stages.append(i.members.where(is_function).withColumn("depth", F.lit(0)))
+            sources.append(ordered.lowest_stage(ordered.staged_union(stages)).drop("stage"))
+        hits = ordered.staged_union(sources)
         label = F.concat(F.coalesce(F.concat("return_type", F.lit(" ")), F.lit("")), "name", F.coalesce("detail", F.lit("()")))
-        unique = ordered.first_wins(hits.withColumn("label", label), ["label", "path", "line"], ["depth"])
+        unique = ordered.first_wins(hits.withColumn("label", label), ["label", "path", "line"], ["stage", "depth"])
         active = max(0, len(cpp.split_top_level(arguments + "_")) - 1)
         inner = F.regexp_replace("detail", r"^\(|\)$", "")
         count = F.when(F.length(F.trim(inner)) > 0, F.size(F.split(inner, ","))).otherwise(0)
-        return ordered.top(unique, ["depth", "path", "line", "label"], OVERLOADS).withColumn("active", F.greatest(F.lit(0), F.least(F.lit(active), count - 1)))
+        return ordered.top(unique, ["stage", "depth", "path", "line", "label"], OVERLOADS).drop("stage").withColumn("active", F.greatest(F.lit(0), F.least(F.lit(active), count - 1)))
 
     def parse_buffer(self, text: str, path: str = "buffer") -> DataFrame:
         """Symbols of an unsaved text."""
@@ -343,30 +355,76 @@ class Engine:
     # --- completion --------------------------------------------------------------------------------
 
     def completions(self, text: str, line: int, column: int, within: str | None = None) -> DataFrame:
-        """Candidates at a cursor (line from 1, column from 0): include paths, members after
-        . or -> or ::, else locals, members of the enclosing class, and global types."""
+        """Candidates at a cursor (line from 1, column from 0): include paths, directives,
+        macro specifiers, members of an expression's type, else locals, buffer symbols,
+        members of the enclosing class, keywords and global types."""
+        spark, above = self.index.spark, text.split("\n")[: line - 1]
         head = text.split("\n")[line - 1][:column]
         if include := re.match(r'\s*#\s*include\s+["<]([^">]*)$', head):
             items = completion.include_items(self.index.files.where("is_header"), include[1])
             return items.select("label", "kind", "sort_text", F.col("ord"))
+        if directive := re.match(r"\s*#\s*(\w*)$", head):
+            return completion.word_items(spark, words.DIRECTIVES, directive[1], 40, 14)
+        if macro := cpp.open_macro("\n".join([*above, head])):
+            return completion.word_items(spark, words.macro_words(macro[0], macro[1]), macro[2], 80, 12)
         prefix = re.search(r"\w*$", head)[0]
-        before = head[: len(head) - len(prefix)]
-        if member := re.search(r"(\w+)\s*(?:\.|->|::)\s*$", before):
-            owner = within if member[1] == "this" else self._class_of(text, line, member[1])
-            return self._members(owner or "", prefix, within)
-        rows = {d.name: d.type for d in cpp.declarations(text) if d.line <= line}
-        spark = self.index.spark
-        local = spark.createDataFrame([(n, 6, n) for n in rows] or [("", 6, "")], "label string, kind int, name string").where(F.col("label") != "")
-        local = local.withColumn("rank", mt.match_rank("label", prefix)).where(F.col("rank") < mt.NONE)
-        local = local.withColumn("sort_text", mt.sort_text(F.col("rank") + 5, F.col("kind"), "label")).withColumn("ord", F.col("rank"))
-        stages = [local.select("label", "kind", "sort_text", "ord")]
+        if expression := cpp.receiver(head[: len(head) - len(prefix)]):
+            return self._members(self.expression_type(text, line, expression, within) or "", prefix, within)
+        local = [d.name for d in cpp.visible_declarations(text, line)]
+        parsed = cpp.parse(text)
+        stages = [
+            completion.word_items(spark, local, prefix, 5, 6, ranked=True),
+            completion.word_items(spark, [r[1] for r in parsed if r[0] == "class"], prefix, 200, 7, ranked=True),
+            completion.word_items(spark, [r[1] for r in parsed if r[0] == "member" and "function" in r[3]], prefix, 250, 2, ranked=True),
+        ]
         if within:
             stages.append(self._members(within, prefix, within))
+        if len(prefix) >= 2 and prefix == prefix.lower():
+            stages.append(completion.word_items(spark, words.KEYWORDS, prefix, 120, 14))
         if len(prefix) >= 3:
             g = completion.global_items(self.index.classes.withColumn("id", F.col("class_id")), prefix)
             stages.append(g.select(F.col("name").alias("label"), F.lit(7).alias("kind"), "sort_text", "ord"))
         return completion.merge_items(stages)
 
+    def expression_type(self, text: str, line: int, expression: str, within: str | None = None, depth: int = 4) -> str | None:
+        """The type of a chained expression at a line of a buffer, one lookup a hop; None
+        where a hop has no known type.  `auto` takes the type of what was assigned, up to
+        `depth` times."""
+        owner = None
+        for n, hop in enumerate(cpp.hops(expression)):
+            if n:
+                kind = self._member_type(owner, hop.name) or (words.KNOWN_CALLS.get(hop.name) if hop.called else None)
+            elif hop.name == "this":
+                kind = within
+            elif hop.called:
+                kind = hop.argument or (within and self._member_type(within, hop.name)) or words.KNOWN_CALLS.get(hop.name) or hop.name
+            else:
+                kind = self._variable_type(text, line, hop.name, within, depth)
+            for _ in range(hop.subscripts):
+                kind = kind and cpp.element_type(kind)
+            owner = kind and cpp.clean_type(kind)
+            if not owner:
+                return None
+        return owner
+
+    def _variable_type(self, text: str, line: int, name: str, within: str | None, depth: int) -> str:
+        found = cpp.variable_type(text, name, line)
+        if found and found.type == "auto":
+            given = cpp.assigned_text(text, name, line)
+            return (given and depth and self.expression_type(text, line, given, within, depth - 1)) or ""
+        return found.type if found else (within and self._member_type(within, name)) or name
+
+    def _member_type(self, owner: str, name: str) -> str | None:
+        """Type of a member in the nearest class of the chain, known ones before void,
+        longer ones first."""
+        for at in filter(None, (self.index, self.behind)):
+            found = Engine(at).class_members_recursive(owner).where(F.col("name") == name)
+            unknown = F.coalesce(F.col("return_type") == "void", F.lit(True))
+            hit = ordered.top(found, ["depth", unknown, F.length("return_type").desc_nulls_last(), "return_type"], 1).first()
+            if hit and hit["return_type"]:
+                return hit["return_type"]
+        return None
+
     def _members(self, owner: str, prefix: str, within: str | None) -> DataFrame:
         m = self.class_members_recursive(owner).withColumn("kind", F.when(F.lower("type").contains("function"), 2).otherwise(5))
         inside = F.lit(bool(within) and self.is_subclass(within, owner)) if within else F.lit(False)
@@ -377,12 +435,17 @@ class Engine:
     # --- diagnostics ---------------------------------------------------------------------------------
 
     def diagnostics(self, path: str, text: str) -> DataFrame:
-        """Reflection rules over a buffer, and its declarations without an implementation."""
+        """Reflection rules over a buffer, and, in headers, its unfinished declarations and
+        those without an implementation."""
         spark = self.index.spark
         lines = spark.createDataFrame([(path, i, t) for i, t in enumerate(text.split("\n"))], "path string, line int, text string")
         rules = diagnostics.rule_diagnostics(lines)
+        header = path.lower().endswith((".h", ".hpp", ".hh", ".hxx"))
+        if header and (unfinished := cpp.incomplete_members(text)):
+            rows = [(path, at - 1, "error", "UECPP002") for _, at in unfinished]
+            rules = rules.unionByName(spark.createDataFrame(rows, "path string, line int, severity string, code string"))
         asked = [(path, f"{r[2]}::{r[1]}{r[5]}", r[8] - 1) for r in cpp.parse(text) if r[0] == "member" and "function" in r[3] and r[4] != "impl" and not self._has_body(text, r[8])]
-        if not asked or not path.lower().endswith((".h", ".hpp")):
+        if not asked or not header:
             return rules
         declared = spark.createDataFrame(asked, "path string, signature string, line int")
         missing = links.without_definition(declared.select("path", "signature").distinct(), self.index.texts)

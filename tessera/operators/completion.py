@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import matching as mt
@@ -72,6 +72,16 @@ def include_items(headers: DataFrame, prefix: str) -> DataFrame:
     return first_wins(items.withColumn("sort_text", mt.sort_text(bucket, F.col("kind"), name)), ["label"], ["ord"])
 
 
+def word_items(spark: SparkSession, words: Sequence[str], prefix: str, bucket: int, kind: int, ranked: bool = False) -> DataFrame:
+    """Words of a literal list (label, kind, sort_text, ord) that start with the prefix,
+    or match it otherwise where `ranked`; a word counts once."""
+    rows = spark.createDataFrame([(w, i) for i, w in enumerate(dict.fromkeys(words))], "label string, ord int").withColumn("kind", F.lit(kind))
+    rank = mt.match_rank("label", prefix) if ranked else F.when(F.lower("label").startswith(prefix.lower()), 0).otherwise(mt.NONE)
+    hits = rows.withColumn("rank", rank).where(F.col("rank") < mt.NONE)
+    base = F.lit(bucket) + (F.col("rank") if ranked else F.lit(0))
+    return hits.withColumn("sort_text", mt.sort_text(base, F.col("kind"), "label")).select("label", "kind", "sort_text", "ord")
+
+
 def global_items(symbols: DataFrame, prefix: str, bucket: int = 100_000, cap: int = GLOBALS) -> DataFrame:
     """Names that start with the prefix, then names that match it otherwise; once each."""
     ranked = symbols.withColumn("rank", mt.match_rank("name", prefix)).where(F.col("rank") < mt.NONE)

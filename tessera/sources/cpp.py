@@ -238,3 +238,156 @@ def generated_definitions(specifiers: str, name: str) -> list[str]:
     remote = words & {"Server", "Client", "NetMulticast", "BlueprintNativeEvent"}
     out = [f"{name}_Implementation" if remote else name]
     return [*out, f"{name}_Validate"] if "WithValidation" in words else out
+
+
+def _blocks(plain: str) -> list[tuple[int, int]]:
+    """Start and end of every brace block; one that is still open ends with the text."""
+    out, stack = [], []
+    for m in re.finditer(r"[{}]", plain):
+        if m[0] == "{":
+            stack.append(m.start())
+        elif stack:
+            out.append((stack.pop(), m.end()))
+    return out + [(i, len(plain) + 1) for i in stack]
+
+
+def visible_declarations(text: str, line: int) -> list[Declaration]:
+    """Declarations at or before a line whose block is still open there; a parameter
+    belongs to the block that follows its list.  Of a name, the nearest one."""
+    plain = blank(text)
+    starts = [0, *(m.end() for m in re.finditer("\n", plain))]
+    cursor = starts[line] - 1 if line < len(starts) else len(plain)
+    blocks = _blocks(plain)
+    found: dict[str, Declaration] = {}
+    for d in declarations(text):
+        if d.line > line:
+            continue
+        place = re.compile(rf"\b{re.escape(d.name)}\b").search(plain, starts[d.line - 1])
+        at = place.start() if place else starts[d.line - 1]
+        if plain.count("(", 0, at) > plain.count(")", 0, at) and (body := re.compile(r"[{;]").search(plain, at)) and body[0] == "{":
+            at = body.end()
+        if all(not a < at < b or b > cursor for a, b in blocks):
+            found.pop(d.name, None)
+            found[d.name] = d
+    return list(found.values())
+
+
+def incomplete_members(text: str) -> list[tuple[str, int]]:
+    """(name, line from 1) of member functions that end without ';' or a body: at the end
+    of the class, at an access label, or where the next declaration starts."""
+    plain = blank(text)
+    plain = re.sub(r"(?m)^[ \t]*#.*$", lambda m: " " * len(m[0]), plain)
+    out = []
+    ends = re.compile(
+        r"\b(~?[A-Za-z_]\w*)[ \t]*\(([^(){};]*(?:\([^()]*\)[^(){};]*)*)\)(?:\s*\b(?:const|override|final|noexcept)\b)*[ \t]*"
+        r"(?:(?=\})|\n\s*(?=\}|(?:public|protected|private)[ \t]*:|(?!const\b|override\b|final\b|noexcept\b)[A-Za-z_~]))"
+    )
+    calls = re.compile(r"\b[A-Z][A-Z0-9_]+\s*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)")
+    for s in _scopes(plain):
+        if s.kind in ("enum", "UENUM"):
+            continue
+        for m in ends.finditer(plain, s.start + 1, s.end + 1):
+            before = plain[s.start : m.start(1)]
+            statement = re.split(r"[;{}]|\b(?:public|protected|private)\s*:(?!:)", before)[-1]
+            statement = calls.sub(" ", statement)
+            named = statement.strip() or m[1].lstrip("~") == s.name  # a macro call stands alone
+            if before.count("{") - before.count("}") == 1 and m[1] not in _NOT_NAMES and "=" not in statement and named:
+                out.append((m[1], plain.count("\n", 0, m.start(1)) + 1))
+    return sorted(set(out), key=lambda x: x[1])
+
+
+def _opening(text: str, end: int) -> int:
+    """Where the bracket that closes at `end` (inclusive) opens; -1 if it does not."""
+    pairs = {")": "(", "]": "[", ">": "<"}
+    close, depth = text[end], 0
+    for i in range(end, -1, -1):
+        depth += (text[i] == close) - (text[i] == pairs[close])
+        if not depth:
+            return i
+    return -1
+
+
+def receiver(before: str) -> str | None:
+    """The expression in front of a trailing '.', '->' or '::'; None without one."""
+    tail = re.search(r"(?:\.|->|::)\s*$", before)
+    at = tail.start() if tail else 0
+    end = at
+    while at > 0:
+        i = len(before[:at].rstrip()) - 1
+        if i < 0:
+            break
+        while i >= 0 and before[i] in ")]>" and before[i - 1 : i + 1] != "->":
+            i = _opening(before, i) - 1
+            i = len(before[: i + 1].rstrip()) - 1 if i >= 0 else i
+        word = re.search(r"[A-Za-z_]\w*$", before[: i + 1])
+        at = word.start() if word else i + 1
+        step = re.search(r"(?:\.|->|::)\s*$", before[:at])
+        if not step:
+            break
+        at = step.start()
+    return before[at:end].strip() or None if tail else None
+
+
+@dataclass(frozen=True)
+class Hop:
+    name: str
+    argument: str | None
+    called: bool
+    subscripts: int
+
+
+def hops(expression: str) -> list[Hop]:
+    """The steps of a chained expression, outer parentheses removed: name, first template
+    argument, whether it is called, and subscripts after it."""
+    text, out, i = expression.strip().lstrip("*&! "), [], 0
+    if text.startswith("(") and (close := next((j for j, c in enumerate(text) if c == ")" and _opening(text, j) == 0), -1)) > 0:
+        out, i = hops(text[1:close]), close + 1
+    while i < len(text):
+        step = re.compile(r"\s*(?:(?:\.|->|::)\s*)?([A-Za-z_]\w*)\s*").match(text, i)
+        if step:
+            name, argument, called, subscripts, i = step[1], None, False, 0, step.end()
+        elif out and re.compile(r"\s*\[").match(text, i):
+            last = out.pop()
+            name, argument, called, subscripts = last.name, last.argument, last.called, last.subscripts
+        else:
+            break
+        while i < len(text) and text[i] in "<([":
+            close = next((j for j in range(i, len(text)) if text[j] == {"<": ">", "(": ")", "[": "]"}[text[i]] and text[j - 1 : j + 1] != "->" and _opening(text, j) == i), -1)
+            if close < 0:
+                return out
+            if text[i] == "<":
+                argument = template_argument(text[i : close + 1])
+            called |= text[i] == "("
+            subscripts += text[i] == "["
+            i = close + 1
+        out.append(Hop(name, argument, called, subscripts))
+    return out
+
+
+def element_type(kind: str) -> str:
+    """What a container holds: the value of a map, the element of an array or a set."""
+    outer = re.match(r"\s*(TArray|TSet|TMap)\s*<(.*)>", kind, re.S)
+    if not outer:
+        return clean_type(kind)
+    parts = split_top_level(outer[2])
+    return clean_type(parts[-1] if outer[1] == "TMap" else parts[0]) if parts else ""
+
+
+def assigned_text(text: str, name: str, line: int) -> str | None:
+    """The last initialiser of, or assignment to, a name at or before a line."""
+    head = "\n".join(text.split("\n")[:line])
+    found = re.findall(rf"\b{re.escape(name)}\s*=(?!=)\s*([^;]+);", head)
+    return found[-1].strip() if found else None
+
+
+def open_macro(before: str) -> tuple[str, bool, str] | None:
+    """The reflection macro whose argument list is open at the end of a text, whether
+    that lies in its metadata, and the prefix typed there."""
+    calls = list(re.finditer(r"\b(UPROPERTY|UFUNCTION|UCLASS|USTRUCT|UENUM|UPARAM|UMETA)\(", before))
+    if not calls:
+        return None
+    inner = before[calls[-1].end() :]
+    if inner.count(")") > inner.count("("):
+        return None
+    in_meta = bool(re.search(r"meta\s*[=(](?!.*meta)", inner, re.I | re.S)) and inner.count("(") > inner.count(")")
+    return calls[-1][1], in_meta, re.search(r"\w*$", inner)[0]

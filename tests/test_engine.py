@@ -153,3 +153,63 @@ def test_packages_and_asset_graph(spark):
     graph = assets.postings(assets.graph_pairs(read))
     assert {(r.relation, r.asset) for r in assets.asset_usages(graph, "AActor").collect()} == {("derived", "/game/a/bp_hero"), ("references", "/game/a/bp_hero")}
     assert {r.relation for r in assets.asset_usages(graph, "Jump").collect()} == {"references"}
+
+
+@pytest.mark.parametrize(
+    ("before", "expected"),
+    [
+        ("\tA->", "A"), ("\tx = this->Get(1, F(2)).Items[3].", "this->Get(1, F(2)).Items[3]"), ("return Cast<UBase>(Thing)->", "Cast<UBase>(Thing)"),
+        ("\tNS::UThing::", "NS::UThing"), ("\t(A)->", "(A)"), ("\tA", None), ("", None), ("\tf(B.", "B"),
+    ],
+)
+def test_receiver_of_an_operator(before, expected):
+    assert cpp.receiver(before) == expected
+
+
+def test_hops_of_an_expression():
+    got = [(h.name, h.argument, h.called, h.subscripts) for h in cpp.hops("(this->Make<UBase>(1))->Items[2][0].Size")]
+    assert got == [("this", None, False, 0), ("Make", "UBase", True, 0), ("Items", None, False, 2), ("Size", None, False, 0)]
+    assert cpp.hops("") == [] and cpp.element_type("TMap<FName, TArray<int>>") == "TArray<int>" and cpp.element_type("TArray<UBase*>") == "UBase"
+
+
+def test_declarations_in_scope_only():
+    text = "void A(int P)\n{\n\tUAlpha* H;\n\t{\n\t\tUInner* I;\n\t}\n\tint N = 0;\n}\nvoid B(int Q)\n{\n\tUBeta* H;\n\n}\n"
+    assert {(d.name, d.type) for d in cpp.visible_declarations(text, 7)} == {("P", "int"), ("H", "UAlpha"), ("N", "int")}
+    assert {(d.name, d.type) for d in cpp.visible_declarations(text, 12)} == {("Q", "int"), ("H", "UBeta")}
+    assert cpp.visible_declarations("", 1) == []
+
+
+def test_unfinished_declarations():
+    text = "class X\n{\n\tGENERATED_BODY()\n\tX()\npublic:\n\tint A(int B) const\n\tvoid C();\n\tUFUNCTION()\n\tvoid D(int E = F(1)) { G(); }\n\tvoid H()\n};\nvoid Outside()\n"
+    assert cpp.incomplete_members(text) == [("X", 4), ("A", 6), ("H", 10)]
+    macros = "class X\n{\n\tGENERATED_BODY()\n\tDECLARE_IT(A, B)\n\tUPROPERTY(meta=(A=(1)))\n\tint B;\n\tUFUNCTION(Category=\"x\")\n\tvoid C()\n};"
+    assert cpp.incomplete_members(macros) == [("C", 8)]
+    assert cpp.incomplete_members("class X\n{\n\tX() = default;\n\tvoid A()\n\t\tconst;\n\tX(int a)\n\t\t: b(a) {}\n};") == []
+
+
+def test_types_of_expressions(engine):
+    e, _ = engine
+    text = "void F()\n{\n\tAMyActor* A = nullptr;\n\tauto B = Cast<UBase>(A);\n\tTArray<UBase*> C;\n\t\n}\n"
+    asked = {"A": "AMyActor", "B": "UBase", "C[0]": "UBase", "(A)": "AMyActor", "A->Shared(1)": "int", "this": "UBase", "GetWorld()": "UWorld", "A->Nothing": None}
+    assert {x: e.expression_type(text, 6, x, "UBase") for x in asked} == asked
+
+
+def test_completion_modes(engine):
+    e, _ = engine
+    at = lambda text, within=None: names(e.completions(text, text.count("\n") + 1, len(text.split("\n")[-1]), within), "label")
+    assert at("#if") == ["if", "ifdef", "ifndef"]
+    assert at("UPROPERTY(EditAnywhere, Blueprint") == ["BlueprintAssignable", "BlueprintCallable", "BlueprintReadOnly", "BlueprintReadWrite"]
+    assert at("UPROPERTY(meta=(Clamp") == ["ClampMax", "ClampMin"]
+    assert "nullptr" in at("void F()\n{\n\tnu") and "nullptr" not in at("void F()\n{\n\tNu")
+    assert "ParentOnly" in at("void F()\n{\n\tAMyActor* A;\n\tCast<UBase>(A)->Par")
+    assert "Local1" in at("void F()\n{\n\tint Local1 = 0;\n\tLoc") and "Local1" not in at("void F()\n{\n\tint Local1 = 0;\n}\nvoid G()\n{\n\tLoc")
+
+
+def test_two_sources(engine):
+    e, _ = engine
+    both = Engine(e.index, e.index)
+    own, merged = e.symbol_usages("Shared").collect(), both.references("Shared").collect()
+    assert [(r.path, r.line, r.column) for r in merged] == [(r.path, r.line, r.column) for r in own] and {r.source for r in merged} == {"project"}
+    assert both.signature_help("Shared", "1, ").count() == e.signature_help("Shared", "1, ").count() > 0
+    found = {(r.code, r.line) for r in e.diagnostics("/p/Public/Y.h", "class Y\n{\n\tvoid F()\n};\n").collect()}
+    assert ("UECPP002", 2) in found
