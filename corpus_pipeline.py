@@ -22,9 +22,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without cross-site boilerplate lines.  A document of which nothing is
-    left, every line standing in another one, goes."""
-    cleaned = line_dedup.dedup_lines(docs)
+    """Documents without cross-site boilerplate lines, short ones too.  A document of
+    which nothing is left, every line standing in another one, goes."""
+    cleaned = line_dedup.dedup_lines(docs, min_words=1)
     left = cleaned.where((F.col("n_removed") == 0) | (F.trim(F.translate("text", "\n\t\r", "   ")) != ""))
     count = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return left.withColumn("n_chars", count).select(*docs.columns)

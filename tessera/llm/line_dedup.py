@@ -18,7 +18,7 @@ from tessera.plans.storage import shared_table
 
 #: A line shown by so many distinct sources or more is boilerplate.
 MIN_SITES = 3
-#: Lines of fewer words are left alone: short ones coincide by chance.
+#: Lines of fewer words are left alone where the caller does not say otherwise.
 MIN_WORDS = 4
 #: Around the threshold, the share within which a sketch's estimate is not trusted
 #: (eight standard errors of 2^10 registers); at least one.
@@ -32,12 +32,12 @@ def _lines(text: str) -> Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n")
 
 
-def _name(line: Column) -> Column:
+def _name(line: Column, min_words: int) -> Column:
     """Hash of the line in lower case, white space collapsed; null if it is too short.
     The expression engine meets few lines with white space to collapse."""
     odd = line.contains("  ") | line.contains("\t") | line.contains("\r") | line.contains("\f") | line.contains("\x0b")
     plain = F.trim(F.lower(F.when(odd, F.regexp_replace(line, "[ \t\r\f\x0b]+", " ")).otherwise(line)))
-    return F.when(F.substring_index(plain, " ", MIN_WORDS - 1) != plain, F.xxhash64(plain))
+    return F.when(F.substring_index(plain, " ", min_words - 1) != plain, F.xxhash64(plain))
 
 
 def repeated(lines: DataFrame, least: int) -> DataFrame:
@@ -76,10 +76,10 @@ def boilerplate(lines: DataFrame, min_sites: int, often: DataFrame | None = None
     return sure.union(exact.where(F.col("sites") >= min_sites).select("name", "first_doc"))
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """docs without cross-site boilerplate lines; adds n_lines and n_removed.
 
-    A line of MIN_WORDS words or more that min_sites distinct `source` values show stays
+    A line of min_words words or more (1: every line that is not blank) that min_sites distinct `source` values show stays
     in the document with the smallest doc_id that has it, where it first stands, and goes
     everywhere else; so one copy of everything remains.  Other lines, blank ones
     included, stay as they are.  Null texts stay null with no lines.  A null source is no
@@ -87,7 +87,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     All rows and columns stay, and an empty table gives an empty result.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    names = F.array_compact(F.array_distinct(F.transform(_lines("text"), _name)))
+    every = F.transform(_lines("text"), lambda line: _name(line, min_words))
+    names = F.array_compact(F.array_distinct(every))
     named = docs.select(key.alias("doc"), F.col("source").cast("string").alias("site"), names.alias("names"))
     lines = shared_table(named, "names").select("doc", "site", F.explode("names").alias("name"))
     often = repeated(lines, min_sites)
@@ -97,7 +98,6 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
         F.collect_set(F.when(~F.col("own"), F.col("name"))).alias("__gone"), F.collect_set(F.when(F.col("own"), F.col("name"))).alias("__once")
     )
     joined = docs.withColumn("__key", key).join(marks.withColumnRenamed("doc", "__of"), F.col("__key") == F.col("__of"), "left")
-    names = F.transform(_lines("text"), _name)
     keep = F.when(F.col("__of").isNull(), _lines("text")).otherwise(
         F.transform(
             F.filter(
@@ -112,7 +112,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
         )
     )
     # The generator keeps later filters from being pushed below, which would judge lines twice.
-    judged = joined.withColumn("__names", F.when(F.col("__of").isNotNull(), names)).withColumn("__judged", keep)
+    judged = joined.withColumn("__names", F.when(F.col("__of").isNotNull(), every)).withColumn("__judged", keep)
     out = judged.withColumn("__kept", F.explode(F.array("__judged")))
     total = F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines("text")))
     left = F.when(F.col("text").isNull(), 0).otherwise(F.size("__kept"))

@@ -359,6 +359,14 @@ def test_near_threshold_lines_are_counted_exactly(spark):
     assert {r.name for r in got.collect()} == {2, 3, 4}
 
 
+def test_short_lines_of_many_sites_go_in_the_pipeline(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rows = [(i, f"All  rights reserved.\nHome\n\t\nfew {i % 2}\n{prose(i, 9)}", f"s{i % 3}") for i in range(6)]
+    got = {r.doc_id: r.text for r in cp.lines(spark, frame(spark, rows), str(tmp_path)).collect()}
+    assert got == {i: t if i == 0 else "\n".join(["\t", *([f"few {i}"] if i == 1 else []), prose(i, 9)]) for i, t, _ in rows}
+
+
 # --- op7 -----------------------------------------------------------------------------
 
 
