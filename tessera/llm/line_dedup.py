@@ -71,7 +71,7 @@ def boilerplate(lines: DataFrame, min_sites: int, often: DataFrame | None = None
     sized = spread.select("name", "first_doc", F.hll_sketch_estimate("sketch").alias("sites"))
     band = max(1.0, _BAND * min_sites)
     near = sized.where(F.abs(F.col("sites") - min_sites) <= band)
-    exact = seen.join(near.select("name"), "name", "left_semi").groupBy("name", "first_doc").agg(F.count("*").alias("sites"))
+    exact = seen.join(near.select("name"), "name", "left_semi").groupBy("name", "first_doc").agg(F.count("site").alias("sites"))
     sure = sized.where(F.col("sites") - min_sites > band).select("name", "first_doc")
     return sure.union(exact.where(F.col("sites") >= min_sites).select("name", "first_doc"))
 

@@ -367,6 +367,13 @@ def test_short_lines_of_many_sites_go_in_the_pipeline(spark, tmp_path):
     assert got == {i: t if i == 0 else "\n".join(["\t", *([f"few {i}"] if i == 1 else []), prose(i, 9)]) for i, t, _ in rows}
 
 
+def test_a_null_source_is_no_site_near_the_threshold(spark):
+    two, three = "shown by two sites only", "this one stands in three"
+    rows = [(1, two, "a"), (2, two, "b"), (3, two, None), (4, three, "a"), (5, three, "b"), (6, three, "c"), (7, three, None)]
+    got = {x.doc_id: x.n_removed for x in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 0, 5: 1, 6: 1, 7: 1}
+
+
 # --- op7 -----------------------------------------------------------------------------
 
 
