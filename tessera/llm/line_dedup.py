@@ -65,13 +65,12 @@ def boilerplate(lines: DataFrame, min_sites: int, often: DataFrame | None = None
     """(name, first_doc) of the names in lines(name, doc, site) that min_sites distinct
     sites or more show; often: what `repeated` says of these lines, if known."""
     often = repeated(lines, min_sites) if often is None else often
-    firsts = often.select("name", "first_doc")
-    seen = join_salted(lines, firsts, often.where("hot")).groupBy("name", "first_doc", "site").agg(F.lit(1).alias("one"))
-    spread = seen.groupBy("name", "first_doc").agg(F.hll_sketch_agg("site", _LG_K).alias("sketch"))
+    named, hot = often.select("name", "first_doc"), often.where("hot")
+    spread = join_salted(lines, named, hot).groupBy("name", "first_doc").agg(F.hll_sketch_agg("site", _LG_K).alias("sketch"))
     sized = spread.select("name", "first_doc", F.hll_sketch_estimate("sketch").alias("sites"))
     band = max(1.0, _BAND * min_sites)
-    near = sized.where(F.abs(F.col("sites") - min_sites) <= band)
-    exact = seen.join(near.select("name"), "name", "left_semi").groupBy("name", "first_doc").agg(F.count("site").alias("sites"))
+    near = sized.where(F.abs(F.col("sites") - min_sites) <= band).select("name", "first_doc")
+    exact = join_salted(lines, near, hot).groupBy("name", "first_doc").agg(F.count_distinct("site").alias("sites"))
     sure = sized.where(F.col("sites") - min_sites > band).select("name", "first_doc")
     return sure.union(exact.where(F.col("sites") >= min_sites).select("name", "first_doc"))
 
