@@ -56,12 +56,34 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterator[tuple]], na
     return picked.mapInArrow(run, ddl)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: A key that holds one part in so many of all edges is hot; no more than that many can
+#: be, so their list is small enough to broadcast, whatever the graph.
+HOT_KEYS = 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """left joined with right, which has one row per key and, in `n`, how many rows of left
+    have it.  Hot keys' rows of right are broadcast, so that left's rows of a hot key stay
+    where they are; other keys meet in a join."""
+    own = [c for c in right.columns if c not in (key, "n")]
+    is_hot = F.col("n") * HOT_KEYS >= F.lit(total)
+    hot = F.broadcast(right.where(is_hot).select(key, F.struct(*own).alias("__of")))
+    marked = left.join(hot, key, "left")
+    near = marked.where("__of is not null").select(*left.columns, "__of.*")
+    return near.unionByName(marked.where("__of is null").drop("__of").join(right.where(~is_hot).drop("n"), key))
+
+
+def _with_least(edges: DataFrame, key: str, value: str, total: int) -> DataFrame:
+    """edges with `m`, the smallest value of its key."""
+    return join_counted(edges, edges.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("n")), key, total)
+
+
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Connected components of edges (u, v) by alternating large-star and small-star.
 
     Returns (node, root): one row for each node that is not the smallest of its
-    component.  Each half round joins the edges with one minimum per node, so a node of
-    huge degree is split by skew-join handling; nothing is gathered per node.
+    component.  Runs until nothing changes; with `rounds`, raises where that many are not
+    enough.  Nothing is gathered per node, and edges of a hub are not sent to one task.
     """
     ends = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     now = shared_table(ends.where("u <> v").distinct(), "links")
@@ -69,23 +91,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def digest(df: DataFrame):
         return df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
 
-    seen = digest(now)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
+    seen, done = digest(now), 0
+    while seen[0]:
+        if rounds is not None and done >= rounds:
+            raise RuntimeError(f"components have not settled in {rounds} rounds")
         both = now.select(F.col("u").alias("a"), F.col("v").alias("b")).union(now.select("v", "u"))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = (
-            both.where("b > a").join(least, "a")
-            .select(F.col("b").alias("u"), F.least("a", "m").alias("v")).distinct()
-        )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(low.select("u", "m")).distinct()
-        )
-        now = shared_table(small, "links")
-        before, seen = seen, digest(now)
+        total = 2 * seen[0]
+        near = _with_least(both, "a", "b", total).where("b > a")
+        large = near.select(F.col("b").alias("u"), F.least("a", "m").alias("v")).distinct()
+        low = _with_least(large, "u", "v", total)
+        small = low.select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
+        now = shared_table(small.distinct(), "links")
+        before, seen, done = seen, digest(now), done + 1
         if before == seen:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -12,9 +12,12 @@ missed.
 Candidates are never expanded into pairs.  Documents with equal shingle sets first
 become one class.  Classes sharing a key are chained to the smallest class of the key;
 the components of those chains are clusters.  A cluster of bounded weight is one block;
-larger ones are cut into blocks (see `_blocks`), and only blocks that share a key meet.
-Each meeting of two blocks compares full shingle sets, skipping pairs already joined,
-and yields a spanning forest of confirmed links, at most one row per document.
+larger ones are cut into blocks (see `_blocks`).  First each block is compared within
+itself.  A key whose classes are then all in one component is settled; blocks meet only
+over keys that still hold several, first by one class of each block and component, then
+with all classes of the keys left open, so that no link is missed.  A comparison reads
+full shingle sets, skips pairs already joined and yields a spanning forest of confirmed
+links, at most one row per document.
 """
 
 from __future__ import annotations
@@ -27,14 +30,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import arrow_batches, arrow_rows, components, map_rows, partitions
+from tessera.llm.common import arrow_batches, arrow_rows, components, join_counted, partitions
 from tessera.llm.textkit import mix64, shingle_set
 from tessera.plans.storage import shared_table
 
 POSITIONS = 64
-#: Weight of a block in shingles; bounds the memory of a task to two blocks.
+#: Weight of a block in shingles, and bytes of the bit rows that a task holds at once.
 BLOCK_SHINGLES = 600_000
+MATRIX_BYTES = 128 << 20
 
 _FACTORS = mix64(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -70,24 +75,28 @@ def _key_column(distance: int) -> Column:
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, node, sig): node is a 128-bit name of the shingle set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("sig", pa.list_(pa.int32()))])
-
-    def rows(source: Iterator[tuple]) -> Iterator[tuple]:
-        for doc_id, raw in source:
-            got = shingle_set((raw or b"").lower(), k)
-            if not len(got):
-                yield doc_id, 0, None, None
-            else:
-                name = hashlib.blake2b(got.tobytes(), digest_size=16).digest()
-                yield doc_id, len(got), name, signature(got).astype(np.int32)
-
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return map_rows(picked, rows, ["doc_id", "text"], schema, "doc_id long, n_shingles long, node binary, sig array<int>")
+    """docs(uid, doc_id, text, ...) with n_shingles, node (a 128-bit name of the shingle
+    set, null without shingles) and sig, its signature; other columns pass as they are."""
+    added = pa.schema([("n_shingles", pa.int64()), ("node", pa.binary()), ("sig", pa.list_(pa.int32()))])
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, names, sigs = [], [], []
+            for raw in batch.column(at):
+                got = shingle_set((raw.as_py() or b"").lower(), k)
+                sizes.append(len(got))
+                names.append(hashlib.blake2b(got.tobytes(), digest_size=16).digest() if len(got) else None)
+                sigs.append(signature(got).astype(np.int32) if len(got) else None)
+            new = [pa.array(c, f.type) for c, f in zip((sizes, names, sigs), added, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added.names])
+
+    full = T.StructType(docs.schema.fields + T._parse_datatype_string("n_shingles long, node binary, sig array<int>").fields)
+    return docs.mapInArrow(run, full)
 
 
 def _blocks(keyed: DataFrame, weights: DataFrame) -> DataFrame:
-    """(key, node, block) of the keyed classes.
+    """(node, block, cut) of the keyed classes; cut: the cluster makes several blocks.
 
     A cluster of at most BLOCK_SHINGLES is one block.  In a larger one, a cell is what
     shares its smallest keyed companion: small cells are dealt to blocks by their name,
@@ -100,72 +109,95 @@ def _blocks(keyed: DataFrame, weights: DataFrame) -> DataFrame:
         .join(weights, "node").select("node", "cell", "cluster", "weight")
     )
     placed = shared_table(placed, "cells")
-    by_cluster = placed.groupBy("cluster").agg(F.sum("weight").alias("cluster_weight"))
-    by_cell = placed.groupBy("cell").agg(F.sum("weight").alias("cell_weight"))
+    total = placed.count()
+    by = lambda c: placed.groupBy(c).agg(F.sum("weight").alias(f"{c}_weight"), F.count("*").alias("n"))
     parts = lambda w: F.ceil(F.col(w) / BLOCK_SHINGLES)
+    cut = F.col("cluster_weight") > BLOCK_SHINGLES
     block = (
-        F.when(F.col("cluster_weight") <= BLOCK_SHINGLES, F.xxhash64(F.lit(0), "cluster"))
+        F.when(~cut, F.xxhash64(F.lit(0), "cluster"))
         .when(F.col("cell_weight") <= BLOCK_SHINGLES, F.xxhash64(F.lit(1), "cluster", F.pmod(F.xxhash64("cell"), parts("cluster_weight"))))
         .otherwise(F.xxhash64(F.lit(2), "cell", F.pmod(F.xxhash64("node"), parts("cell_weight"))))
     )
-    blocks = placed.join(by_cluster, "cluster").join(by_cell, "cell").select("node", block.alias("block"))
-    return keyed.select("key", "node").join(shared_table(blocks, "blocks"), "node")
-
-
-def _meetings(blocked: DataFrame) -> DataFrame:
-    """(node, task, side): each block meets itself, and each block that it shares a key
-    with.  Only classes of that shared key's blocks are dealt, once per meeting."""
-    of_key = blocked.select("key", "block").distinct()
-    several = of_key.groupBy("key").agg(F.sort_array(F.collect_set("block")).alias("all")).where(F.size("all") > 1)
-    pairs = (
-        several.select(F.posexplode("all").alias("i", "x"), "all")
-        .select("x", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("y")).distinct()
-    )
-    named = pairs.select(F.xxhash64("x", "y").alias("task"), "x", "y")
-    sides = named.select(F.col("x").alias("block"), "task", F.lit(0).alias("side")).union(
-        named.select("y", "task", F.lit(1))
+    weighed = join_counted(join_counted(placed, by("cluster"), "cluster", total), by("cell"), "cell", total)
+    return shared_table(weighed.select("node", block.alias("block"), cut.alias("cut")), "blocks")
+
+
+def _labelled(blocked: DataFrame, links: DataFrame) -> DataFrame:
+    """blocked(key, node, block) with `label`, the component by links, for the keys whose
+    classes lie in several blocks and several components."""
+    roots = components(links)
+    placed = blocked.join(roots, "node", "left").select("key", "node", "block", F.coalesce("root", "node").alias("label"))
+    spread = placed.groupBy("key").agg(
+        F.min("label").alias("l"), F.max("label").alias("m"), F.min("block").alias("b"), F.max("block").alias("c")
     )
-    members = blocked.select("node", "block").distinct()
-    own = members.select("node", F.col("block").alias("task"), F.lit(-1).alias("side"))
-    return own.union(members.join(sides, "block").select("node", "task", "side"))
+    return placed.join(spread.where("l <> m and b <> c").select("key"), "key", "left_semi")
+
+
+def _across(open_keys: DataFrame) -> DataFrame:
+    """(node, task, side): pairs of blocks that share an open key, with the classes that
+    have one.  One row per pair of blocks and key, none per pair of classes."""
+    held = open_keys.select("key", "block").distinct()
+    pairs = held.alias("x").join(held.alias("y"), F.expr("x.key = y.key and x.block < y.block"))
+    named = pairs.select(F.col("x.block").alias("x"), F.col("y.block").alias("y")).distinct()
+    named = named.select("x", "y", F.xxhash64("x", "y").alias("task"))
+    sides = named.select(F.col("x").alias("block"), "task", F.lit(0).alias("side")).union(named.select("y", "task", F.lit(1)))
+    return open_keys.select("node", "block").distinct().join(sides, "block").select("node", "task", "side")
 
 
-def compare(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def compare(sets: list[np.ndarray], side: np.ndarray, percent: int, limit: int | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among sets, or between the sides 0 and 1.
 
     Sets are bit rows over the hashes that two or more of them hold, so an exact
-    intersection is a popcount.  Pairs already joined are skipped.
+    intersection is a popcount.  Pairs already joined are skipped.  Where the rows of all
+    sets would take more than `limit` bytes, tiles of them are compared two by two.
     """
+    limit = limit or MATRIX_BYTES
     size = np.array([len(s) for s in sets])
     order = np.argsort(size, kind="stable")
-    flat = np.concatenate(sets)
-    _, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
+    _, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     column = np.cumsum(count > 1) - 1
-    width = -(-int((count > 1).sum()) // 64) * 64
-    if not width:
+    words = -(-int((count > 1).sum()) // 64)
+    if not words:
         return []
-    bits = np.zeros((len(sets), width // 64), dtype=np.uint64)
     starts = np.concatenate([[0], np.cumsum(size)])
-    for rank, i in enumerate(order):
-        own = inverse[starts[i] : starts[i + 1]]
-        row = np.zeros(width, dtype=bool)
-        row[column[own[count[own] > 1]]] = True
-        bits[rank] = np.packbits(row).view(np.uint64)
+
+    def rows_of(a: int, b: int) -> np.ndarray:
+        bits = np.zeros((b - a, words), dtype=np.uint64)
+        for at, i in enumerate(order[a:b]):
+            own = inverse[starts[i] : starts[i + 1]]
+            row = np.zeros(64 * words, dtype=bool)
+            row[column[own[count[own] > 1]]] = True
+            bits[at] = np.packbits(row).view(np.uint64)
+        return bits
+
     size, side = size[order], side[order]
     label = np.arange(len(sets))
-    forest = []
-    for i in range(len(sets) - 1):
-        stop = np.searchsorted(size, size[i] * 100 // percent, side="right")
-        rest = np.arange(i + 1, stop)
-        rest = rest[(label[rest] != label[i]) & ((side[rest] != side[i]) | (side[i] < 0))]
-        for at in range(0, len(rest), 512):
-            part = rest[at : at + 512]
-            part = part[label[part] != label[i]]
-            both = np.bitwise_count(bits[part] & bits[i]).sum(axis=1, dtype=np.int64)
-            for j in part[100 * both >= percent * (size[i] + size[part] - both)]:
-                if label[j] != label[i]:
-                    forest.append((int(order[i]), int(order[j])))
-                    label[label == label[j]] = label[i]
+    forest: list[tuple[int, int]] = []
+
+    def meet(a: int, left: np.ndarray, b: int, right: np.ndarray) -> None:
+        for i in range(a, a + len(left)):
+            first, stop = max(b, i + 1), min(b + len(right), int(np.searchsorted(size, size[i] * 100 // percent, side="right")))
+            if stop <= first:
+                continue
+            rest = np.arange(first, stop)
+            rest = rest[(label[rest] != label[i]) & ((side[rest] != side[i]) | (side[i] < 0))]
+            for at in range(0, len(rest), 512):
+                part = rest[at : at + 512]
+                part = part[label[part] != label[i]]
+                both = np.bitwise_count(right[part - b] & left[i - a]).sum(axis=1, dtype=np.int64)
+                for j in part[100 * both >= percent * (size[i] + size[part] - both)]:
+                    if label[j] != label[i]:
+                        forest.append((int(order[i]), int(order[j])))
+                        label[label == label[j]] = label[i]
+
+    step = max(1, limit // (16 * words)) if 8 * words * len(sets) > limit else len(sets)
+    for a in range(0, len(sets), step):
+        left = rows_of(a, min(len(sets), a + step))
+        meet(a, left, a, left)
+        for b in range(a + step, len(sets), step):
+            if size[a + len(left) - 1] * 100 // percent < size[b]:
+                break
+            meet(a, left, b, rows_of(b, min(len(sets), b + step)))
     return forest
 
 
@@ -201,6 +233,42 @@ def _confirm(routed: DataFrame, k: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "u binary, v binary")
 
 
+def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, roots): docs(uid, doc_id, text, ...) with what `_sets` adds, written; and
+    (node, root) of every class of rows with shingles."""
+    found = shared_table(_sets(docs, k), "sets")
+    held = found.where("node is not null")
+    classes = held.groupBy("node").agg(F.min("uid").alias("uid"), F.first("n_shingles").alias("weight"), F.first("sig").alias("sig"))
+    classes = shared_table(classes, "classes")
+    spread = classes.repartition(partitions(docs.sparkSession))  # a row becomes dozens of keys
+    keys = spread.select("node", _key_column(distance_threshold(percent)).alias("key"))
+    firsts = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    keyed = shared_table(keys.join(firsts, "key"), "keys")
+    blocks = _blocks(keyed, classes.select("node", "weight"))
+
+    def confirmed(tasks: DataFrame) -> DataFrame:
+        dealt = tasks.join(classes.select("node", "uid"), "node")
+        return shared_table(_confirm(found.select("uid", "text").join(dealt, "uid"), k, percent), "confirmed")
+
+    links = confirmed(blocks.select("node", F.col("block").alias("task"), F.lit(-1).alias("side")))
+    cut = blocks.where("cut").select("node", "block")
+    if not cut.isEmpty():
+        blocked = shared_table(keyed.select("key", "node").join(cut, "node"), "blocked")
+        one_each = ["key", "block", "label"]
+        few = _labelled(blocked, links).groupBy(one_each).agg(F.min("node").alias("node"))
+        links = links.union(confirmed(_across(shared_table(few, "open"))))
+        left = shared_table(_labelled(blocked, links), "open")
+        links = links.union(confirmed(_across(left)))
+    roots = components(links)
+    return found, classes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def _numbered(docs: DataFrame, *carried: Column) -> DataFrame:
+    """(uid, doc_id, text as bytes, carried): uid names a row once it is written."""
+    own = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")
+    return docs.select(F.monotonically_increasing_id().alias("uid"), *own, *carried)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Groups of documents whose k-word shingle sets are similar in percent or more.
 
@@ -214,26 +282,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     its component is the smallest other one of its group, or null, and it is kept only
     then.  An empty table gives an empty result.
     """
-    found = shared_table(_sets(docs, k), "sets")
-    held = found.where("node is not null")
-    classes = held.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("weight"), F.first("sig").alias("sig"))
-    classes = shared_table(classes, "classes")
-    spread = classes.repartition(partitions(docs.sparkSession))  # a row becomes dozens of keys
-    keys = spread.select("node", _key_column(distance_threshold(percent)).alias("key"))
-    firsts = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    keyed = shared_table(keys.join(firsts, "key"), "keys")
-    tasks = _meetings(_blocks(keyed, classes.select("node", "weight")))
-    routes = (
-        tasks.groupBy("node").agg(F.collect_list(F.struct("task", "side")).alias("to"))
-        .join(classes.select("node", F.col("doc_id").alias("of")), "node")
-    )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    routed = texts.join(routes, F.col("doc_id").eqNullSafe(F.col("of"))).select("node", "text", F.explode("to").alias("to"))
-    links = _confirm(routed.select("to.task", "to.side", "node", "text"), k, percent)
-    roots = components(links)
-    groups = classes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = groups.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = groups.join(smallest, "root").select("node", "component_id")
+    found, roots = _grouped(_numbered(docs), k, percent)
+    smallest = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(roots, "node")
+    least = smallest.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = roots.join(least, "root").select("node", "component_id")
     out = found.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, less near-duplicates: exactly one row of
+    each group stays, that with the smallest doc_id (null ids come last).
+
+    Rows are told apart as rows: where several repeat a doc_id, each is judged by its own
+    text, and of identical rows one stays.  Rows without words all stay.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    found, roots = _grouped(_numbered(docs, F.struct(*columns).alias("row")), k, percent)
+    held = found.where("node is not null").select("uid", "node", F.struct(F.col("doc_id").isNull(), "doc_id", "uid").alias("place"))
+    best = held.groupBy("node").agg(F.min("place").alias("place")).join(roots, "node").groupBy("root").agg(F.min("place").alias("place"))
+    stays = best.select(F.col("place.uid").alias("uid"))
+    wordless = found.where("node is null").select("row.*")
+    return found.where("node is not null").join(stays, "uid", "left_semi").select("row.*").unionByName(wordless)
