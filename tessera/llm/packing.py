@@ -99,73 +99,129 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: in
     return map_rows(picked, rows, ["doc_id", "text"], schema, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _complement(left: np.ndarray, gap: int) -> tuple[int, ...]:
-    """Available lengths, one to three of them, that fill the gap exactly; () if none.
+class _Sums:
+    """Index of the sums of one, two and three available lengths up to the capacity.
 
-    The hash of a sum is the sum itself: `left` tells at once whether the complement of
-    a length or of a pair is available, and how often.
+    A single length is its own sum.  pairs[s] holds the larger part of every pair of sum
+    s, triples[s] the largest part of every triple of sum s, whose rest is a pair of the
+    index.  Entries are made once; `left` tells which still are available, and how often.
     """
-    if left[gap]:
-        return (gap,)
-    have = np.flatnonzero(left[: gap + 1])
-    have = have[have > 0][::-1]
-    pair = _pair(left, have, gap)
-    if pair:
-        return pair
-    for a in have.tolist():
-        if 3 * a < gap:
-            break
-        left[a] -= 1
-        below = have[have <= min(a, gap - a)]
-        pair = _pair(left, below, gap - a) if gap > a else ()
-        left[a] += 1
-        if pair:
-            return (a, *pair)
-    return ()
-
-
-def _pair(left: np.ndarray, have: np.ndarray, gap: int) -> tuple[int, ...]:
-    big = have[(2 * have >= gap) & (have < gap)]
-    ok = big[(left[big] > 0) & (left[gap - big] > (2 * big == gap))]
-    return (int(ok[0]), gap - int(ok[0])) if len(ok) else ()
-
-
-def pack_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Rows (m, lengths): m sequences, each holding pieces of these lengths.
 
-    Longest pieces first: the gap of each is filled by an exact complement of one, two
-    or three available lengths; where there is none, the best-fitting length goes in
-    and the rest of the gap is tried again.  A row is repeated as often as availability
-    allows, so the number of rows follows the number of lengths, not of pieces.
-    """
-    left = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in counts.items():
-        left[length] += n
-    plan = []
+    def __init__(self, left: np.ndarray) -> None:
+        self.left = left
+        have = np.flatnonzero(left)
+        have = have[have > 0]
+        self.pairs: list[np.ndarray] = [have[:0]] * len(left)
+        self.triples: list[np.ndarray] = [have[:0]] * len(left)
+        for s in range(2, len(left)):
+            big = have[(2 * have >= s) & (have < s)][::-1]
+            self.pairs[s] = big[left[s - big] > 0]
+        some = np.array([len(p) > 0 for p in self.pairs])
+        for s in range(3, len(left)):
+            big = have[(3 * have >= s) & (have < s - 1)][::-1]
+            self.triples[s] = big[some[s - big]]
+
+    def pair(self, s: int, most: int) -> tuple[int, ...]:
+        """An available pair of sum s, no part above `most`."""
+        big = self.pairs[s]
+        ok = big[(big <= most) & (self.left[big] > 0) & (self.left[s - big] > (2 * big == s))]
+        return (int(ok[0]), s - int(ok[0])) if len(ok) else ()
+
+    def exact(self, gap: int) -> tuple[int, ...]:
+        """One to three available lengths that fill the gap exactly; () if none do."""
+        if self.left[gap]:
+            return (gap,)
+        if found := self.pair(gap, gap):
+            return found
+        for a in self.triples[gap].tolist():
+            if self.left[a]:
+                self.left[a] -= 1
+                rest = self.pair(gap - a, a)
+                self.left[a] += 1
+                if rest:
+                    return (a, *rest)
+        return ()
+
+
+Row = tuple[int, tuple[int, ...]]
+
+
+def _take(left: np.ndarray, chosen: list[int]) -> Row:
+    """Use a combination as often as there are pieces for it."""
+    used = {x: chosen.count(x) for x in set(chosen)}
+    times = min(int(left[x]) // n for x, n in used.items())
+    for x, n in used.items():
+        left[x] -= times * n
+    return times, tuple(chosen)
+
+
+def _exact_rows(left: np.ndarray, sums: _Sums) -> list[Row]:
+    """Full sequences, from the longest length down; `left` keeps what has no complement."""
+    out, capacity = [], len(left) - 1
     for length in range(capacity, 0, -1):
         while left[length]:
             left[length] -= 1
-            chosen, gap = [length], capacity - length
+            exact = sums.exact(capacity - length) if length < capacity else ()
+            left[length] += 1
+            if not exact and length < capacity:
+                break
+            out.append(_take(left, [length, *exact]))
+    return out
+
+
+def _residual_rows(left: np.ndarray, sums: _Sums) -> list[Row]:
+    """The rest by best fit: the longest length that fits goes in until none does, or an
+    exact complement closes the gap."""
+    out, capacity = [], len(left) - 1
+    for length in range(capacity, 0, -1):
+        while left[length]:
+            chosen, gap, before = [length], capacity - length, left.copy()
+            left[length] -= 1
             while gap:
-                exact = _complement(left, gap)
-                if exact:
-                    chosen += exact
-                    for x in exact:
-                        left[x] -= 1
-                    break
-                fits = np.flatnonzero(left[1 : gap + 1])
-                if not len(fits):
+                more = sums.exact(gap) or tuple(np.flatnonzero(left[: gap + 1])[-1:].tolist())
+                if not more or not more[0]:
                     break
-                best = int(fits[-1]) + 1
-                chosen.append(best)
-                left[best] -= 1
-                gap -= best
-            used = {x: chosen.count(x) for x in set(chosen)}
-            more = min(int(left[x]) // n for x, n in used.items())
-            for x, n in used.items():
-                left[x] -= more * n
-            plan.append((1 + more, tuple(chosen)))
-    return plan
+                chosen += more
+                for x in more:
+                    left[x] -= 1
+                gap -= sum(more)
+            left[:] = before
+            out.append(_take(left, chosen))
+    return out
+
+
+def pack_plan(counts: dict[int, int], capacity: int) -> list[Row]:
+    """Rows (m, lengths): m sequences, each holding pieces of these lengths.
+
+    First, gaps are filled by exact complements of one, two or three available lengths, as
+    often as availability allows; what has none is packed by best fit.  Exact sequences
+    may have used up the short pieces that the rest would need, so those of the shortest
+    pieces (a growing share of them, up to all) are tried again together with the rest,
+    and the smallest outcome counts.  A row stands for many sequences, so the rows follow
+    the number of lengths, not of pieces.
+    """
+    left = np.zeros(capacity + 1, dtype=np.int64)
+    for length, n in counts.items():
+        left[length] += n
+    sums = _Sums(left)
+    exact = sorted(_exact_rows(left, sums), key=lambda r: (max(r[1]), r[1]))
+    rest, best, size = left.copy(), None, 0
+    full = sum(m for m, _ in exact)
+    for share in (0, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1):
+        left[:] = rest
+        kept, undone = [], 0
+        for m, lengths in exact:
+            if undone < share * full:
+                undone += m
+                for x in lengths:
+                    left[x] += m
+            else:
+                kept.append((m, lengths))
+        plan = kept + _residual_rows(left, sums)
+        used = sum(m for m, _ in plan)
+        if best is None or used < size:
+            best, size = plan, used
+    return best
 
 
 def _places(plan: list[tuple[int, tuple[int, ...]]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
