@@ -13,9 +13,11 @@ Candidates are never expanded into pairs.  Documents with equal shingle sets fir
 become one class.  Classes sharing a key are chained to the smallest class of the key;
 the components of those chains are clusters.  A cluster of bounded weight is one block;
 larger ones are cut into blocks (see `_blocks`).  First each block is compared within
-itself.  A key whose classes are then all in one component is settled; blocks meet only
-over keys that still hold several, first by one class of each block and component, then
-with all classes of the keys left open, so that no link is missed.  A comparison reads
+itself.  A key whose classes are then all in one component is settled.  For keys that
+still hold several, a few classes of each component are dealt to blocks anew and compared,
+round after round, as long as that joins components: copies of one text settle in as many
+rounds as its group has digits, with no meeting of all its blocks.  Only keys that are
+still open then have all their blocks meet, so that no link is missed.  A comparison reads
 full shingle sets, skips pairs already joined and yields a spanning forest of confirmed
 links, at most one row per document.
 """
@@ -38,7 +40,7 @@ from tessera.plans.storage import shared_table
 
 POSITIONS = 64
 #: Weight of a block in shingles, and bytes of the bit rows that a task holds at once.
-BLOCK_SHINGLES = 600_000
+BLOCK_SHINGLES = 100_000
 MATRIX_BYTES = 128 << 20
 
 _FACTORS = mix64(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -96,7 +98,8 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _blocks(keyed: DataFrame, weights: DataFrame) -> DataFrame:
-    """(node, block, cut) of the keyed classes; cut: the cluster makes several blocks.
+    """(node, block, cut, cluster, weight) of the keyed classes; cut: the cluster makes
+    several blocks.
 
     A cluster of at most BLOCK_SHINGLES is one block.  In a larger one, a cell is what
     shares its smallest keyed companion: small cells are dealt to blocks by their name,
@@ -119,18 +122,28 @@ def _blocks(keyed: DataFrame, weights: DataFrame) -> DataFrame:
         .otherwise(F.xxhash64(F.lit(2), "cell", F.pmod(F.xxhash64("node"), parts("cell_weight"))))
     )
     weighed = join_counted(join_counted(placed, by("cluster"), "cluster", total), by("cell"), "cell", total)
-    return shared_table(weighed.select("node", block.alias("block"), cut.alias("cut")), "blocks")
+    return shared_table(weighed.select("node", block.alias("block"), cut.alias("cut"), "cluster", "weight"), "blocks")
 
 
-def _labelled(blocked: DataFrame, links: DataFrame) -> DataFrame:
-    """blocked(key, node, block) with `label`, the component by links, for the keys whose
-    classes lie in several blocks and several components."""
-    roots = components(links)
-    placed = blocked.join(roots, "node", "left").select("key", "node", "block", F.coalesce("root", "node").alias("label"))
+def _open(blocked: DataFrame, links: DataFrame) -> DataFrame:
+    """blocked(key, node, block, cluster, weight) with `label`, the component by links, for
+    the keys whose classes lie in several blocks and several components."""
+    placed = blocked.join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     spread = placed.groupBy("key").agg(
         F.min("label").alias("l"), F.max("label").alias("m"), F.min("block").alias("b"), F.max("block").alias("c")
     )
-    return placed.join(spread.where("l <> m and b <> c").select("key"), "key", "left_semi")
+    return shared_table(placed.join(spread.where("l <> m and b <> c").select("key"), "key", "left_semi"), "open")
+
+
+def _sampled(left: DataFrame, turn: int) -> DataFrame:
+    """(node, task, side): up to four classes of each open component, dealt to blocks of
+    their cluster that are new in every turn."""
+    some = left.groupBy("cluster", "label", F.pmod(F.xxhash64("node"), F.lit(4))).agg(F.min(F.struct("node", "weight")).alias("one"))
+    some = some.select("cluster", "one.node", "one.weight").distinct()
+    size = some.groupBy("cluster").agg(F.sum("weight").alias("size"), F.count("*").alias("n"))
+    dealt = join_counted(some, size, "cluster", max(1, some.count()))
+    part = F.pmod(F.xxhash64(F.lit(turn), "node"), F.ceil(F.col("size") / BLOCK_SHINGLES))
+    return dealt.select("node", F.xxhash64(F.lit(turn), "cluster", part).alias("task"), F.lit(-1).alias("side"))
 
 
 def _across(open_keys: DataFrame) -> DataFrame:
@@ -251,14 +264,15 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
         return shared_table(_confirm(found.select("uid", "text").join(dealt, "uid"), k, percent), "confirmed")
 
     links = confirmed(blocks.select("node", F.col("block").alias("task"), F.lit(-1).alias("side")))
-    cut = blocks.where("cut").select("node", "block")
+    cut = blocks.where("cut").select("node", "block", "cluster", "weight")
     if not cut.isEmpty():
         blocked = shared_table(keyed.select("key", "node").join(cut, "node"), "blocked")
-        one_each = ["key", "block", "label"]
-        few = _labelled(blocked, links).groupBy(one_each).agg(F.min("node").alias("node"))
-        links = links.union(confirmed(_across(shared_table(few, "open"))))
-        left = shared_table(_labelled(blocked, links), "open")
-        links = links.union(confirmed(_across(left)))
+        left, turn, before = _open(blocked, links), 0, None
+        while (labels := left.select("label").distinct().count()) and (before is None or 4 * labels <= 3 * before):
+            links = links.union(confirmed(_sampled(left, turn)))
+            left, turn, before = _open(blocked, links), turn + 1, labels
+        if labels:
+            links = links.union(confirmed(_across(left)))
     roots = components(links)
     return found, classes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
