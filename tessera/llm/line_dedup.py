@@ -1,11 +1,11 @@
 """Cross-site line deduplication by distinct-site spread, in DataFrame functions only.
 
-A line that many sites show is boilerplate.  Every line is named by a hash of its
-normalised form.  First, one aggregation counts each name's occurrences and finds the
-first document that shows it: a line that occurs less often than the spread asked for
-cannot reach it.  For the rest, HyperLogLog sketches of the sites are built per name and
-merged by aggregation; an estimate well above or below the threshold decides, one near it
-is replaced by an exact distinct count.
+A line that many sites show is boilerplate.  Every line is named by two hashes of its
+normalised form, 128 bits together.  First, one aggregation counts each name's
+occurrences and finds the first document that shows it: a line that occurs less often
+than the spread asked for cannot reach it.  For the rest, HyperLogLog sketches of the
+sites are built straight from the lines and merged by aggregation; an estimate well above
+or below the threshold decides, one near it is replaced by an exact distinct count.
 """
 
 from __future__ import annotations
@@ -18,14 +18,15 @@ from tessera.plans.storage import shared_table
 
 #: A line shown by so many distinct sources or more is boilerplate.
 MIN_SITES = 3
-#: Lines of fewer words are left alone where the caller does not say otherwise.
-MIN_WORDS = 4
+#: Lines of fewer words are left alone; 1: every line that is not blank is judged.
+MIN_WORDS = 1
 #: Around the threshold, the share within which a sketch's estimate is not trusted
 #: (eight standard errors of 2^10 registers); at least one.
 _LG_K, _BAND = 10, 0.26
 #: Names that make up one part in so many of all repeated lines are hot: no more than
 #: that many can be, so their list is small enough to broadcast, whatever the corpus.
 HOT_NAMES = 1000
+_NAME = ["name", "check"]
 
 
 def _lines(text: str) -> Column:
@@ -33,77 +34,82 @@ def _lines(text: str) -> Column:
 
 
 def _name(line: Column, min_words: int) -> Column:
-    """Hash of the line in lower case, white space collapsed; null if it is too short.
-    The expression engine meets few lines with white space to collapse."""
+    """(name, check), two hashes of the line in lower case, white space collapsed; null if
+    it is too short.  The expression engine meets few lines with white space to collapse."""
     odd = line.contains("  ") | line.contains("\t") | line.contains("\r") | line.contains("\f") | line.contains("\x0b")
     plain = F.trim(F.lower(F.when(odd, F.regexp_replace(line, "[ \t\r\f\x0b]+", " ")).otherwise(line)))
-    return F.when(F.substring_index(plain, " ", min_words - 1) != plain, F.xxhash64(plain))
+    both = F.struct(F.xxhash64(plain).alias("name"), F.xxhash64(F.lit(1), plain).alias("check"))
+    return F.when(F.substring_index(plain, " ", min_words - 1) != plain, both)
 
 
 def repeated(lines: DataFrame, least: int) -> DataFrame:
-    """(name, n, first_doc, hot) of the names that occur `least` times or more."""
-    often = lines.groupBy("name").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc"))
+    """(name, check, n, first_doc, hot) of the names that occur `least` times or more."""
+    often = lines.groupBy(*_NAME).agg(F.count("*").alias("n"), F.min("doc").alias("first_doc"))
     often = shared_table(often.where(F.col("n") >= least), "repeated")
     total = often.agg(F.sum("n")).first()[0] or 0
     return often.withColumn("hot", F.col("n") * HOT_NAMES >= F.lit(total))
 
 
 def join_salted(lines: DataFrame, named: DataFrame, hot: DataFrame) -> DataFrame:
-    """lines joined with named on name.  Rows of a hot name are dealt over all tasks by
-    document, to as many copies of its row in named; other names have one."""
+    """lines joined with named on name and check.  Rows of a hot name are dealt over all
+    tasks by document, to as many copies of its row in named; other names have one."""
     salts = partitions(lines.sparkSession)
-    marked = F.broadcast(hot.select("name", F.lit(True).alias("__hot")))
-    left = lines.join(marked, "name", "left")
+    marked = F.broadcast(hot.select(*_NAME, F.lit(True).alias("__hot")))
+    left = lines.join(marked, _NAME, "left")
     left = left.withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64("doc"), F.lit(salts))).otherwise(F.lit(0).cast("long"))).drop("__hot")
-    right = named.join(marked, "name", "left")
+    right = named.join(marked, _NAME, "left")
     copies = F.when(F.col("__hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     right = right.withColumn("__salt", F.explode(copies)).drop("__hot")
-    return left.join(right, ["name", "__salt"]).drop("__salt")
+    return left.join(right, [*_NAME, "__salt"]).drop("__salt")
 
 
 def boilerplate(lines: DataFrame, min_sites: int, often: DataFrame | None = None) -> DataFrame:
-    """(name, first_doc) of the names in lines(name, doc, site) that min_sites distinct
-    sites or more show; often: what `repeated` says of these lines, if known."""
+    """(name, check, first_doc) of the names in lines(name, check, doc, site) that min_sites
+    distinct sites or more show; often: what `repeated` says of these lines, if known."""
     often = repeated(lines, min_sites) if often is None else often
-    named, hot = often.select("name", "first_doc"), often.where("hot")
-    spread = join_salted(lines, named, hot).groupBy("name", "first_doc").agg(F.hll_sketch_agg("site", _LG_K).alias("sketch"))
-    sized = spread.select("name", "first_doc", F.hll_sketch_estimate("sketch").alias("sites"))
+    by = [*_NAME, "first_doc"]
+    named, hot = often.select(*by), often.where("hot")
+    spread = join_salted(lines, named, hot).groupBy(*by).agg(F.hll_sketch_agg("site", _LG_K).alias("sketch"))
+    sized = spread.select(*by, F.hll_sketch_estimate("sketch").alias("sites"))
     band = max(1.0, _BAND * min_sites)
-    near = sized.where(F.abs(F.col("sites") - min_sites) <= band).select("name", "first_doc")
-    exact = join_salted(lines, near, hot).groupBy("name", "first_doc").agg(F.count_distinct("site").alias("sites"))
-    sure = sized.where(F.col("sites") - min_sites > band).select("name", "first_doc")
-    return sure.union(exact.where(F.col("sites") >= min_sites).select("name", "first_doc"))
+    near = sized.where(F.abs(F.col("sites") - min_sites) <= band).select(*by)
+    exact = join_salted(lines, near, hot).groupBy(*by).agg(F.count_distinct("site").alias("sites"))
+    sure = sized.where(F.col("sites") - min_sites > band).select(*by)
+    return sure.union(exact.where(F.col("sites") >= min_sites).select(*by))
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """docs without cross-site boilerplate lines; adds n_lines and n_removed.
 
-    A line of min_words words or more (1: every line that is not blank) that min_sites distinct `source` values show stays
+    A line of min_words words or more that min_sites distinct `source` values show stays
     in the document with the smallest doc_id that has it, where it first stands, and goes
     everywhere else; so one copy of everything remains.  Other lines, blank ones
     included, stay as they are.  Null texts stay null with no lines.  A null source is no
     site; a null doc_id is larger than any.  Rows repeating a doc_id are treated alike.
-    All rows and columns stay, and an empty table gives an empty result.
+    All rows and columns stay, in their order; a column that has one of the names in
+    `counts` gives way to the count, so a caller with such columns names others.  An empty
+    table gives an empty result.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     every = F.transform(_lines("text"), lambda line: _name(line, min_words))
-    names = F.array_compact(F.array_distinct(every))
-    named = docs.select(key.alias("doc"), F.col("source").cast("string").alias("site"), names.alias("names"))
-    lines = shared_table(named, "names").select("doc", "site", F.explode("names").alias("name"))
+    named = docs.select(key.alias("doc"), F.col("source").cast("string").alias("site"), F.array_compact(every).alias("names"))
+    lines = shared_table(named, "names").select("doc", "site", F.inline("names"))
     often = repeated(lines, min_sites)
     found = boilerplate(lines, min_sites, often)
-    hits = join_salted(lines, found, often.where("hot")).select("doc", "name", (F.col("doc") == F.col("first_doc")).alias("own"))
-    marks = hits.groupBy("doc").agg(
-        F.collect_set(F.when(~F.col("own"), F.col("name"))).alias("__gone"), F.collect_set(F.when(F.col("own"), F.col("name"))).alias("__once")
+    hits = join_salted(lines, found, often.where("hot")).select("doc", F.struct(*_NAME).alias("line"), (F.col("doc") == F.col("first_doc")).alias("own"))
+    marks = hits.groupBy(F.col("doc").alias("of")).agg(
+        F.collect_set(F.when(~F.col("own"), F.col("line"))).alias("gone"), F.collect_set(F.when(F.col("own"), F.col("line"))).alias("once")
     )
-    joined = docs.withColumn("__key", key).join(marks.withColumnRenamed("doc", "__of"), F.col("__key") == F.col("__of"), "left")
-    keep = F.when(F.col("__of").isNull(), _lines("text")).otherwise(
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("row"), key.alias("key"), F.col("text").alias("text"))
+    joined = rows.join(marks, F.col("key") == F.col("of"), "left")
+    keep = F.when(F.col("of").isNull(), _lines("text")).otherwise(
         F.transform(
             F.filter(
-                F.arrays_zip(_lines("text").alias("line"), F.col("__names").alias("name"), F.sequence(F.lit(1), F.size("__names")).alias("at")),
+                F.arrays_zip(_lines("text").alias("line"), F.col("names").alias("name"), F.sequence(F.lit(1), F.size("names")).alias("at")),
                 lambda x: F.coalesce(
-                    ~F.array_contains("__gone", x["name"])
-                    & (~F.array_contains("__once", x["name"]) | (F.array_position("__names", x["name"]) == x["at"])),
+                    ~F.array_contains("gone", x["name"])
+                    & (~F.array_contains("once", x["name"]) | (F.array_position("names", x["name"]) == x["at"])),
                     F.lit(True),
                 ),
             ),
@@ -111,13 +117,13 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MI
         )
     )
     # The generator keeps later filters from being pushed below, which would judge lines twice.
-    judged = joined.withColumn("__names", F.when(F.col("__of").isNotNull(), every)).withColumn("__judged", keep)
-    out = judged.withColumn("__kept", F.explode(F.array("__judged")))
+    judged = joined.withColumn("names", F.when(F.col("of").isNotNull(), every)).withColumn("judged", keep)
+    out = judged.withColumn("kept", F.explode(F.array("judged")))
     total = F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines("text")))
-    left = F.when(F.col("text").isNull(), 0).otherwise(F.size("__kept"))
-    text = F.when(F.col("text").isNotNull(), F.array_join("__kept", "\n"))
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    return out.select(*own, text.alias("text"), total.cast("long").alias("n_lines"), (total - left).cast("long").alias("n_removed"))
+    left = F.when(F.col("text").isNull(), 0).otherwise(F.size("kept"))
+    text = F.when(F.col("text").isNotNull(), F.array_join("kept", "\n"))
+    own = [text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in counts]
+    return out.select(*own, total.cast("long").alias(counts[0]), (total - left).cast("long").alias(counts[1]))
 
 
 def dedup_report_sql(min_sites: int = MIN_SITES, documents: str = "documents") -> str:
@@ -129,7 +135,7 @@ WITH lines AS (
   FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM {documents} WHERE text IS NOT NULL) d,
        LATERAL (SELECT unnest(parts) AS line, generate_subscripts(parts, 1) AS pos) u
 ), long AS (
-  SELECT *, length(plain) - length(replace(plain, ' ', '')) + 1 >= {MIN_WORDS} AS counts FROM lines
+  SELECT *, plain <> '' AND length(plain) - length(replace(plain, ' ', '')) + 1 >= {MIN_WORDS} AS counts FROM lines
 ), found AS (
   SELECT plain, min(doc_id) AS first_doc FROM long WHERE counts GROUP BY plain HAVING count(DISTINCT source) >= {min_sites}
 ), judged AS (
