@@ -33,10 +33,11 @@ _SETTLED = regex.compile(r"[\u0000-՗ա-ֆא-תء-يऄ-हก-ะḀ-ỿ‐-⁞
 
 class _Recent:
     """Bounded memory of a function: two generations of at most `limit` entries; what is
-    used again moves to the young one, the old one goes when that is full."""
+    used again moves to the young one, the old one goes when that is full.  Keys whose
+    length (by `size`) exceeds 64 are not kept, so that the bytes held are bounded too."""
 
-    def __init__(self, make: Callable, limit: int) -> None:
-        self.make, self.limit = make, limit
+    def __init__(self, make: Callable, limit: int, size: Callable = len) -> None:
+        self.make, self.limit, self.size = make, limit, size
         self.young: dict = {}
         self.old: dict = {}
 
@@ -48,7 +49,7 @@ class _Recent:
                 known = self.make(key)
             if len(self.young) >= self.limit:
                 self.old, self.young = self.young, {}
-            if len(key) <= 64:
+            if self.size(key) <= 64:
                 self.young[key] = known
         return known
 
@@ -90,7 +91,7 @@ class WordBpe:
         library = Tokenizer.from_file(path)
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         self.words = _Recent(self.word, cache)
-        self.fragments = _Recent(self._fragment, cache)
+        self.fragments = _Recent(self._fragment, cache, lambda key: len(key[0]))
 
     def _inside(self, symbol: dict[int, str]) -> bytearray:
         """1 for each pair of bytes (256 * first + second) inside some token."""

@@ -1,33 +1,39 @@
 """Licence scan: a trained paragraph classifier, in DataFrame functions only.
 
-A sparse logistic regression over word unigrams and bigrams names the licence family of
-a paragraph, or the unknown class.  It is trained on the driver from the notice
-templates below: whole, shortened, reworded and set among other words, against
-paragraphs that speak of licences without granting one.  A temperature fitted on
-held-out variants calibrates its probabilities, and so the unknown class.  A family
-counts only where comparison with the templates of that family confirms it.
-
-The weights are a literal of a few hundred entries, so the scan is a projection: one
-pass over the texts, no shuffle of them.
+Sparse logistic regressions over word unigrams and bigrams, one per licence family and
+one for notices of no known family, judge every paragraph of every text.  They are
+trained on the driver from the notice templates below: whole, shortened, mixed with each
+other and set among other words, against paragraphs that speak of licences without
+granting one.  Each is calibrated on variants it has not seen.  A family counts only
+where comparison with its templates confirms it, and one paragraph may name several.
+
+Paragraphs are parted by lines without letters or digits, so a wrapped notice is read as
+one.  A long paragraph is judged in windows of WINDOW words, each overlapping the next
+by half, so that a notice of up to half a window is seen whole.  Words and pairs of words
+meet the features, a list of bounded size, in a broadcast join; a window's features are
+kept as bits, so what is shuffled is a row of fixed size per window that holds any.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
-#: Probability that a family needs, and overlap with one of its templates.
-MIN_PROBABILITY, MIN_OVERLAP = 0.6, 0.6
-#: Paragraphs are looked at where they hold one of these, in lower case.
-ANCHORS = "licen[cs]|copyright|spdx|permission is hereby granted|redistribution and use|public domain|all rights reserved|without warranty|creative commons"
-
-# Short notices by licence family.
+#: Probability that a verdict needs, and share of a template's word pairs to be found.
+MIN_PROBABILITY, MIN_OVERLAP = 0.5, 0.6
+WINDOW, STRIDE = 64, 32
+#: A point counts as part of a word before a digit alone, as in version numbers.
+POINTS, WORD_GAPS = r"\.(?![0-9])", "[^a-z0-9.]+"
+PARAGRAPH_GAPS = r"\n[^a-z0-9]*\n"
+
+# Short notices by licence family, in words of the public licence texts.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "apache": (
         "Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0",
@@ -42,40 +48,60 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the BSD 3-Clause License", "Released under the BSD license", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     ),
+    "isc": (
+        "Licensed under the ISC license", "SPDX-License-Identifier: ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3", "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-only",
         "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-        "released under the GPL", "licensed under the GNU GPL version 2",
+        "released under the GPL", "licensed under the GNU GPL version 2", "licensed under GPL v2 or later", "GPL v3 or later", "GPL v2 or later",
     ),
     "lgpl": (
         "Licensed under the GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1-or-later", "released under the LGPL",
-        "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "LGPL v2.1 or later",
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "GNU Lesser General Public License v2.1",
     ),
     "agpl": (
         "Licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only", "released under the AGPL",
+        "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "AGPL v3 or later",
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
     ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0", "Licensed under the Mozilla Public License 2.0",
     ),
+    "epl": (
+        "made available under the terms of the Eclipse Public License v2.0", "SPDX-License-Identifier: EPL-2.0", "Licensed under the Eclipse Public License 1.0",
+    ),
+    "boost": (
+        "Distributed under the Boost Software License, Version 1.0", "SPDX-License-Identifier: BSL-1.0",
+    ),
     "cc-by": (
-        "Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "SPDX-License-Identifier: CC-BY-4.0",
+        "Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "SPDX-License-Identifier: CC-BY-4.0", "CC BY 4.0",
     ),
     "cc-by-sa": (
-        "Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "SPDX-License-Identifier: CC-BY-SA-4.0",
+        "Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "SPDX-License-Identifier: CC-BY-SA-4.0", "CC BY-SA 4.0",
     ),
     "cc-by-nc": (
         "Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-4.0",
-        "Licensed under CC BY-NC-SA 4.0",
+        "Licensed under CC BY-NC-SA 4.0", "CC BY-NC 4.0", "CC BY-NC-ND 4.0",
     ),
     "public-domain": (
         "This work is dedicated to the public domain under CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0",
         "This is free and unencumbered software released into the public domain",
     ),
     "proprietary": (
-        "All rights reserved. No part of this publication may be reproduced without written permission", "Copyright 2020 the authors. All rights reserved",
+        "All rights reserved", "No part of this publication may be reproduced without written permission", "Copyright 2020 the authors. All rights reserved",
     ),
 }
-# Paragraphs that name licences or rights without a grant by a family.
+# Notices of no known family; X stands for any name.
+UNNAMED = (
+    "Licensed under the X License", "Released under the X License", "released under the terms of the X license", "SPDX-License-Identifier: X",
+    "distributed under the X public license version 1.1", "This work is licensed under the X license", "licensed under X 2.0", "see the X license for the terms of use",
+    "made available under the X license agreement",
+)
+# Paragraphs that name licences or rights without a notice.
 OTHERS = (
     "the driver had to show a valid license at the checkpoint", "a fishing licence costs ten pounds a year", "the software license agreement was signed in march",
     "copyright law protects original works of authorship", "the pub lost its licence to sell alcohol", "see the license file for details",
@@ -83,61 +109,89 @@ OTHERS = (
     "version 3 of the report was released in april", "poetic license is granted to every author", "he works at mit and studies physics",
     "the apache helicopter landed", "licensed under the old school", "released under the bridge", "the license plate was missing",
     "this work is the first of its kind", "without warranty the purchase is risky", "the creative commons room on the first floor is open", "the song entered the public domain last year",
+    "the terms of the agreement were published by the foundation", "the film was released under a new title in 2019", "permission was granted by the council free of charge",
+    "the mozilla browser and the eclipse editor are free software", "any person may obtain a copy of this report at the office", "the general public license fee for television rose again",
+    "a boost in software sales was reported", "she studied the history of the gnu project and the free software foundation", "the rights of the authors are reserved for the next chapter",
+    "no part of the house was left standing", "use of the source in binary forms is discussed in section 2.0", "the following conditions are met by all candidates",
+    "modify the recipe and distribute the dough over the tray", "attribution of the painting is uncertain", "the international agreement 4.0 was signed",
 )
+# Words that count only in pairs.
+STOP = frozenset("a an and any are as at be by can for from in into is it its may no not of on or that the this to under use was were with you".split())
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in re.split(r"[^a-z0-9.]+", text.lower()) if w.strip(".")]
+    return [w for w in re.split(WORD_GAPS, re.sub(POINTS, " ", text.lower())) if w]
 
 
 def grams(words: list[str]) -> set[str]:
-    words = [w.strip(".") for w in words]
-    return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
+    return {*(w for w in words if w not in STOP), *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
 
 
 @dataclass(frozen=True)
 class Model:
     classes: tuple[str, ...]
-    weights: dict[str, tuple[float, ...]]
-    bias: tuple[float, ...]
-
-    def probabilities(self, text: str) -> dict[str, float]:
-        z = np.array(self.bias)
-        for g in grams(words_of(text)):
-            if g in self.weights:
-                z = z + np.array(self.weights[g])
-        p = np.exp(z - z.max())
-        return dict(zip(self.classes, (p / p.sum()).tolist(), strict=True))
-
-
-def _variants(rng: np.random.Generator, n: int) -> tuple[list[set[str]], list[int]]:
-    classes = [*TEMPLATES, UNKNOWN]
-    filler = sorted({w for text in OTHERS for w in words_of(text)} - {"license", "licence", "licensed", "mit", "apache", "public", "domain"})
+    features: tuple[str, ...]
+    weights: np.ndarray  # features x classes, calibration included
+    bias: np.ndarray
+    templates: tuple[tuple[int, tuple[int, ...]], ...]  # (class, its word pairs as feature numbers)
+
+    def logits(self, text: str) -> dict[str, float]:
+        at = {g: i for i, g in enumerate(self.features)}
+        held = [at[g] for g in grams(words_of(text)) if g in at]
+        return dict(zip(self.classes, (self.weights[held].sum(axis=0) + self.bias).tolist(), strict=True))
+
+
+def _variants(rng: np.random.Generator, n: int) -> tuple[list[set[str]], np.ndarray]:
+    """Training paragraphs as gram sets, and the classes of each as 0/1 columns."""
+    families = list(TEMPLATES)
+    filler = sorted({w for text in OTHERS for w in words_of(text)} - {"license", "licence", "licensed", "mit", "apache", "public", "domain", "reserved"})
+    pick = lambda pool: pool[int(rng.integers(len(pool)))]
     rows, labels = [], []
-    pools = [*TEMPLATES.values(), OTHERS]
-    for y, pool in enumerate(pools):
-        for _ in range(n * (3 if classes[y] == UNKNOWN else 1)):
-            words = words_of(pool[int(rng.integers(len(pool)))])
-            if classes[y] == UNKNOWN and rng.random() < 0.4:  # words of a notice, out of order
-                words = words_of(list(TEMPLATES.values())[int(rng.integers(len(TEMPLATES)))][0])
-                words = [w for w in rng.permutation(words).tolist() if rng.random() < 0.4]
-            else:
-                words = [w for w in words if rng.random() < 0.97]
-            around = rng.choice(filler, int(rng.integers(0, 12))).tolist()
-            cut = int(rng.integers(0, len(around) + 1))
-            rows.append(grams([*around[:cut], *words, *around[cut:]]))
-            labels.append(y)
-    return rows, labels
+
+    def add(parts: list[list[str]], *named: int) -> None:
+        words = [w for part in parts for w in part if rng.random() < 0.97]
+        around = rng.choice(filler, int(rng.integers(0, 30))).tolist()
+        cut = int(rng.integers(0, len(around) + 1))
+        rows.append(grams([*around[:cut], *words, *around[cut:]]))
+        labels.append([int(y in named) for y in range(len(families) + 1)])
+
+    for y, family in enumerate(families):
+        for _ in range(n):
+            add([words_of(pick(TEMPLATES[family]))], y)
+        for _ in range(n // 3):
+            other = int(rng.integers(len(families)))
+            add([words_of(pick(TEMPLATES[family])), *([["or"], ["and"], []][int(rng.integers(3))],), words_of(pick(TEMPLATES[families[other]]))], y, other)
+    for _ in range(4 * n):
+        name = rng.choice(filler, int(rng.integers(1, 3))).tolist() if rng.random() < 0.3 else ["zz"]
+        add([[x for w in words_of(pick(UNNAMED)) for x in (name if w == "x" else [w])]], len(families))
+    for _ in range(8 * n):
+        add([words_of(pick(OTHERS))])
+    for _ in range(4 * n):  # words of a notice, out of order
+        words = words_of(pick(TEMPLATES[pick(families)]))
+        add([[w for w in rng.permutation(words).tolist() if rng.random() < 0.4]])
+    return rows, np.array(labels, dtype=np.float32)
+
+
+def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(a, b) for which sigmoid(a z + b) fits y best, by Newton steps; a stays positive."""
+    a, b = 1.0, 0.0
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        w, d = p * (1 - p) + 1e-4, p - y
+        h = np.array([[np.sum(w * z * z) + 1, np.sum(w * z)], [np.sum(w * z), np.sum(w) + 1e-3]])
+        step = np.linalg.solve(h, np.array([np.sum(d * z) + (a - 1), np.sum(d)]))
+        a, b = max(0.2, a - float(step[0])), b - float(step[1])
+    return a, b
 
 
 @lru_cache(maxsize=1)
 def trained() -> Model:
-    """The classifier; training is repeatable and takes a second or two."""
+    """The classifiers; training is repeatable and takes a second or two."""
     rng = np.random.default_rng(5)
-    classes = (*TEMPLATES, UNKNOWN)
-    rows, labels = _variants(rng, 120)
-    held, held_labels = _variants(rng, 40)
-    names = sorted({g for pool in [*TEMPLATES.values(), OTHERS] for t in pool for g in grams(words_of(t))})
+    families = list(TEMPLATES)
+    rows, y = _variants(rng, 120)
+    held, held_y = _variants(rng, 60)
+    names = sorted({g for pool in [*TEMPLATES.values(), UNNAMED, OTHERS] for t in pool for g in grams(words_of(t)) if g != "x" and not {"x"} & set(g.split())})
     at = {g: i for i, g in enumerate(names)}
 
     def matrix(found: list[set[str]]) -> np.ndarray:
@@ -146,103 +200,127 @@ def trained() -> Model:
             x[i, [at[g] for g in r if g in at]] = 1
         return x
 
-    x, y = matrix(rows), np.array(labels)
-    w, b = np.zeros((len(names), len(classes)), np.float32), np.zeros(len(classes), np.float32)
-    for epoch in range(40):
+    x = matrix(rows)
+    w, b = np.zeros((len(names), y.shape[1]), np.float32), np.full(y.shape[1], -2, np.float32)
+    for epoch in range(50):
+        rate = 2.0 / (1 + epoch / 10)
         for part in np.array_split(rng.permutation(len(y)), len(y) // 32):
-            z = x[part] @ w + b
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(part)), y[part]] -= 1
-            rate = 1.0 / (1 + epoch / 8)
-            w -= rate * (x[part].T @ p / len(part) + 2e-4 * w)
-            b -= rate * p.mean(axis=0)
-    z, y = matrix(held) @ w + b, np.array(held_labels)
-
-    def loss(t: float) -> float:
-        s = z / t
-        top = s.max(axis=1)
-        return float(np.mean(np.log(np.exp(s - top[:, None]).sum(axis=1)) + top - s[np.arange(len(y)), y]))
-
-    t = min((float(t) for t in np.geomspace(0.25, 4, 33)), key=loss)
-    weights = {g: tuple(round(float(v), 4) for v in w[i] / t) for g, i in at.items() if np.abs(w[i]).max() > 0.05}
-    return Model(classes, weights, tuple(round(float(v), 4) for v in b / t))
-
-
-def _template_grams() -> dict[str, list[list[str]]]:
-    return {f: [sorted(g for g in grams(words_of(t)) if " " in g) for t in ts] for f, ts in TEMPLATES.items()}
-
-
-def overlap(text: str, family: str) -> float:
-    """Shared bigrams over those of the shorter side, for the closest template."""
-    own = {g for g in grams(words_of(text)) if " " in g}
-    return max((len(own & set(t)) / max(1, min(len(own), len(t))) for t in _template_grams()[family]), default=0.0)
-
-
-def classify(text: str) -> str | None:
-    """The family of a paragraph, UNKNOWN, or None where it holds no anchor; plain
-    Python twin of the scan, for tests and single texts."""
-    if not re.search(ANCHORS, text.lower()):
-        return None
-    p = trained().probabilities(text)
-    best = max(p, key=lambda c: (p[c], c))
-    return best if best != UNKNOWN and p[best] >= MIN_PROBABILITY and overlap(text, best) >= MIN_OVERLAP else UNKNOWN
+            d = 1 / (1 + np.exp(-(x[part] @ w + b))) - y[part]
+            w -= rate * (x[part].T @ d / len(part))
+            b -= rate * d.mean(axis=0)
+            w = np.sign(w) * np.maximum(np.abs(w) - rate * 1e-4, 0)  # sparse: small weights go
+    z = matrix(held) @ w + b
+    fits = [_platt(z[:, c], held_y[:, c]) for c in range(y.shape[1])]
+    scale, shift = np.array([f[0] for f in fits]), np.array([f[1] for f in fits])
+    pairs = {g for ts in TEMPLATES.values() for t in ts for g in grams(words_of(t)) if " " in g}
+    used = [i for i, g in enumerate(names) if np.abs(w[i]).max() > 0 or g in pairs]
+    features = tuple(names[i] for i in used)
+    number = {g: i for i, g in enumerate(features)}
+    templates = tuple((f, tuple(sorted(number[g] for g in grams(words_of(t)) if " " in g))) for f, family in enumerate(families) for t in TEMPLATES[family])
+    return Model((*families, UNKNOWN), features, np.round(w[used] * scale, 4).astype(float), np.round(b * scale + shift, 4).astype(float), templates)
 
 
 def _literal(value) -> Column:
-    if isinstance(value, list | tuple):
+    if isinstance(value, list | tuple | np.ndarray):
         return F.array(*map(_literal, value))
-    return F.lit(value)
-
-
-def _judged(paragraphs: DataFrame) -> DataFrame:
-    """Adds `family` (a family or UNKNOWN) to rows with a `paragraph`."""
-    model = trained()
-    zero = _literal([0.0] * len(model.classes))
-    table = F.create_map(*(c for g, v in model.weights.items() for c in (F.lit(g), _literal(list(v)))))
-    words = F.filter(
-        F.transform(F.split(F.lower("paragraph"), "[^a-z0-9.]+"), lambda w: F.regexp_replace(w, r"^\.+|\.+$", "")), lambda w: w != ""
+    return F.lit(value.item() if isinstance(value, np.generic) else value)
+
+
+def _feature_tables(spark: SparkSession, model: Model) -> tuple[DataFrame, DataFrame]:
+    """(lead, slot, bit, gain) of every word that is a feature or leads one, and of the
+    empty word, with nulls where it is none; and the same of pairs, by `pair`.  gain
+    bounds what a feature adds to any logit."""
+    gain = np.maximum(model.weights, 0).max(axis=1).round(4)
+    bit = lambda i: 1 << i % 63
+    own = {g: (i // 63, bit(i), float(gain[i])) for i, g in enumerate(model.features)}
+    leads = sorted({g.split(" ")[0] for g in own} | {""})
+    none = (None, None, None)
+    one = [(w, *own.get(w, none)) for w in leads]
+    two = [(g, *v) for g, v in own.items() if " " in g]
+    shown = lambda x: "null" if x is None else f"'{x}'" if isinstance(x, str) else f"{x}L" if isinstance(x, int) else f"{x}D"
+
+    def values(rows: list[tuple], names: str) -> DataFrame:
+        listed = ", ".join("(" + ", ".join(map(shown, r)) + ")" for r in rows)
+        return spark.sql(f"SELECT * FROM VALUES {listed} AS t({names})")
+
+    return values(one, "lead, u_slot, u_bit, u_gain"), values(two, "pair, b_slot, b_bit, b_gain")
+
+
+def _windows(paragraphs: DataFrame, model: Model, keys: list[str]) -> DataFrame:
+    """keys, para, window and the feature bits m0, m1, ... of the windows that hold
+    enough features for any verdict; all windows of para 0, which stand for the rows."""
+    spark = paragraphs.sparkSession
+    words = F.split(F.regexp_replace("paragraph", POINTS, " "), WORD_GAPS)
+    placed = paragraphs.select(*keys, "para", words.alias("__w")).select(
+        *keys, "para", F.posexplode(F.arrays_zip(F.col("__w").alias("w"), F.slice("__w", 2, F.greatest(F.size("__w") - 1, F.lit(1))).alias("v"))).alias("pos", "at")
     )
-    pairs = F.when(
-        F.size("__words") > 1,
-        F.transform(F.sequence(F.lit(1), F.size("__words") - 1), lambda i: F.concat_ws(" ", F.element_at("__words", i), F.element_at("__words", i + 1))),
-    ).otherwise(F.array().cast("array<string>"))
-    weighed = F.aggregate(
-        F.filter(F.transform(F.array_distinct(F.concat("__words", "__pairs")), lambda g: F.try_element_at(table, g)), lambda v: v.isNotNull()),
-        zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b), lambda acc: F.zip_with(acc, _literal(list(model.bias)), lambda a, b: a + b),
+    one, two = _feature_tables(spark, model)
+    led = placed.join(F.broadcast(one), F.col("at.w") == F.col("lead"))
+    hits = led.join(F.broadcast(two), F.concat("at.w", F.lit(" "), "at.v") == F.col("pair"), "left")
+    hits = hits.where(F.col("u_slot").isNotNull() | F.col("b_slot").isNotNull() | (F.col("para") == 0))
+    last = F.floor(F.col("pos") / STRIDE).cast("int")
+    hits = hits.withColumn("window", F.explode(F.when(last > 0, F.array(last, last - 1)).otherwise(F.array(last))))
+    own = lambda i, n: F.when(F.col(f"{n}_slot") == i, F.col(f"{n}_bit")).otherwise(F.lit(0).cast("long"))
+    slots = range(-(-len(model.features) // 63))
+    bits = [F.bit_or(own(i, "u").bitwiseOR(own(i, "b"))).alias(f"m{i}") for i in slots]
+    gain = F.sum(F.coalesce("u_gain", F.lit(0.0)) + F.coalesce("b_gain", F.lit(0.0))).alias("gain")
+    found = hits.groupBy(*keys, "para", "window").agg(*bits, gain, F.count("*").alias("n"))
+    need = math.log(MIN_PROBABILITY / (1 - MIN_PROBABILITY)) - float(model.bias.max())
+    return found.where((F.col("para") == 0) | (F.col("gain") >= need - 1e-6))
+
+
+def _judged(windows: DataFrame, model: Model) -> DataFrame:
+    """windows with `families`, the confirmed ones, and `unnamed`."""
+    slots = range(-(-len(model.features) // 63))
+    masks = F.array(*(F.col(f"m{i}") for i in slots))
+    held = F.filter(
+        _literal(list(range(len(model.features)))),
+        lambda g: F.getbit(F.element_at(masks, F.floor(g / 63).cast("int") + 1), (g % 63).cast("int")) == 1,
     )
-    scored = paragraphs.withColumn("__words", words).withColumn("__pairs", F.array_distinct(pairs)).withColumn("__z", weighed)
-    top = F.array_max("__z")
-    named = F.element_at(_literal(list(model.classes)), F.array_position("__z", top).cast("int"))
-    total = F.aggregate("__z", F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
-    scored = scored.withColumn("__top", named).withColumn("__p", 1 / total)
-    templates = F.create_map(*(c for f, ts in _template_grams().items() for c in (F.lit(f), _literal(ts))))
-    likest = F.array_max(
-        F.transform(
-            F.try_element_at(templates, F.col("__top")),
-            lambda t: F.size(F.array_intersect("__pairs", t)) / F.greatest(F.lit(1), F.least(F.size("__pairs"), F.size(t))),
+    out = windows.withColumn("held", F.when(F.col("para") > 0, held).otherwise(F.array().cast("array<int>")))
+    z = F.aggregate("held", _literal(model.bias), lambda acc, g: F.zip_with(acc, F.element_at(_literal(model.weights), g + 1), lambda a, b: a + b))
+    out = out.withColumn("z", z)
+    least = math.log(MIN_PROBABILITY / (1 - MIN_PROBABILITY))
+    by_family = [
+        F.when(
+            (F.element_at("z", f + 1) >= least)
+            & F.greatest(*(F.size(F.array_intersect("held", _literal(list(t)))) / F.lit(len(t)) for c, t in model.templates if c == f), F.lit(0.0)).__ge__(MIN_OVERLAP),
+            F.lit(name),
         )
+        for f, name in enumerate(model.classes[:-1])
+    ]
+    named = F.array_compact(F.array(*by_family))
+    seen = F.col("para") > 0
+    return out.withColumn("families", F.when(seen, named).otherwise(F.array().cast("array<string>"))).withColumn(
+        "unnamed", seen & (F.element_at("z", len(model.classes)) >= least)
     )
-    sure = (F.col("__top") != UNKNOWN) & (F.col("__p") >= MIN_PROBABILITY) & (likest >= MIN_OVERLAP)
-    return scored.withColumn("family", F.when(sure, F.col("__top")).otherwise(UNKNOWN)).drop("__words", "__pairs", "__z", "__top", "__p")
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, licences (families found, in order, comma-joined), n_notices (paragraphs
-    given a family) and n_unknown (paragraphs with an anchor and no family).
+    with a family) and n_unknown (paragraphs with a notice of no known family).
 
-    Paragraphs are lines.  Null, empty and licence-free texts have an empty list and zero
-    counts.  Rows repeating a doc_id share one answer over all their texts; null doc_ids
-    too.  Other columns are ignored; an empty table gives an empty result.
+    Null, empty and licence-free texts have an empty list and zero counts.  Every row has
+    its own answer; rows repeating a doc_id are judged by their own texts.  Other columns
+    are ignored; an empty table gives an empty result.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    lower = F.lower("text")
-    hits = docs.where(lower.rlike(ANCHORS)).select(F.col("doc_id").cast("long").alias("of"), F.explode(F.split("text", "\n")).alias("paragraph"))
-    hits = hits.where(F.lower("paragraph").rlike(ANCHORS))
-    found = _judged(hits).groupBy("of").agg(
-        F.array_join(F.sort_array(F.collect_set(F.when(F.col("family") != UNKNOWN, F.col("family")))), ",").alias("licences"),
-        F.count_if(F.col("family") != UNKNOWN).alias("n_notices"), F.count_if(F.col("family") == UNKNOWN).alias("n_unknown"),
+    model = trained()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # Two hashes name a text, 128 bits, so that equal rows are judged once and counted.
+    keys = ["doc_id", "h1", "h2"]
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), F.lower(text).alias("low"))
+    parts = F.concat(F.array(F.lit("")), F.split("low", PARAGRAPH_GAPS))
+    paragraphs = named.select(*keys, F.posexplode(parts).alias("para", "paragraph"))
+    judged = _judged(_windows(paragraphs, model, keys), model)
+    each = judged.groupBy(*keys, "para").agg(
+        F.array_distinct(F.flatten(F.collect_set("families"))).alias("families"), F.max("unnamed").alias("unnamed"), F.max(F.when(F.col("para") == 0, F.col("n"))).alias("n")
+    )
+    some = F.size("families") > 0
+    found = each.groupBy(*keys).agg(
+        F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_set("families")))), ",").alias("licences"),
+        F.count_if(some).alias("n_notices"), F.count_if(~some & F.col("unnamed")).alias("n_unknown"), F.max("n").alias("n"),
     )
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    joined = ids.join(found, F.col("doc_id").eqNullSafe(F.col("of")), "left")
-    return joined.select("doc_id", F.coalesce("licences", F.lit("")).alias("licences"), zero("n_notices"), zero("n_unknown"))
+    part = 1 << 16  # of equal rows, so many are listed at a time
+    batches = found.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / part))))
+    rows = batches.withColumn("__r", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(part).cast("long"), F.col("n") - F.col("__b") * part))))
+    return rows.select("doc_id", "licences", F.col("n_notices").cast("long").alias("n_notices"), F.col("n_unknown").cast("long").alias("n_unknown"))
