@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.llm import line_dedup, minhash, packing, pii, quality_classifier
 from tessera.llm.common import table
 from tessera.llm.registry import vocabulary
-from tessera.plans.storage import shared_table
+from tessera.plans.storage import scratch, shared_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,12 +22,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without cross-site boilerplate lines, short ones too.  A document of
-    which nothing is left, every line standing in another one, goes."""
-    cleaned = line_dedup.dedup_lines(docs, min_words=1)
-    left = cleaned.where((F.col("n_removed") == 0) | (F.trim(F.translate("text", "\n\t\r", "   ")) != ""))
-    count = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return left.withColumn("n_chars", count).select(*docs.columns)
+    """Documents without cross-site boilerplate lines.  A document of which nothing is
+    left, every line standing in another one, goes; null and blank texts stay."""
+    cleaned = line_dedup.dedup_lines(docs, counts=("__total", "__removed"))
+    left = cleaned.where((F.col("__removed") == 0) | (F.trim(F.translate("text", "\n\t\r", "   ")) != ""))
+    if "n_chars" in docs.columns:
+        count = F.when(F.col("__removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
+        left = left.withColumn("n_chars", count.cast(docs.schema["n_chars"].dataType))
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result but the last is written and read again."""
+    """All stages over documents; each result but the last is written and read again.  What
+    a stage wrote for itself is removed once its result is written."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = shared_table(docs, f"stage{i}")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        path = shared_path(spark, f"stage{i}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
