@@ -1,18 +1,21 @@
 """Personal data in texts, disguised or plain, with offsets into the source.
 
-Plain identifiers are found by fixed patterns.  For disguised ones, a transducer
-rewrites the neighbourhoods where a disguise may stand: look-alike letters and digits
-become ASCII, spelled digits become digits, words and brackets for @, dot and + become
-those signs.  Every rewritten character remembers the source span it came from, so an
-identifier found in the rewritten text is mapped back to source characters.
+Plain identifiers are found by fixed patterns.  For disguised ones, a transducer rewrites
+the whole text: look-alike letters and digits become ASCII, spelled digits become digits,
+words and brackets for @, dot and + become those signs.  Most of a text passes unchanged;
+the rewritten text is kept as runs that each remember the source characters they came
+from, so an identifier found in it is mapped back, whatever its length.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -87,78 +90,142 @@ _DIGITS = {w: str(i) for i, words in enumerate(
 ) for w in words.split()}
 _AT_WORDS = "at|arroba|arobase|klammeraffe"
 _DOT_WORDS = "dot|punkt|punto|point"
+_DASH_WORDS = "dash|hyphen|minus"
+_OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
+# Endings that make a name spelled with bare words ("x at y dot com") an address.
+_ENDINGS = frozenset("com org net edu gov mil int info biz name io co me tv ai app dev eu uk de fr es it nl be ch at pl pt se no fi dk cz ru ua jp cn in br mx ar cl ca au nz us test example".split())
 _SPELLED = "|".join(sorted(_DIGITS, key=len, reverse=True))
-_ODD = "".join(_LOOKS) + "！-～０-９․。．＠﹫∙·‐-―−​-‍⁠﻿­"
-_HINT = re.compile(
-    rf"[\[({{<]\s*(?:{_AT_WORDS}|{_DOT_WORDS}|@|\.)\s*[\])}}>]"
-    rf"|(?<![^\W_])(?:{_AT_WORDS})\s(?=[^@\n]{{1,80}}?\s(?:{_DOT_WORDS})(?![^\W_]))"
-    rf"|(?<![^\W_])(?:{_SPELLED})(?:[\s,.-]+(?:{_SPELLED}|{_DOT_WORDS}|dash|hyphen))+(?![^\W_])"
-    rf"|(?<=[0-9])\s*(?:\[\.\]|\(\.\)|(?<=\s)(?:{_DOT_WORDS})\s)"
-    rf"|(?<=[A-Za-z0-9@.+_-])[{_ODD}]|[{_ODD}](?=[A-Za-z0-9@.+_-])|[０-９＠﹫]",
-    re.I,
-)
-#: Source characters looked at on each side of a hint; identifiers reach no further.
-REACH = 160
-
+#: What is rewritten, by kind.  Words count where no letter or digit touches them.
 _TOKEN = re.compile(
-    rf"(?P<at>\s*[\[({{<]\s*(?:{_AT_WORDS}|@)\s*[\])}}>]\s*|\s+(?:{_AT_WORDS})\s+)"
-    rf"|(?P<dot>\s*[\[({{<]\s*(?:{_DOT_WORDS}|\.)\s*[\])}}>]\s*|\s+(?:{_DOT_WORDS})\s+)"
-    rf"|(?P<plus>(?<![^\W_])plus\s+(?=(?:{_SPELLED}|[0-9])))"
-    rf"|(?P<digit>(?<![^\W_])(?:{_SPELLED})(?![^\W_]))"
-    rf"|(?P<skip>[​-‍⁠﻿­])"
-    rf"|(?P<other>.)",
-    re.I | re.S,
+    rf"{_OPEN}\s*+(?:(?P<at>{_AT_WORDS}|@)|(?P<dot>{_DOT_WORDS}|\.)|(?P<dash>{_DASH_WORDS}|-))\s*+{_CLOSE}"
+    rf"|(?<![^\W_])(?:(?P<digit>{_SPELLED})|(?P<at_word>{_AT_WORDS})|(?P<dot_word>{_DOT_WORDS})|(?P<dash_word>{_DASH_WORDS})|(?P<plus>plus))(?![^\W_])"
+    r"|(?P<skip>[\u200b-\u200d\u2060\ufeff\u00ad]+)",
+    re.I,
 )
-
-
-# Endings that make a name spelled with bare words ("x at y dot com") an address.
+_BLANK = re.compile(r"\s*+")
+_BETWEEN = re.compile(r"[\s,]*+")
+_NEXT_DIGIT = re.compile(rf"[0-9]|(?:{_SPELLED})(?![^\W_])", re.I)
+_DOT = rf"(?:\.|\s++(?:{_DOT_WORDS})\s++|\s*+{_OPEN}\s*+(?:{_DOT_WORDS}|\.)\s*+{_CLOSE}\s*+)"
+#: A dotted name after a bare word for @, that no @ follows.
+_HOST = re.compile(rf"\s++([\w-]++(?:{_DOT}[\w-]++)+)(?!\s*+(?:@|{_OPEN}\s*+(?:{_AT_WORDS}|@)))", re.I)
+_LAST_LABEL = re.compile(r"[\w-]+\Z")
 _BARE = re.compile(rf"\s(?:{_AT_WORDS}|{_DOT_WORDS})\s", re.I)
-_ENDINGS = frozenset("com org net edu gov mil int info biz name io co me tv ai app dev eu uk de fr es it nl be ch at pl pt se no fi dk cz ru ua jp cn in br mx ar cl ca au nz us test example".split())
-
-
-def _ascii(c: str) -> str:
-    if c.isascii():
-        return c
-    if c in _LOOKS:
-        return _LOOKS[c]
-    if c in "‐‑‒–—―−":
-        return "-"
-    if c in "․。．":
-        return "."
-    plain = unicodedata.normalize("NFKC", c)
-    return plain if len(plain) == 1 and plain.isascii() else c
-
-
-def rewrite(text: str, start: int, end: int) -> tuple[str, list[int], list[int]]:
-    """The normal form of text[start:end], and of each of its characters the first and
-    last-plus-one source character."""
-    out: list[str] = []
-    first: list[int] = []
-    last: list[int] = []
-    spelled_end = -1
-    for m in _TOKEN.finditer(text, start, end):
+_MARKED, _OPENED = re.compile(r"[0-9._+-]"), re.compile(_OPEN)
+_DASHES, _DOTS = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212", "\u2024\u3002\uff0e"
+
+
+@lru_cache(maxsize=1)
+def _look_table() -> dict[int, str]:
+    """ASCII forms of single characters: the fixed look-alikes, and every character whose
+    compatibility decomposition is one ASCII character (full-width, mathematical, circled
+    and raised letters and digits)."""
+    table = {i: plain for i in range(0x80, sys.maxunicode + 1) if len(plain := unicodedata.normalize("NFKC", chr(i))) == 1 and plain.isascii()}
+    table |= {ord(c): a for c, a in _LOOKS.items()}
+    return table | {ord(c): "-" for c in _DASHES} | {ord(c): "." for c in _DOTS}
+
+
+class _Rewritten:
+    """A text in runs: each is copied from the source character by character, or stands
+    for a source span as a whole."""
+
+    def __init__(self) -> None:
+        self.parts: list[str] = []
+        self.starts: list[int] = []
+        self.spans: list[tuple[int, int, bool]] = []
+        self.size = 0
+
+    def add(self, shown: str, a: int, b: int, copied: bool) -> None:
+        if shown:
+            self.parts.append(shown)
+            self.starts.append(self.size)
+            self.spans.append((a, b, copied))
+            self.size += len(shown)
+
+    def last(self) -> str:
+        return self.parts[-1][-1] if self.parts else ""
+
+    def cut(self, drop: str) -> None:
+        """Removes characters of `drop` from the end."""
+        while self.parts:
+            kept = self.parts[-1].rstrip(drop) if self.spans[-1][2] else self.parts[-1]
+            gone = len(self.parts[-1]) - len(kept)
+            if not gone:
+                return
+            self.size -= gone
+            if kept:
+                a, b, _ = self.spans[-1]
+                self.parts[-1], self.spans[-1] = kept, (a, b - gone, True)
+                return
+            self.parts.pop(), self.starts.pop(), self.spans.pop()
+
+    def source(self, i: int, j: int) -> tuple[int, int]:
+        """The source span of characters i to j of the rewritten text."""
+        at, to = bisect.bisect_right(self.starts, i) - 1, bisect.bisect_right(self.starts, j - 1) - 1
+        a, _, copied = self.spans[at]
+        c, d, plain = self.spans[to]
+        return a + (i - self.starts[at]) * copied, c + (j - self.starts[to]) if plain else d
+
+
+_WHITE = " \t\n\r\x0b\x0c"
+
+
+def _word_before(text: str, end: int) -> str:
+    while end and text[end - 1].isspace():
+        end -= 1
+    start = end
+    while start and not text[start - 1].isspace():
+        start -= 1
+    return text[start:end]
+
+
+def rewrite(text: str) -> _Rewritten | None:
+    """The normal form of a text; None if it is the text itself."""
+    flat = text if text.isascii() else text.translate(_look_table())
+    out, done = _Rewritten(), 0
+    for m in _TOKEN.finditer(flat):
         a, b = m.span()
+        if a < done:
+            continue
         kind = m.lastgroup
-        if kind == "skip":
+        shown, drop, after = "", "", b
+        if kind == "digit":
+            shown = _DIGITS[m["digit"].lower()]
+            gap = _BETWEEN.match(flat, b).end()
+            if gap > b and _NEXT_DIGIT.match(flat, gap):
+                after = gap
+            if done < a and flat[a - 1] in " ," and flat[done:a].rstrip(_WHITE + ",")[-1:].isdigit():
+                drop = _WHITE + ","  # a numeral before a spelled digit
+        elif kind in ("at", "dot", "dash"):
+            shown, drop, after = {"at": "@", "dot": ".", "dash": "-"}[kind], _WHITE, _BLANK.match(flat, b).end()
+        elif kind in ("dot_word", "dash_word"):
+            blank = _BLANK.match(flat, b).end()
+            if blank > b and flat[a - 1 : a].isspace():
+                shown, drop, after = "." if kind == "dot_word" else "-", _WHITE, blank
+        elif kind == "plus":
+            gap = _BLANK.match(flat, b).end()
+            if gap > b and _NEXT_DIGIT.match(flat, gap):
+                shown, after = "+", gap
+        elif kind == "at_word":
+            host = _HOST.match(flat, b) if flat[a - 1 : a].isspace() else None
+            if host and _LAST_LABEL.search(host[1])[0].lower() in _ENDINGS:
+                # In "see us at example.com" a bare word is no sign: a plain name needs another.
+                if _BARE.search(host[0]) or _OPENED.search(host[0]) or _MARKED.search(_word_before(flat, a)):
+                    shown, drop, after = "@", _WHITE, host.start(1)
+        if not shown and kind != "skip":
             continue
-        shown = {"at": "@", "dot": ".", "plus": "+"}.get(kind or "") or (_DIGITS[m[0].lower()] if kind == "digit" else _ascii(m[0]))
-        if kind in ("at", "dot"):  # only between parts of a name
-            shown = shown if out and (out[-1] in _LOCAL or ord(out[-1]) > 127) else m[0]
-            if len(shown) > 1:
-                out += list(shown)
-                first += range(a, b)
-                last += range(a + 1, b + 1)
+        out.add(flat[done:a], done, a, True)
+        if drop:
+            out.cut(drop)
+            if kind != "digit" and not (out.last() in _LOCAL or ord(out.last() or " ") > 127):
+                out.add(flat[a:after], a, after, True)
+                done = after
                 continue
-        if kind == "digit":
-            while spelled_end >= 0 and out and out[-1] in " ,\n" and first[-1] >= spelled_end:  # join digit words
-                out.pop(), first.pop(), last.pop()
-            spelled_end = b
-        elif not (kind == "other" and shown in " ,\n"):
-            spelled_end = -1
-        out.append(shown)
-        first.append(a)
-        last.append(b)
-    return "".join(out), first, last
+        out.add(shown, a, b, False)
+        done = after
+    if not out.parts and flat == text:
+        return None
+    out.add(flat[done:], done, len(flat), True)
+    return out
 
 
 def _trim(text: str, a: int, b: int) -> tuple[int, int]:
@@ -171,37 +238,33 @@ def _trim(text: str, a: int, b: int) -> tuple[int, int]:
 
 def disguised_spans(text: str) -> list[Span]:
     """Identifiers that only the rewritten text shows, as spans of the source."""
-    windows: list[list[int]] = []
-    for m in _HINT.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if windows and a <= windows[-1][1]:
-            windows[-1][1] = max(windows[-1][1], b)
-        else:
-            windows.append([a, b])
+    form = rewrite(text)
+    if form is None:
+        return []
+    shown = "".join(form.parts)
     out: list[Span] = []
-    for a, b in windows:
-        while a and not text[a - 1].isspace() and a > b - 4 * REACH:
-            a -= 1
-        shown, first, last = rewrite(text, a, b)
-        for kind, i, j in plain_spans(shown):
-            span = _trim(text, first[i], last[j - 1])
-            source = text[span[0] : span[1]]
-            if shown[i:j] != source and (kind != "email" or not _BARE.search(source) or shown[i:j].rpartition(".")[2].lower() in _ENDINGS):
-                out.append((kind, *span))
+    for kind, i, j in plain_spans(shown):
+        a, b = _trim(text, *form.source(i, j))
+        source = text[a:b]
+        if shown[i:j] != source and (kind != "email" or not _BARE.search(source) or shown[i:j].rpartition(".")[2].lower() in _ENDINGS):
+            out.append((kind, a, b))
     return out
 
 
 def find_spans(text: str) -> tuple[list[Span], list[Span]]:
-    """(base spans, all spans): base ones stay, disguised ones join where no base span
-    and no earlier one of their kind lies."""
+    """(base spans, all spans): base ones stay; a disguised one joins unless one of its
+    kind covers it already."""
     base = plain_spans(text)
     found = disguised_spans(text)
     if not found:
         return base, base
-    every = list(base)
+    held = {kind: [(a, b) for k, a, b in base if k == kind] for kind in KINDS}  # by start, disjoint
+    every, done = list(base), dict.fromkeys(KINDS, -1)
     for kind, a, b in found:
-        if all(k != kind or b <= x or y <= a for k, x, y in every):
+        at = bisect.bisect_right(held[kind], (a, sys.maxsize)) - 1
+        if a >= done[kind] and not (at >= 0 and b <= held[kind][at][1]):
             every.append((kind, a, b))
+            done[kind] = b
     return base, sorted(every, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -250,7 +313,8 @@ def mask(text: str) -> str:
 def mask_documents(docs: DataFrame) -> DataFrame:
     """docs with identifiers in `text` masked and n_chars, where present, made to match.
 
-    Null texts stay null; all rows and columns stay.
+    Null texts stay null and empty ones empty; all rows, repeated ones too, and all
+    columns stay as they are otherwise.  An empty table gives an empty result.
     """
     at = docs.columns.index("text")
 
