@@ -7,6 +7,7 @@ import json
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -425,6 +426,10 @@ def test_base_spans_equal_the_patterns():
     ("é ask joe at example dot com today", "email", "joe at example dot com"), ("jоhn.dоe@exаmple.com bye", "email", "jоhn.dоe@exаmple.com"),
     ("ｊｏｅ＠ｅｘａｍｐｌｅ．ｃｏｍ", "email", "ｊｏｅ＠ｅｘａｍｐｌｅ．ｃｏｍ"), ("host 192[.]168[.]0[.]1 up", "ip", "192[.]168[.]0[.]1"), ("ip 192 dot 168 dot 0 dot 1 ok", "ip", "192 dot 168 dot 0 dot 1"),
     ("call plus one two one two five five five zero one nine nine today", "phone", "plus one two one two five five five zero one nine nine"),
+    ("joe@example dot com", "email", "joe@example dot com"), ("see john.doe at example.com today", "email", "john.doe at example.com"),
+    ("tel plus 49 170 1234567 ok", "phone", "plus 49 170 1234567"), ("+one 2125550199", "phone", "+one 2125550199"), ("+49 one 7 six 1 2 three 4 5 6", "phone", "+49 one 7 six 1 2 three 4 5 6"),
+    ("no four 1 one 1 1 1 1 1 1 1 1 1 1 1 1 1 end", "card", "four 1 one 1 1 1 1 1 1 1 1 1 1 1 1 1"), ("𝟒𝟏𝟏𝟏 𝟏𝟏𝟏𝟏 𝟏𝟏𝟏𝟏 𝟏𝟏𝟏𝟏", "card", "𝟒𝟏𝟏𝟏 𝟏𝟏𝟏𝟏 𝟏𝟏𝟏𝟏 𝟏𝟏𝟏𝟏"),
+    ("by 𝗃𝗈𝗁𝗇@example.com.", "email", "𝗃𝗈𝗁𝗇@example.com"), ("jоhn@example.com", "email", "jоhn@example.com"), ("j\u200boe@example.com", "email", "j\u200boe@example.com"),
     ("card four five three nine one four eight eight zero three four three six four six seven.", "card", "four five three nine one four eight eight zero three four three six four six seven"),
 ])
 def test_disguised_identifiers_map_back_to_the_source(text, kind, found):
@@ -433,12 +438,49 @@ def test_disguised_identifiers_map_back_to_the_source(text, kind, found):
     assert found not in pii.mask(text)
 
 
-@pytest.mark.parametrize("text", ["look at the dot on this", "one two three go", "élan de la forêt (at) last", "Посмотри на это", "nine of ten", "at home dot net worth of it"])
+@pytest.mark.parametrize("text", ["look at the dot on this", "one two three go", "élan de la forêt (at) last", "Посмотри на это", "nine of ten", "at home dot net worth of it", "see us at www.example.com or look at example.org", "meet at noon. dot the i"])
 def test_plain_prose_is_left_alone(text):
     base, every = pii.find_spans(text)
     assert not base and (not every or text.startswith("at home"))
 
 
+@pytest.mark.parametrize("n", [3, 90, 170, 700, 10_000])
+def test_disguised_identifiers_of_any_length_are_found(n):
+    r = random.Random(n)
+    name = "".join(r.choice("abcxyz") for _ in range(n))
+    for before, after in (("", ""), (prose(n, 30) + " ", " " + prose(n + 1, 30)), ("«", "» one at two dot three")):
+        for found in (f"{name} [at] {name} [dot] com", f"joe at {name} dot com", f"{name}(at){name}.org", f"{name}.x at {name}.net", f"{name[:-1]}о@{name}.com", f"{name}@{name} dot com"):
+            text = f"{before}{found}{after}"
+            base, every = pii.find_spans(text)
+            assert ("email", len(before), len(before) + len(found)) in every, found[:40]
+
+
+def test_offsets_map_back_through_any_mix_of_rewriting():
+    r = random.Random(13)
+    noise = ["one", " ", "at", "dot", "é", "​", "（", "x", ".", "\n", "un", "[at]", ",", "ＡＢ", "7", "plus", "-"]
+    for _ in range(2000):
+        text = "".join(r.choice(noise) for _ in range(r.randrange(40)))
+        form = pii.rewrite(text)
+        if form is None:
+            continue
+        shown = "".join(form.parts)
+        assert len(shown) == form.size
+        last = 0
+        for i in range(len(shown)):
+            a, b = form.source(i, i + 1)
+            assert last <= a < b <= len(text)
+            last = a
+        base, every = pii.find_spans(text)
+        assert set(base) <= set(every) and all(0 <= a < b <= len(text) for _, a, b in every)
+
+
+def test_rewriting_is_linear():
+    for text in (" " * 300_000, "[" * 200_000, "dot " * 60_000, "one " * 60_000, "a at b." * 40_000, "\u200b" * 200_000, "at " * 60_000, "[ " * 60_000, "1 one, " * 40_000):
+        start = time.time()
+        pii.find_spans(text)
+        assert time.time() - start < 20
+
+
 def test_scan_and_mask(spark):
     rows = [(1, "a@b.co and x [at] y [dot] org", "s"), (2, None, "s"), (3, "clean", "s")]
     got = {r.doc_id: r for r in pii.scan_documents(frame(spark, rows)).collect()}
