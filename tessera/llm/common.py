@@ -61,16 +61,17 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterator[tuple]], na
 HOT_KEYS = 1000
 
 
-def join_counted(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
-    """left joined with right, which has one row per key and, in `n`, how many rows of left
-    have it.  Hot keys' rows of right are broadcast, so that left's rows of a hot key stay
-    where they are; other keys meet in a join."""
+def join_counted(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined (inner or left) with right, which has one row per key and, in `n`, how
+    many rows of left have it; total: the sum of these.  Hot keys' rows of right are
+    broadcast, so that left's rows of a hot key stay where they are; other keys meet in a
+    join."""
     own = [c for c in right.columns if c not in (key, "n")]
     is_hot = F.col("n") * HOT_KEYS >= F.lit(total)
     hot = F.broadcast(right.where(is_hot).select(key, F.struct(*own).alias("__of")))
     marked = left.join(hot, key, "left")
     near = marked.where("__of is not null").select(*left.columns, "__of.*")
-    return near.unionByName(marked.where("__of is null").drop("__of").join(right.where(~is_hot).drop("n"), key))
+    return near.unionByName(marked.where("__of is null").drop("__of").join(right.where(~is_hot).drop("n"), key, how))
 
 
 def _with_least(edges: DataFrame, key: str, value: str, total: int) -> DataFrame:

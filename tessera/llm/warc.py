@@ -1,32 +1,35 @@
 """Dictionary-compressed WARC archives.
 
-An archive is one leading skippable frame that holds a Zstandard dictionary, built from
-the archive's own first records, and then one frame per record, each compressed with
-that dictionary and readable alone.  Archives travel as tables of frames
-(archive, seq, frame): rows of bounded size that Spark's writers put in any store and
-write again when an executor is lost.  Concatenated by seq, the frames of an archive are
-its file; `export_archives` does that for folders that are mounted.
+An archive is a file: one leading skippable frame that holds a Zstandard dictionary, built
+from the archive's own first records, and then one frame per record, each compressed with
+that dictionary and readable alone.  Spark's text writer puts the frames, as bytes, into
+any store it can reach and writes them again when an executor is lost; what it sets after
+each row as a line end is an empty skippable frame, so the file is a plain Zstandard
+stream.  Archives are read as byte streams: the dictionary by magic and length, then
+record after record.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import struct
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_batches, arrow_rows, partitions
-from tessera.plans.storage import shared_table
+from tessera.llm.common import arrow_batches, arrow_rows, join_counted
+from tessera.plans.storage import shared_path, shared_table
 
-SKIPPABLE = 0x184D2A5D
+#: Magic numbers of the dictionary's frame and of the empty frame after each row.
+SKIPPABLE, EMPTY = 0x184D2A5D, 0x184D2A50
 #: Records and bytes of an archive, records and bytes that its dictionary is built from.
-ARCHIVE_RECORDS, ARCHIVE_BYTES = 1000, 64 << 20
+ARCHIVE_RECORDS, ARCHIVE_BYTES = 1000, 16 << 20
 SAMPLE_RECORDS, SAMPLE_BYTES, DICT_BYTES = 400, 4 << 20, 64 << 10
 _FRAMES = pa.schema([("archive", pa.string()), ("seq", pa.int32()), ("frame", pa.binary())])
 
@@ -59,16 +62,33 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
-    top, _, rest = raw.partition(b"\r\n\r\n")
-    lines = top.decode().split("\r\n")
-    if lines[0] != "WARC/1.1":
-        raise ValueError("not a WARC record")
-    head = dict(line.split(": ", 1) for line in lines[1:])
-    block = rest[: int(head["Content-Length"])]
-    if rest[len(block) :] != b"\r\n\r\n":
-        raise ValueError("a record's length is wrong")
-    return head, block
+def parse_records(stream: io.BufferedIOBase, chunk: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header, block) of every record of a decompressed archive."""
+    held = bytearray()
+
+    def have(n: int) -> bool:
+        while len(held) < n:
+            more = stream.read(max(chunk, n - len(held)))
+            if not more:
+                return False
+            held.extend(more)
+        return True
+
+    while have(1):
+        end, seen = -1, 0
+        while (end := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(held)
+            if not have(seen + 1):
+                raise ValueError("an archive ends within a record's header")
+        lines = held[:end].decode().split("\r\n")
+        if lines[0] != "WARC/1.1":
+            raise ValueError("not a WARC record")
+        head = dict(line.split(": ", 1) for line in lines[1:])
+        start, size = end + 4, int(head["Content-Length"])
+        if not have(start + size + 4) or held[start + size : start + size + 4] != b"\r\n\r\n":
+            raise ValueError("a record's length is wrong")
+        yield head, bytes(held[start : start + size])
+        del held[: start + size + 4]
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
@@ -101,16 +121,14 @@ def archive_frames(records: list[bytes]) -> Iterator[bytes]:
         yield packer.compress(r)
 
 
-def read_frames(frames: Iterator[bytes]) -> Iterator[bytes]:
-    """The records behind the frames of one archive."""
-    head = next(frames)
-    magic, size = struct.unpack("<II", head[:8])
-    if magic != SKIPPABLE or len(head) != 8 + size:
+def read_archive(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header, block) of every record of an archive file."""
+    magic, size = struct.unpack_from("<II", raw) if len(raw) >= 8 else (0, 0)
+    if magic != SKIPPABLE or len(raw) < 8 + size:
         raise ValueError("an archive starts with its dictionary frame")
-    loaded = _loaded(head[8:])
+    loaded = _loaded(raw[8 : 8 + size])
     opener = zstandard.ZstdDecompressor(**({"dict_data": loaded} if loaded else {}))
-    for frame in frames:
-        yield opener.decompress(frame)
+    yield from parse_records(opener.stream_reader(io.BytesIO(raw), read_across_frames=True))
 
 
 def _roles(pages: DataFrame, least: int) -> DataFrame:
@@ -122,16 +140,17 @@ def _roles(pages: DataFrame, least: int) -> DataFrame:
     raw = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), raw.alias("payload"))
     own = own.withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("size", F.octet_length("payload").cast("long"))
-    groups = own.where(F.col("size") >= least).groupBy("sha1", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    several = groups.where("n > 1").select(F.col("sha1").alias("of"), "first")
-    joined = own.join(several, F.col("sha1") == F.col("of"), "left")
+    groups = own.where(F.col("size") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    several = shared_table(groups.where("n > 1"), "revisits")
+    joined = join_counted(own, several, "sha1", several.agg(F.sum("n")).first()[0] or 1, "left")
     refers = F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
     out = joined.withColumn("refers_to", F.when(F.col("size") >= least, refers))
     return out.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "sha1", "size", "refers_to")
 
 
-def write_archives(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Archives of all pages, as a table of frames in the shared folder.
+def write_archives(pages: DataFrame, least: int = 0, folder: str | None = None) -> str:
+    """Writes archives of all pages below `folder` (a new one in the shared folder, where
+    none is named), each as the one file of a folder named for it; returns the folder.
 
     Records of equal payloads of at least `least` bytes become one response and
     revisits.  Archives hold at most ARCHIVE_RECORDS records and about ARCHIVE_BYTES.
@@ -160,67 +179,39 @@ def write_archives(pages: DataFrame, least: int = 0) -> DataFrame:
 
         return arrow_batches(frames(), _FRAMES)
 
-    return shared_table(roles.select(*names).mapInArrow(run, "archive string, seq int, frame binary"), "warc")
+    folder = folder or shared_path(pages.sparkSession, "warc")
+    ordered = roles.select(*names).mapInArrow(run, "archive string, seq int, frame binary").sortWithinPartitions("archive", "seq")
+    after = struct.pack("<II", EMPTY, 0).decode("ascii")
+    ordered.select("archive", F.col("frame").cast("string").alias("value")).write.partitionBy("archive").option("lineSep", after).text(folder)
+    return folder
 
 
-def read_archives(frames: DataFrame) -> DataFrame:
-    """Records of a table of frames: page_id, payload (null for revisits), payload_bytes,
-    payload_digest, record_type, refers_to.  A response's block is checked against its
-    digest and length."""
+def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of the archives below a folder: page_id, payload (null for revisits),
+    payload_bytes, payload_digest, record_type, refers_to.  A response's block is checked
+    against its digest and length."""
     schema = pa.schema([("page_id", pa.int64()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
-    names = ["archive", "seq", "frame"]
 
     def run(batches):
-        rows = arrow_rows(batches, *names)
-
         def records() -> Iterator[tuple]:
-            opener, at = None, None
-            for archive, seq, frame in rows:
-                if seq == 0:
-                    loaded = _loaded(frame[8:])
-                    opener, at = zstandard.ZstdDecompressor(**({"dict_data": loaded} if loaded else {})), archive
-                    continue
-                if opener is None or archive != at:
-                    raise ValueError(f"{archive}: its dictionary frame is missing")
-                head, block = parse_record(opener.decompress(frame))
-                digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                size, kind = int(head["WARC-Payload-Length"]), head["WARC-Type"]
-                if kind == "response" and (len(block) != size or payload_digest(block) != digest):
-                    raise ValueError(f"{archive}: a payload does not match its digest")
-                page = head["WARC-Page-Id"]
-                to = head.get("WARC-Refers-To-Page-Id")
-                yield None if page == "none" else int(page), block if kind == "response" else None, size, digest, kind, None if to is None else int(to)
+            for path, raw in arrow_rows(batches, "path", "content"):
+                for head, block in read_archive(raw):
+                    digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
+                    size, kind = int(head["WARC-Payload-Length"]), head["WARC-Type"]
+                    if kind == "response" and (len(block) != size or payload_digest(block) != digest):
+                        raise ValueError(f"{path}: a payload does not match its digest")
+                    page = head["WARC-Page-Id"]
+                    to = head.get("WARC-Refers-To-Page-Id")
+                    yield None if page == "none" else int(page), block if kind == "response" else None, size, digest, kind, None if to is None else int(to)
 
         return arrow_batches(records(), schema)
 
-    dealt = frames.select(*names).repartition(partitions(frames.sparkSession), "archive").sortWithinPartitions("archive", "seq")
-    return dealt.mapInArrow(
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder)
+    return files.select("path", "content").mapInArrow(
         run, "page_id long, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
     )
 
 
-def export_archives(frames: DataFrame, folder: str) -> None:
-    """Write each archive as a file of `folder`, which all executors must have mounted."""
-    import os
-
-    def write(batches):
-        out, at = None, None
-        for archive, _, frame in arrow_rows(batches, "archive", "seq", "frame"):
-            if archive != at:
-                if out:
-                    out.close()
-                    os.replace(f"{folder}/{at}.part", f"{folder}/{at}")
-                out, at = open(f"{folder}/{archive}.part", "wb"), archive  # noqa: SIM115
-            out.write(frame)
-        if out:
-            out.close()
-            os.replace(f"{folder}/{at}.part", f"{folder}/{at}")
-        return iter(())
-
-    dealt = frames.repartition(partitions(frames.sparkSession), "archive").sortWithinPartitions("archive", "seq")
-    dealt.mapInArrow(write, "archive string").write.format("noop").mode("overwrite").save()
-
-
 def archive_pages(pages: DataFrame, least: int = 0) -> DataFrame:
     """Writes pages to archives, reads these back, and returns what they say per page:
     page_id, payload_bytes, payload_digest, record_type, refers_to.
@@ -230,4 +221,4 @@ def archive_pages(pages: DataFrame, least: int = 0) -> DataFrame:
     records of their own.  Other columns are ignored; an empty table gives an empty
     result.
     """
-    return read_archives(write_archives(pages, least)).drop("payload")
+    return read_archives(pages.sparkSession, write_archives(pages, least)).drop("payload")
