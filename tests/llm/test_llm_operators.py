@@ -500,7 +500,7 @@ def test_warc_round_trip(spark, tmp_path):
     pages = [(i, f"http://x/{i}", r.choice(html)) for i in range(120)] + [(200, None, None), (201, "http://e", ""), (None, "http://n", html[0]), (None, "http://n", "only <b>here</b>"), (7, "http://again", html[3])]
     r.shuffle(pages)
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("payload", F.lit("x"))
-    frames = warc.write_archives(df)
+    warc.write_archives(df, folder=f"file://{tmp_path}/out")
     first = {}
     for i, _, h in pages:
         if i is not None:
@@ -511,28 +511,47 @@ def test_warc_round_trip(spark, tmp_path):
         to = first.get(h or "")
         to = None if to is None or to == i else to
         want[i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if to is None else "revisit", to] += 1
-    rows = warc.read_archives(frames).collect()
+    rows = warc.read_archives(spark, f"file://{tmp_path}/out").collect()
     assert Counter((x.page_id, x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) for x in rows) == want
     assert all(x.payload is not None for x in rows if x.record_type == "response")
-    warc.export_archives(frames, str(tmp_path))
-    files = sorted(glob.glob(f"{tmp_path}/*.warc.zst"))
-    assert files and not glob.glob(f"{tmp_path}/*.part")
     import zstandard
 
+    files = sorted(glob.glob(f"{tmp_path}/out/archive=*.warc.zst/part-*"))
+    assert files and len(files) == len(glob.glob(f"{tmp_path}/out/archive=*"))
     total = 0
-    for f in files:
+    for f in files:  # frame by frame, as any reader of the format would
         raw = open(f, "rb").read()
         magic, size = struct.unpack("<II", raw[:8])
-        assert magic == warc.SKIPPABLE
+        assert magic == 0x184D2A5D
         opener, at = zstandard.ZstdDecompressor(dict_data=warc._loaded(raw[8 : 8 + size])), 8 + size
         while at < len(raw):
+            magic, skip = struct.unpack("<II", raw[at : at + 8])
+            if magic == 0x184D2A50:
+                at += 8 + skip
+                continue
             one = opener.decompressobj()
-            warc.parse_record(one.decompress(raw[at:]))
+            record = one.decompress(raw[at:])
             at = len(raw) - len(one.unused_data)
+            head, _, rest = record.partition(b"\r\n\r\n")
+            assert head.startswith(b"WARC/1.1\r\nWARC-Type: ") and rest.endswith(b"\r\n\r\n")
             total += 1
     assert total == len(pages)
 
 
+def test_broken_archives_are_refused():
+    import io
+
+    record = warc.record_bytes(1, "u", b"x", "D", 1, None)
+    raw = b"".join(warc.archive_frames([record]))
+    assert [head["WARC-Page-Id"] for head, _ in warc.read_archive(raw)] == ["1"]
+    for bad in (b"", raw[8:], raw[:20]):
+        with pytest.raises(ValueError):
+            list(warc.read_archive(bad))
+    for cut in range(1, len(record)):
+        with pytest.raises(ValueError):
+            list(warc.parse_records(io.BytesIO(record[:cut])))
+
+
 # --- op10 ----------------------------------------------------------------------------
 
 
