@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import map_rows
 from tessera.llm.textkit import mix64, window_hashes, word_hashes
+from tessera.plans.storage import shared_table
 
 #: At most so many labelled documents are learned from; the smallest hashes of doc_id win.
 TRAIN_ROWS = 3000
+#: And of these as many, in that order, as fit into so many bytes on the driver.
+TRAIN_BYTES = 64 << 20
 FOLDS, HELD_OUT = 3, 1
 _SIZES = (3, 4, 5)
 _SPACES = np.array([b in (0x20, *range(0x09, 0x0E)) for b in range(256)])
@@ -48,7 +51,7 @@ def features(raw: bytes, bits: int) -> np.ndarray:
         return np.empty(0, dtype=np.int32)
     shift = np.uint64(64 - bits)
     pairs = (window_hashes(words, 2) >> shift).astype(np.int32)
-    pairs[words[1:] == words[:-1]] = 0  # a word and itself: one pair, whatever the word
+    pairs[words[1:] == words[:-1]] = 0  # a word repeated at once: one pair, whatever the word
     out = [(words >> shift).astype(np.int32), pairs + (1 << bits)]
     data = np.frombuffer(b" " + raw + b" ", dtype=np.uint8)
     blank = _SPACES[data]
@@ -122,9 +125,11 @@ def fold(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)), F.lit(0))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, target: str, limit: int) -> tuple[list[bytes], list[int]]:
-    """Texts and labels of at most `limit` labelled rows outside the held-out fold, in
-    order of the hash of doc_id.  The driver holds these rows alone."""
+def training_rows(docs: DataFrame, labels: DataFrame, target: str, limit: int, most_bytes: int = TRAIN_BYTES) -> tuple[list[bytes], list[int]]:
+    """Texts and labels of at most `limit` labelled documents outside the held-out fold, in
+    order of the hash of doc_id, as far as their texts take at most `most_bytes` together
+    (one that does not fit is passed over).  Of rows repeating a doc_id, the smallest text
+    counts.  The driver holds these texts alone."""
     usable = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(target).cast("int").alias("__y"))
     usable = usable.where(F.col("__id").isNotNull() & F.col("__y").isin(0, 1) & (fold(F.col("__id")) != HELD_OUT))
     usable = usable.groupBy("__id").agg(F.min("__y").alias("__y"))
@@ -132,11 +137,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, limit: int) -
     wanted = {r["__id"]: r["__y"] for r in chosen}
     if not wanted:
         return [], []
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(i,) for i in wanted], "__id long")
-    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("binary").alias("__raw"))
-    got = sorted((r["__id"], bytes(r["__raw"] or b"")) for r in texts.join(F.broadcast(ids), "__id").collect())
-    return [raw for _, raw in got], [wanted[i] for i, _ in got]
+    ids = docs.sparkSession.createDataFrame([(i,) for i in wanted], "__id long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("__raw"))
+    held = shared_table(texts.join(F.broadcast(ids), "__id").groupBy("__id").agg(F.min("__raw").alias("__raw")), "training")
+    sizes = {r["__id"]: r["n"] for r in held.select("__id", F.octet_length("__raw").alias("n")).collect()}
+    fits, left = [], most_bytes
+    for i in wanted:
+        if i in sizes and sizes[i] <= left:
+            fits.append(i)
+            left -= sizes[i]
+    got = {r["__id"]: bytes(r["__raw"]) for r in held.where(F.col("__id").isin(fits)).collect()}
+    order = sorted(fits)
+    return [got[i] for i in order], [wanted[i] for i in order]
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -163,7 +175,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is 0.5 or more."""
+    """The rows of docs, with all their columns, whose score is 0.5 or more.
+
+    Null and empty texts are judged by the bias alone; rows repeating a doc_id each by
+    their own text.  Without usable labels all rows stay; an empty table stays empty.
+    """
     model = train(*training_rows(docs, labels, "quality", train_rows))
 
     at = docs.columns.index("text")
