@@ -4,6 +4,7 @@ import base64
 import glob
 import hashlib
 import json
+import math
 import random
 import re
 import struct
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe, common, fingerprints, licenses, line_dedup, minhash, packing, pii, quality_classifier, quality_rules, warc
 from tessera.llm.registry import QUERIES, vocabulary
-from tessera.llm.textkit import shingle_set, word_hashes
+from tessera.llm.textkit import mix64, shingle_set, word_hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -299,6 +300,79 @@ def test_classifier_and_rules_on_held_out_rows(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, q in truth.items() if q}
 
 
+def slow_score(model, raw, bits):
+    """The classifier's forward pass in plain Python: one bucket after the other."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    hashes = [int(word_hashes(w)[0]) for w in words]
+    buckets = [h >> (64 - bits) for h in hashes]
+    mix = lambda x: int(mix64(np.array([x & (2**64 - 1)], dtype=np.uint64))[0])
+    for a, b in zip(hashes, hashes[1:]):
+        buckets.append((1 << bits) + (0 if a == b else mix(a * 0xD6E8FEB86659FD93 + b) >> (64 - bits)))
+    for n in (3, 4, 5):
+        data = b" " + raw + b" "
+        for i in range(len(data) - n + 1):
+            part = [0x20 if c in b" \t\n\x0b\x0c\r" else c for c in data[i : i + n]]
+            if 0x20 not in part[1:-1]:
+                value = n
+                for c in part:
+                    value = (value * 0x100000001B3 + c + 1) & (2**64 - 1)
+                buckets.append((2 << bits) + (mix(value) >> (64 - bits)))
+    logit = model.bias + (sum(float(model.shares[b]) for b in buckets) / len(buckets) if words else 0)
+    return 1 / (1 + math.exp(-logit))
+
+
+def test_scores_equal_a_plain_forward_pass():
+    r = random.Random(21)
+    texts = [(prose(i, r.randrange(1, 60)) if i % 3 else " ".join(["junk!!"] * r.randrange(1, 40))).encode() for i in range(60)]
+    model = quality_classifier.train(texts, [int(i % 3 > 0) for i in range(60)])
+    for raw in [*texts[:25], b"", b"  \n ", "é 一二 \t x".encode(), b"a"]:
+        assert abs(model.score(raw) - slow_score(model, raw, model.bits)) < 1e-4
+
+
+def test_training_falls_to_the_minimum_of_a_plain_loss():
+    """On a set that a linear model separates, the loss on it must fall far below chance."""
+    texts = [f"good{i % 5} fine words here {i}".encode() if i % 2 else f"bad{i % 5} poor text there {i}".encode() for i in range(200)]
+    model = quality_classifier.train(texts, [i % 2 for i in range(200)])
+    loss = -sum(math.log(model.score(t) if i % 2 else 1 - model.score(t)) for i, t in enumerate(texts)) / 200
+    assert loss < 0.1
+
+
+def plain_anomaly(forest, point):
+    """Isolation score by walking each tree, with the path length of what a leaf holds."""
+    mean = lambda n: 0 if n < 2 else 1 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+    total = 0.0
+    for t in forest.trees:
+        at = 0
+        while t.feature[at] >= 0:
+            at = t.child[at] + (point[t.feature[at]] >= t.cut[at])
+        total += t.depth[at]
+    return 2 ** (-total / (len(forest.trees) * mean(forest.sample)))
+
+
+def test_forest_isolates_what_lies_apart_and_keeps_its_threshold():
+    rng = np.random.default_rng(2)
+    good, bad = rng.normal(0, 1, (600, 4)), rng.normal(0, 1, (30, 4)) + [9, 0, 0, 0]
+    points, y = np.concatenate([good, bad]), np.array([1] * 600 + [0] * 30)
+    forest = quality_rules.fit(points, y)
+    score = forest.anomaly(points)
+    for i in (0, 5, 605, 629):
+        assert abs(score[i] - plain_anomaly(forest, points[i])) < 1e-9
+    assert (score[600:] > forest.threshold).mean() >= 0.9 and (score[:600] > forest.threshold).mean() <= 0.01
+    depth = {1: 0, 2: 1, 3: 2 * (math.log(2) + 0.5772156649) - 4 / 3}
+    for n, want in depth.items():
+        assert abs(quality_rules._mean_path(n) - want) < 1e-9
+    for t in forest.trees[:20]:  # every inner node parts the sample's range
+        assert ((t.feature == -1) | (t.child > np.arange(len(t.feature)))).all()
+
+
+def test_training_text_on_the_driver_is_bounded(spark):
+    rows = [(i, "x" * 1000, "s") for i in range(40)] + [(0, "repeated id", "s")] * 30
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    texts, y = quality_classifier.training_rows(frame(spark, rows), labels, "quality", 100, 5500)
+    assert sum(map(len, texts)) <= 5500 and len(texts) == len(y) >= 5
+    assert len(quality_classifier.training_rows(frame(spark, rows), labels, "quality", 100)[0]) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(40))
+
+
 def test_rule_counts_match_brute_force():
     r = random.Random(5)
     for _ in range(200):
@@ -658,3 +732,63 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     rows = cp.run(spark, str(tmp_path)).collect()
     assert rows and {"doc_id", "sequence_id", "offset"} <= set(rows[0].asDict())
     assert json.dumps(names)
+
+
+CLASH = [(3, "the same words in this text are here twice over", "a"), (5, "the same words in this text are here twice over", "b"), (5, "a wholly different text of its own with other words", "b"),
+         (8, "and one more that stands here as two equal rows", "c"), (8, "and one more that stands here as two equal rows", "c"), (None, "and one more that stands here as two equal rows", "d"),
+         (None, "no id but words of its own that nothing else has", None), (None, None, None), (9, "", "a"), (9, None, "a"), (10, " \n ", "x")]
+
+
+def test_one_row_of_each_group_stays(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    docs = frame(spark, CLASH, clash=True).withColumn("uid", F.lit("u")).withColumn("row", F.lit(1)).withColumn("h", F.lit(2))
+    got = cp.near_duplicates(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    want = [CLASH[0], CLASH[2], CLASH[3], CLASH[6], *CLASH[7:]]
+    assert Counter((r.doc_id, r.text, r.source, r.uid, r.row) for r in got.collect()) == Counter((*r, "u", 1) for r in want)
+
+
+def test_pipeline_stages_keep_columns_and_odd_rows(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    odd = [*ODD, *CLASH]
+    docs = frame(spark, odd).withColumn("n_lines", F.lit(99)).withColumn("n_removed", F.lit("own")).withColumn("key", F.lit(1)).withColumn("score", F.lit(0.1))
+    for name, stage in cp.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and got.schema.simpleString() == docs.schema.simpleString(), name
+        rows = got.collect()
+        assert rows and all((r.n_lines, r.n_removed, r.key, r.score) == (99, "own", 1, 0.1) for r in rows), name
+        assert Counter((r.doc_id, r.source) for r in rows) <= Counter((i, s) for i, _, s in odd), name
+        assert sum(r.text is None for r in rows) == sum(t is None for _, t, _ in odd), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    packed = cp.run(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in packed if r.start == 0) == Counter(r.doc_id for r in cp.near_duplicates(spark, cp.lines(spark, docs, ""), "").collect())
+
+
+def test_components_say_when_rounds_do_not_suffice(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(5000)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        common.components(chain, rounds=1)
+    got = common.components(chain).agg(F.count("*"), F.max("root")).first()
+    assert tuple(got) == (5000, 0)
+
+
+def test_comparison_in_tiles_finds_the_same_groups():
+    r = random.Random(4)
+    sets = []
+    for g in range(20):
+        base = r.sample(range(10**6), r.randrange(1, 80))
+        for _ in range(r.randrange(1, 6)):
+            sets.append(np.unique(np.array([x if r.random() > 0.05 else r.randrange(10**6) for x in base], dtype=np.uint64)))
+    side = np.array([r.choice([-1]) for _ in sets])
+
+    def groups(links):
+        label = list(range(len(sets)))
+        for a, b in links:
+            label = [label[a] if x == label[b] else x for x in label]
+        return len(set(label))
+
+    assert groups(minhash.compare(sets, side, 80)) == groups(minhash.compare(sets, side, 80, limit=256))
