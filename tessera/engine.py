@@ -23,6 +23,18 @@ FUNCTION = "%function%"
 OVERLOADS = 16
 
 
+def parameter_count(detail: Column | str) -> Column:
+    """Number of parameters of a signature "(...)": commas within brackets of any kind
+    part none."""
+    inner = F.regexp_replace(tx.col(detail), r"^\s*\(|\)[^)]*$", "")
+    step = lambda s, c: F.struct(
+        (s["depth"] + F.when(c.isin("(", "<", "[", "{"), 1).when(c.isin(")", ">", "]", "}"), -1).otherwise(0)).alias("depth"),
+        (s["n"] + F.when((c == ",") & (s["depth"] == 0), 1).otherwise(0)).alias("n"),
+    )
+    commas = F.aggregate(F.split(inner, ""), F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n")), step, lambda s: s["n"])
+    return F.when(F.length(F.trim(inner)) > 0, commas + 1).otherwise(0)
+
+
 class Engine:
     def __init__(self, index: Index, engine: Index | None = None, asset_graph: DataFrame | None = None) -> None:
         self.index, self.behind, self.assets = index, engine, asset_graph
@@ -246,22 +258,42 @@ class Engine:
         both = ordered.staged_union([s.where("class_name is null"), s.where("class_name is not null")])
         return ordered.top(ordered.lowest_stage(both), ["order", "line", "id"], 1)
 
-    def fast_find(self, pattern: str, limit: int = 50, offset: int = 0) -> DataFrame:
-        return self._found(pattern, limit, offset, None)
+    def fast_find(self, pattern: str, limit: int = 50, offset: int = 0, scope: str = "both") -> DataFrame:
+        """Symbols and files, best first, of the project, the engine, or the project's page
+        filled up from the engine; a repeated place counts once."""
+        if scope == "engine":
+            none = self.behind is None
+            page = self._found(self.index if none else self.behind, pattern, limit, offset, False)
+            return ordered.tag_source(page.limit(0) if none else page, "engine")
+        page = self._found(self.index, pattern, limit, offset, False)
+        if scope == "project" or self.behind is None:
+            return ordered.tag_source(page, "project")
+        return ordered.append_source(page, self._found(self.behind, pattern, limit, 0, False), limit, ["name", "path", "line"])
 
     def global_find(self, pattern: str, limit: int = 50, offset: int = 0) -> DataFrame:
-        return self._found(pattern, limit, offset, self.index.texts)
-
-    def _found(self, pattern: str, limit: int, offset: int, texts: DataFrame | None) -> DataFrame:
-        limit = catalog.clamp(limit, 50, 1, 500)
-        s = self.index.symbols()
-        hits = search.fast_find_symbols(s.drop("path", "line"), s.select("id", "path", "line"), pattern, limit + offset)
-        names = search.search_files_ranked(self.index.files, pattern, limit + offset)
-        lines = None if texts is None else search.grep(texts, pattern, limit + offset)
+        """Symbols, files and text of the project, filled up from the engine."""
+        page = self._found(self.index, pattern, limit, offset, True)
+        if self.behind is None:
+            return ordered.tag_source(page, "project")
+        return ordered.append_source(page, self._found(self.behind, pattern, limit, 0, True), limit)
+
+    @staticmethod
+    def _found(index: Index, pattern: str, limit: int, offset: int, in_text: bool) -> DataFrame:
+        pattern, limit = pattern.strip(), catalog.clamp(limit, 50, 1, 500)
+        s, wanted = index.symbols(), limit + offset
+        if not pattern:
+            hits = search.list_symbols(s, limit, offset)
+            return search.found(hits, "symbol", F.col("name"), F.col("path"), F.col("line")).withColumn("ord", F.col("ord") - offset)
+        if in_text:
+            hits = search.search_symbols(s, pattern, wanted)
+        else:
+            hits = search.fast_find_symbols(s.drop("path", "line"), s.select("id", "path", "line"), pattern, min(wanted, 500))
+        names = search.search_files_ranked(index.files, pattern, wanted)
+        lines = search.grep(index.texts, pattern, wanted) if in_text else None
         return search.global_find(
             search.found(hits, "symbol", F.col("name"), F.col("path"), F.col("line")), search.found(names, "file", F.col("filename"), F.col("path"), F.lit(1)),
             None if lines is None else search.found(lines, "text", F.lit(pattern), F.col("path"), F.col("line")), limit, offset,
-        )
+        ).withColumn("ord", F.col("ord") - offset)
 
     def search_code_text(self, pattern: str, limit: int = 100, offset: int = 0, scope: str = "project") -> DataFrame:
         at = self.behind if scope == "engine" and self.behind is not None else self.index
@@ -305,12 +337,31 @@ class Engine:
                 stages.append(self._row(self.symbol_in_chain(owner, symbol, at), "chain"))
             kind = at.classes.where(F.col("name") == symbol).withColumn("type", F.col("symbol_type"))
             stages.append(self._row(ordered.top(kind, [catalog.type_rank(), "line", "class_id"], 1), "type"))
-            impl = F.when(F.col("access") == "impl", 0 if prefer_impl else 10).otherwise(5)
             member = at.members.where(F.col("name") == symbol)
-            stages.append(self._row(ordered.top(member, [impl, catalog.header_rank(), "path", "line"], 1), "member"))
+            order = catalog.impl_order() if prefer_impl else catalog.declaration_order()
+            stages.append(self._row(ordered.top(member, [*order, "path", "member_id"], 1), "member"))
         return ordered.lowest_stage(ordered.staged_union(stages)).drop("stage")
 
-    goto_implementation = goto_definition
+    def goto_implementation(self, text: str, line: int, symbol: str, qualifier: str | None = None, enclosing: str | None = None) -> DataFrame:
+        """Where a member is implemented: by the name of its class, else of the nearest
+        parent that has it, implementations in source files first; members of other classes
+        are no answer.  In this index, else in the one behind."""
+        i = self.index
+        name = self._class_of(text, line, qualifier) or enclosing
+        if not name:
+            return self._row(i.members.limit(0), "impl")
+        stages = [self._row(self.implementation_in_chain(name, symbol, at), "impl") for at in filter(None, (i, self.behind))]
+        return ordered.lowest_stage(ordered.staged_union(stages)).drop("stage")
+
+    def implementation_in_chain(self, class_name: str, symbol: str, index: Index | None = None) -> DataFrame:
+        """The member of that name by the name of the class, else of its nearest parent.  A
+        class that is not indexed still finds its members by name."""
+        i = index or self.index
+        own = i.spark.createDataFrame([(class_name.split("::")[-1], 0)], "class_name string, depth int")
+        chain = graph.bfs(self._edges(i), self._ids(class_name, i)).join(i.classes, F.col("node") == F.col("class_id")).select(F.col("name").alias("class_name"), "depth")
+        near = own.unionByName(chain).groupBy("class_name").agg(F.min("depth").alias("depth"))
+        hits = i.members.where(F.col("name") == symbol).join(near, "class_name")
+        return ordered.top(hits, ["depth", *catalog.impl_order(), "path", "member_id"], 1)
 
     @staticmethod
     def _row(df: DataFrame, how: str) -> DataFrame:
@@ -344,8 +395,7 @@ class Engine:
         label = F.concat(F.coalesce(F.concat("return_type", F.lit(" ")), F.lit("")), "name", F.coalesce("detail", F.lit("()")))
         unique = ordered.first_wins(hits.withColumn("label", label), ["label", "path", "line"], ["stage", "depth"])
         active = max(0, len(cpp.split_top_level(arguments + "_")) - 1)
-        inner = F.regexp_replace("detail", r"^\(|\)$", "")
-        count = F.when(F.length(F.trim(inner)) > 0, F.size(F.split(inner, ","))).otherwise(0)
+        count = parameter_count("detail")
         return ordered.top(unique, ["stage", "depth", "path", "line", "label"], OVERLOADS).drop("stage").withColumn("active", F.greatest(F.lit(0), F.least(F.lit(active), count - 1)))
 
     def parse_buffer(self, text: str, path: str = "buffer") -> DataFrame:
@@ -382,8 +432,10 @@ class Engine:
         if len(prefix) >= 2 and prefix == prefix.lower():
             stages.append(completion.word_items(spark, words.KEYWORDS, prefix, 120, 14))
         if len(prefix) >= 3:
-            g = completion.global_items(self.index.classes.withColumn("id", F.col("class_id")), prefix)
-            stages.append(g.select(F.col("name").alias("label"), F.lit(7).alias("kind"), "sort_text", "ord"))
+            for n, at in enumerate(filter(None, (self.index, self.behind if len(prefix) >= 4 else None))):
+                g = completion.global_items(at.classes.withColumn("id", F.col("class_id")), prefix, 100_000 * (n + 1))
+                stages.append(g.select(F.col("name").alias("label"), F.lit(7).alias("kind"), "sort_text", "ord"))
+                stages.append(ordered.top(completion.enum_items(at.enum_values, prefix), ["sort_text", "label"], completion.GLOBALS))
         return completion.merge_items(stages)
 
     def expression_type(self, text: str, line: int, expression: str, within: str | None = None, depth: int = 4) -> str | None:
@@ -430,7 +482,19 @@ class Engine:
         inside = F.lit(bool(within) and self.is_subclass(within, owner)) if within else F.lit(False)
         seen = m.where(completion.accessible(F.col("access"), F.col("class_name") == F.lit(within or ""), inside))
         items = completion.member_items(seen.select("class_name", "depth", "name", "kind", F.coalesce("detail", F.lit("")).alias("detail")), prefix)
-        return items.select(F.col("name").alias("label"), "kind", "sort_text", (F.col("depth") * 1000 + F.col("place")).alias("ord"))
+        own = items.select(F.col("name").alias("label"), "kind", "sort_text", (F.col("depth") * 1000 + F.col("place")).alias("ord"))
+        stages = [own, completion.enum_items(self.index.enum_values.where(F.col("enum_name") == owner), prefix)]
+        if self.behind is not None:  # what the class has, or inherits, in the index behind
+            stages.append(Engine(self.behind)._members(owner, prefix, within))
+            for parent in self._parents_behind(owner):
+                stages.append(Engine(self.behind)._members(parent, prefix, within))
+        return completion.merge_items(stages).drop("stage") if len(stages) > 1 else own
+
+    def _parents_behind(self, owner: str) -> list[str]:
+        """Names of parents in the chain of a class that only the index behind knows."""
+        chain = graph.bfs(self._edges(), self._ids(owner)).select(F.col("node").alias("child_id"), "depth")
+        late = self.index.inheritance.join(chain, "child_id").join(self.index.classes.select(F.col("name").alias("parent")).distinct(), "parent", "left_anti")
+        return [r["parent"] for r in late.groupBy("parent").agg(F.min("depth").alias("depth")).orderBy("depth", "parent").collect()]
 
     # --- diagnostics ---------------------------------------------------------------------------------
 
@@ -487,5 +551,5 @@ class Engine:
         return fs.resolve_config(items, fs.config_stack(project, engine, platform, kind))
 
     def status(self) -> dict[str, int]:
-        """Row counts that tell whether the index is ready."""
-        return {"files": self.index.files.count(), "classes": self.index.classes.count()}
+        """Whether the index holds files and classes: 1 or 0 of each, without counting."""
+        return {"files": self.index.files.limit(1).count(), "classes": self.index.classes.limit(1).count()}

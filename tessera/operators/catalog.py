@@ -32,11 +32,11 @@ def directory_tree(paths: DataFrame) -> DataFrame:
     )
 
 
-def dense_ids(df: DataFrame, key: str, buckets: int = 64) -> DataFrame:
+def dense_ids(df: DataFrame, key: str) -> DataFrame:
     """Adds `id`, 0, 1, ... in the order of distinct keys, without one task that sorts
     them all: ranges are numbered apart and shifted by the sizes of those before."""
     spark = df.sparkSession
-    n = max(1, min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, key).withColumn("__r", F.spark_partition_id())
     from tessera.plans.storage import shared_table
 
@@ -70,14 +70,18 @@ def recursive_paths(spark: SparkSession, directories: DataFrame) -> DataFrame:
         ) SELECT id, path FROM paths""")
 
 
-def files_in_modules(files: DataFrame, modules: Sequence[str], extensions: Sequence[str] = (), path_part: str = "") -> DataFrame:
+def files_in_modules(files: DataFrame, modules: Sequence[str] | DataFrame, extensions: Sequence[str] = (), path_part: str = "") -> DataFrame:
+    """Files of modules, given as names or as a frame with module_name."""
     wanted = [e.lstrip(".").lower() for e in extensions]
-    out = files.where(F.col("module_name").isin(*modules)) if modules else files.limit(0)
+    if isinstance(modules, DataFrame):
+        out = files.join(modules.select("module_name").distinct(), "module_name", "left_semi")
+    else:
+        out = files.where(F.col("module_name").isin(*modules)) if modules else files.limit(0)
     out = out.where(F.lower("extension").isin(*wanted)) if wanted else out
     return out.where(tx.normalize_path("path").contains(path_part)) if path_part else out
 
 
-def search_files_in_modules(files: DataFrame, modules: Sequence[str], part: str, limit: int = 100) -> DataFrame:
+def search_files_in_modules(files: DataFrame, modules: Sequence[str] | DataFrame, part: str, limit: int = 100) -> DataFrame:
     """Case-insensitive path filter within modules, the first `limit` in path order."""
     return top(files_in_modules(files, modules).where(tx.contains_ci("path", part)), ["path", "file_id"], limit)
 
@@ -161,6 +165,18 @@ def type_rank(path: Column | str = "path") -> Column:
     return F.when(p.contains(".generated."), 10).otherwise(0) + by_ext
 
 
+def impl_order() -> list[Column]:
+    """Order that prefers implementations, and of these those in source files."""
+    p = F.lower("path")
+    by_ext = F.when(p.endswith(".cpp"), 0).when(p.endswith(".cc"), 1).when(p.endswith(".cxx"), 2).otherwise(3)
+    return [F.when(F.col("access") == "impl", 0).otherwise(1), by_ext, F.col("line")]
+
+
+def declaration_order() -> list[Column]:
+    """Order that prefers declarations outside generated files, by kind of folder."""
+    return [F.when(F.col("access") == "impl", 1).otherwise(0), F.when(F.lower("path").contains(".generated."), 1).otherwise(0), header_rank(), F.col("line")]
+
+
 def header_rank(path: Column | str = "path") -> Column:
     p = tx.col(path)
     return F.when(p.contains("/Public/"), 0).when(p.contains("/Classes/"), 1).when(p.contains("/Private/"), 2).otherwise(3)

@@ -92,6 +92,16 @@ def global_items(symbols: DataFrame, prefix: str, bucket: int = 100_000, cap: in
 
 
 def merge_items(stages: Sequence[DataFrame], limit: int = ITEMS) -> DataFrame:
-    """Candidate lists(label, ord, ...) in the order given, a label once, capped."""
+    """Candidate lists(label, ord, ...) in the order given, each in its own, a label once;
+    the first `limit` in that order."""
     unique = first_wins(staged_union(stages), ["label"], ["stage", "ord"])
-    return top(unique.drop("ord").withColumn("__o", F.col("stage")), ["__o", "label"], limit).drop("__o")
+    return top(unique, ["stage", "ord", "label"], limit)
+
+
+def enum_items(values: DataFrame, prefix: str) -> DataFrame:
+    """Values(enum_name, name) that complete the prefix, a name once, in order of name."""
+    ranked = values.withColumn("rank", mt.match_rank("name", prefix)).where(F.col("rank") < mt.NONE)
+    once = first_wins(ranked, ["name"], ["enum_name"])
+    kind = F.lit(20)
+    sort = mt.sort_text(F.col("rank"), kind, "name")
+    return once.select(F.col("name").alias("label"), kind.alias("kind"), sort.alias("sort_text"), (F.row_number().over(Window.orderBy("name")) - 1).alias("ord"))

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from tessera.operators.ordered import first_wins
 from tessera.plans.storage import shared_table
 
-#: Steps that one round takes before it drops what is known.
-HOPS = 3
+#: Steps that one round takes before it drops what is known: more of them from a frontier
+#: of few rows, where a round costs more than what it may walk twice.
+HOPS, SMALL_HOPS, SMALL = 3, 8, 20_000
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, include_seeds: bool = True) -> DataFrame:
@@ -24,11 +25,12 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, includ
     include_seeds it appears only where a cycle returns to it.  Null ends are unresolved
     and lead nowhere.
     """
-    links = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    links = shared_table(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
     known = shared_table(seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("depth", F.lit(0)), "seeds")
-    frontier, rounds, depth = known, [known], 0
+    frontier, rounds, depth, size = known, [known], 0, known.count()
     while max_depth is None or depth < max_depth:
-        hops = HOPS if max_depth is None else min(HOPS, max_depth - depth)
+        hops = SMALL_HOPS if size <= SMALL else HOPS
+        hops = hops if max_depth is None else min(hops, max_depth - depth)
         seen = _union(rounds) if include_seeds else _union(rounds).where("depth > 0")
         at, steps = frontier.select("seed", "node"), []
         for hop in range(1, hops + 1):
@@ -39,7 +41,8 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, includ
         depth += hops
         frontier = fresh.where(F.col("depth") == depth)
         rounds.append(fresh)
-        if frontier.isEmpty():
+        size = frontier.count()
+        if not size:
             break
         if len(rounds) > 12:  # keeps the union of rounds short
             rounds = [shared_table(_union(rounds), "visited")]

@@ -56,6 +56,17 @@ def tag_source(df: DataFrame, source: str) -> DataFrame:
     return df.withColumn("source", F.coalesce(own, F.lit(source)))
 
 
+def append_source(page: DataFrame, more: DataFrame, limit: int, key: Sequence[str] = ()) -> DataFrame:
+    """A page of the project (with `ord`), filled up to `limit` rows from the engine's page,
+    of which only as many rows count as are missing; with a key, repeats are dropped."""
+    have = page.agg(F.count("*").alias("__have"))
+    missing = F.greatest(F.lit(1), F.lit(limit) - F.col("__have"))
+    gated = more.crossJoin(F.broadcast(have)).where((F.col("__have") < limit) & (F.col("ord") < missing)).drop("__have")
+    both = staged_union([tag_source(page, "project"), tag_source(gated, "engine")])
+    unique = first_wins(both, key, ["stage", "ord"]) if key else both
+    return top(unique, ["stage", "ord"], limit).drop("stage")
+
+
 def merge_sources(primary: DataFrame, secondary: DataFrame, key: Sequence[str], order: Sequence[str], limit: int, offset: int = 0) -> DataFrame:
     """A page of the primary source, filled up from the secondary, first row of a key
     first.  The secondary counts only while the primary page is short, and its own page

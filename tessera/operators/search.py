@@ -79,12 +79,13 @@ def found(df: DataFrame, kind: str, name: Column, path: Column, line: Column) ->
 
 def global_find(symbols: DataFrame, files: DataFrame, texts: DataFrame | None, limit: int = 50, offset: int = 0) -> DataFrame:
     """Symbols, then files, then text hits if the first two do not fill the page; equal
-    (kind, path, line, name) count once.  All three as made by `found`."""
+    (kind, path, line, name) count once.  All three as made by `found`, each best first,
+    and in that order the page is cut."""
     both = symbols.withColumn("part", F.lit(0)).unionByName(files.withColumn("part", F.lit(1)))
     if texts is not None:
         both = fallback_below(both, texts.withColumn("part", F.lit(2)), limit + offset).drop("stage")
     unique = first_wins(both.fillna({"line": 1}), ["kind", "path", "line", "name"], ["part", "ord"])
-    return top(unique.drop("ord"), ["part", "path", "line", "name"], limit, offset)
+    return top(unique, ["part", "ord"], limit, offset)
 
 
 def grep_bytes(blobs: DataFrame, pattern: bytes, column: str = "content") -> DataFrame:

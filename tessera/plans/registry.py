@@ -89,8 +89,7 @@ def files_in_modules(spark, d):
     """Html files of the three largest modules."""
     f = ad.files(spark, d)
     top = f.groupBy("module_name").count().orderBy(F.desc("count"), "module_name").limit(3)
-    names = [r[0] for r in top.collect()]
-    return catalog.files_in_modules(f, names, [".HTML"], "/")
+    return catalog.files_in_modules(f, top, [".HTML"], "/")
 
 
 @query("file_id:l path:s ord:l", """
@@ -98,8 +97,7 @@ SELECT *, row_number() OVER (ORDER BY path, file_id) - 1 AS ord FROM (SELECT fil
 def files_in_modules_search(spark, d):
     """Path filter within modules, the first 100."""
     f = ad.files(spark, d)
-    names = [r[0] for r in f.where("module_name like 'blog.%'").select("module_name").distinct().orderBy("module_name").collect()]
-    return catalog.search_files_in_modules(f, names, "/E", 100)
+    return catalog.search_files_in_modules(f, f.where("module_name like 'blog.%'"), "/E", 100)
 
 
 @query("path:s stage:l", """
@@ -176,27 +174,31 @@ def symbol_list_page(spark, d):
 @query("id:l name:s rank:l quantity:l", f"""
 SELECT t.id, t.name, t.rank, CAST(l.l_quantity AS BIGINT) AS quantity FROM (
   SELECT id, name, {_tier("blue", "name", "class_name")} AS rank FROM symbols WHERE contains(lower(name), 'blue') OR contains(lower(class_name), 'blue')
-  ORDER BY rank, lower(name), id LIMIT 25) t JOIN lineitem l ON l.l_partkey = t.id WHERE l.l_linenumber = 1""", ad.SYMBOLS)
+  ORDER BY rank, lower(name), id LIMIT 25) t JOIN lineitem l ON l.l_partkey = t.id""", ad.SYMBOLS)
 def fast_find_topk_join(spark, d):
     """Top 25 symbols first; only these meet their places."""
-    places = ad.table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("id"), F.col("l_quantity").alias("quantity"))
+    places = ad.table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_quantity").alias("quantity"))
     return search.fast_find_symbols(ad.symbols(spark, d), places, "blue", 25)
 
 
+_KIND = "CASE WHEN type IN ('class', 'struct', 'enum') THEN 0 WHEN contains(lower(type), 'function') OR contains(lower(type), 'method') THEN 1 ELSE 2 END"
+# Symbols by their search, files by theirs, and text where these do not fill the page: 60
+# of each at most; the first of equal places counts, and the page follows that order.
 _GLOBAL = f"""
-s AS (SELECT 'symbol' AS kind, name, path, line, 0 AS part, row_number() OVER (ORDER BY {_tier("ring", "name", "class_name")}, lower(name), id) - 1 AS ord FROM symbols WHERE contains(lower(name), 'ring') OR contains(lower(class_name), 'ring') ORDER BY ord LIMIT 20),
-f AS (SELECT 'file' AS kind, filename AS name, path, 1 AS line, 1 AS part, row_number() OVER (ORDER BY {_tier("ring", "filename", "path")}, lower(filename), lower(path), file_id) - 1 AS ord FROM files WHERE contains(lower(filename), 'ring') OR contains(lower(path), 'ring') ORDER BY ord LIMIT 20),
+s AS (SELECT 'symbol' AS kind, name, path, line, 0 AS part, row_number() OVER (ORDER BY {_tier("ring", "name", "class_name", "module_name", "path")}, {_KIND}, lower(name), path, line, id) - 1 AS ord
+  FROM symbols WHERE contains(lower(concat_ws(' ', name, type, class_name, module_name, path)), 'ring') ORDER BY ord LIMIT 60),
+f AS (SELECT 'file' AS kind, filename AS name, path, 1 AS line, 1 AS part, row_number() OVER (ORDER BY {_tier("ring", "filename", "path")}, lower(filename), lower(path), file_id) - 1 AS ord FROM files WHERE contains(lower(filename), 'ring') OR contains(lower(path), 'ring') ORDER BY ord LIMIT 60),
 t AS (SELECT 'text' AS kind, 'ring' AS name, CAST(doc_id AS VARCHAR) AS path, line, 2 AS part, row_number() OVER (ORDER BY doc_id, line) - 1 AS ord FROM lines WHERE contains(lower(text), 'ring') ORDER BY ord LIMIT 60),
 u AS (SELECT * FROM s UNION ALL SELECT * FROM f UNION ALL SELECT * FROM t WHERE (SELECT count(*) FROM (SELECT * FROM s UNION ALL SELECT * FROM f) c) < 60),
 v AS (SELECT *, row_number() OVER (PARTITION BY kind, path, line, name ORDER BY part, ord) AS n FROM u)"""
 
 
-@query("kind:s name:s path:s line:l", "SELECT kind, name, path, line FROM v WHERE n = 1 ORDER BY part, path, line, name LIMIT 50 OFFSET 10", ad.SYMBOLS, ad.FILES, ad.LINES, _GLOBAL)
+@query("kind:s name:s path:s line:l ord:l", "SELECT kind, name, path, line, row_number() OVER (ORDER BY part, ord) - 1 AS ord FROM v WHERE n = 1 ORDER BY ord LIMIT 50 OFFSET 10", ad.SYMBOLS, ad.FILES, ad.LINES, _GLOBAL)
 def global_find(spark, d):
     """Symbols, files and, where these do not fill the page, text hits; once each."""
     sy = ad.symbols(spark, d)
-    hits = search.fast_find_symbols(sy.drop("path", "line"), sy.select("id", "path", "line"), "ring", 20)
-    fi = search.search_files_ranked(ad.files(spark, d), "ring", 20)
+    hits = search.search_symbols(sy, "ring", 60)
+    fi = search.search_files_ranked(ad.files(spark, d), "ring", 60)
     te = search.grep(ad.table(spark, d, "documents"), "ring", 60, 0, ("doc_id",))
     return search.global_find(
         search.found(hits, "symbol", F.col("name"), F.col("path"), F.col("line")), search.found(fi, "file", F.col("filename"), F.col("path"), F.lit(1)),
@@ -331,14 +333,14 @@ def asof_nearest(spark, d):
 
 
 @query("path:s signature:s", """
-SELECT path, signature FROM (SELECT 'src/Public/' || source || '.h' AS path, regexp_extract(text, '[A-Za-z]+ [A-Za-z]+') AS signature FROM documents WHERE lang = 'en') d
-WHERE signature <> '' AND NOT EXISTS (SELECT 1 FROM benchmark b WHERE b.item_id < 20 AND 'src' || b.item_id = regexp_extract(d.path, 'src[0-9]+') AND contains(regexp_replace(trim(b.text), '\\s+', ' ', 'g'), d.signature))
+SELECT path, signature FROM (SELECT 'src/Public/' || source || '.h' AS path, regexp_extract(text, '[A-Za-z]+ [A-Za-z]+') AS signature FROM documents) d
+WHERE signature <> '' AND NOT EXISTS (SELECT 1 FROM benchmark b WHERE 'src' || b.item_id = regexp_extract(d.path, 'src[0-9]+') AND contains(regexp_replace(trim(b.text), '\\s+', ' ', 'g'), d.signature))
 GROUP BY ALL""")
 def missing_impl(spark, d):
     """Declared signatures that no candidate source holds."""
     docs, b = ad.table(spark, d, "documents"), ad.table(spark, d, "benchmark")
-    declared = docs.where("lang = 'en'").select(F.concat(F.lit("src/Public/"), "source", F.lit(".h")).alias("path"), F.regexp_extract("text", "[A-Za-z]+ [A-Za-z]+", 0).alias("signature"))
-    sources = b.where("item_id < 20").select(F.concat(F.lit("src/Private/src"), "item_id", F.lit(".cpp")).alias("path"), "text")
+    declared = docs.select(F.concat(F.lit("src/Public/"), "source", F.lit(".h")).alias("path"), F.regexp_extract("text", "[A-Za-z]+ [A-Za-z]+", 0).alias("signature"))
+    sources = b.select(F.concat(F.lit("src/Private/src"), "item_id", F.lit(".cpp")).alias("path"), "text")
     return links.without_definition(declared.where("signature <> ''").distinct(), sources)
 
 
@@ -354,23 +356,23 @@ def include_closure_cyclic(spark, d):
 
 @query("seed:s node:s depth:l", "SELECT seed, node, min(depth) AS depth FROM up GROUP BY 1, 2", """turns AS (
   SELECT conv_id || '.' || turn AS src, conv_id || '.' || (turn - 1) AS dst, turn FROM conversations WHERE turn > 0)""", """up AS (
-  SELECT src AS seed, src AS node, 0 AS depth FROM turns WHERE turn = 3 UNION ALL SELECT u.seed, t.dst, u.depth + 1 FROM up u JOIN turns t ON t.src = u.node)""")
+  SELECT DISTINCT src AS seed, src AS node, 0 AS depth FROM turns UNION ALL SELECT u.seed, t.dst, u.depth + 1 FROM up u JOIN turns t ON t.src = u.node)""")
 def include_closure(spark, d):
-    """Every fourth turn and the turns before it."""
+    """Every turn and the turns before it."""
     c = ad.table(spark, d, "conversations").where("turn > 0")
     edges = c.select(F.concat_ws(".", "conv_id", "turn").alias("src"), F.concat_ws(".", "conv_id", F.col("turn") - 1).alias("dst"), "turn").distinct()
-    return graph.bfs(edges, edges.where("turn = 3").select(F.col("src").alias("node")))
+    return graph.bfs(edges, edges.select(F.col("src").alias("node")))
 
 
 @query("seed:l depth:l node:l", """
 SELECT seed, depth, node FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS n FROM chain JOIN part ON p_partkey = node WHERE p_size >= 45) x WHERE n = 1""",
-    ad.PART_EDGES, """chain AS (SELECT p_partkey AS seed, p_partkey AS node, 0 AS depth FROM part WHERE p_partkey < 5
-  UNION SELECT c.seed, e.dst, c.depth + 1 FROM chain c JOIN edges e ON e.src = c.node WHERE c.depth < 12)""")
+    ad.PARENTS, """chain AS (SELECT p_partkey AS seed, p_partkey AS node, 0 AS depth FROM part
+  UNION SELECT c.seed, e.dst, c.depth + 1 FROM chain c JOIN parents e ON e.src = c.node)""")
 def chain_first_owner(spark, d):
-    """The nearest node on each chain that owns a member."""
-    seeds = ad.table(spark, d, "part").where("p_partkey < 5").select(F.col("p_partkey").alias("node"))
+    """For every class, the nearest one on its chains of parents that owns a member."""
+    seeds = ad.table(spark, d, "part").select(F.col("p_partkey").alias("node"))
     owned = ad.table(spark, d, "part").where("p_size >= 45").select(F.col("p_partkey").alias("node"))
-    return graph.chain_lookup(ad.part_edges(spark, d), seeds, owned, [])
+    return graph.chain_lookup(ad.parents(spark, d), seeds, owned, [])
 
 
 @query("node:s deps:s", "SELECT seed AS node, string_agg(node, ',' ORDER BY node) AS deps FROM deep WHERE seed <> node GROUP BY seed", """deps AS (
@@ -385,13 +387,12 @@ def module_deep_deps(spark, d):
 
 
 @query("child:l ancestor:l", "SELECT seed AS child, node AS ancestor FROM up WHERE seed <> node", """up AS (
-  SELECT p_partkey AS seed, p_partkey AS node FROM part WHERE p_partkey < 40 UNION SELECT u.seed, (u.node * 7 + 3) % (SELECT count(*) FROM part) FROM up u)""")
+  SELECT p_partkey AS seed, p_partkey AS node FROM part UNION SELECT u.seed, CASE WHEN u.node = 0 THEN 1 ELSE u.node // 2 END FROM up u)""")
 def subclass_pairs(spark, d):
-    """Ancestors of the first classes over single-parent edges, cycles included."""
-    edges = ad.part_edges(spark, d)
-    single = ad.table(spark, d, "part").crossJoin(F.broadcast(ad.table(spark, d, "part").agg(F.count("*").alias("n")))).select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7 + 3) % F.col("n")).alias("dst"))
-    seeds = edges.where("src < 40").select(F.col("src").alias("node"))
-    return graph.bfs(single, seeds).where("seed <> node").select(F.col("seed").alias("child"), F.col("node").alias("ancestor"))
+    """Ancestors of every class over single-parent edges that end in a cycle."""
+    p = ad.table(spark, d, "part").select(F.col("p_partkey").alias("src"))
+    single = p.withColumn("dst", F.when(F.col("src") == 0, 1).otherwise(F.floor(F.col("src") / 2)).cast("long"))
+    return graph.bfs(single, p.select(F.col("src").alias("node"))).where("seed <> node").select(F.col("seed").alias("child"), F.col("node").alias("ancestor"))
 
 
 @query("name:l target:l", """
@@ -493,9 +494,16 @@ def config_fold(spark, d):
     return done.withColumn("n_history", F.size("history"))
 
 
-@query("section:l key:l value:s history:s")
+@query("section:l key:l value:s history:s", """
+SELECT section, key, list_last(history) AS value, array_to_string(history, '|') AS history FROM (SELECT *, max(seq) OVER (PARTITION BY section, key) AS last FROM folded) x WHERE seq = last""",
+    ad.OPERATIONS, "numbered AS (SELECT *, row_number() OVER (PARTITION BY section, key ORDER BY ts, event_id) AS seq FROM operations)",
+    """stepped AS (SELECT section, key, CAST(0 AS BIGINT) AS seq, 'null' AS kind, CAST([] AS VARCHAR[]) AS items, CAST([] AS VARCHAR[]) AS history FROM numbered WHERE seq = 1
+  UNION ALL SELECT section, key, seq, CASE WHEN len(after) = 0 THEN 'null' ELSE now END, after, list_append(history, CASE WHEN len(after) = 0 THEN 'nil' WHEN now = 'scalar' THEN after[1] ELSE '[Array x' || len(after) || '] ' || list_last(after) END)
+  FROM (SELECT o.section, o.key, o.seq, s.history, CASE o.op WHEN 'set' THEN 'scalar' WHEN 'add' THEN 'array' ELSE s.kind END AS now,
+     CASE o.op WHEN 'clear' THEN CAST([] AS VARCHAR[]) WHEN 'set' THEN [o.value] WHEN 'add' THEN list_append(s.items, o.value) ELSE list_filter(s.items, lambda x: x <> o.value) END AS after
+   FROM stepped s JOIN numbered o ON o.section = s.section AND o.key = s.key AND o.seq = s.seq + 1) y)""", "folded AS (SELECT * FROM stepped WHERE seq > 0)")
 def config_fold_full(spark, d):
-    """All four operations with the history of every key; tests fold it in Python."""
+    """All four operations with the history of every key."""
     done = oplog.fold(ad.operations(spark, d), ["section", "key"], ["ts", "event_id"])
     return done.withColumn("history", F.array_join("history", "|"))
 

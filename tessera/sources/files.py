@@ -13,7 +13,7 @@ from tessera.functions import text as tx
 SOURCE_EXTENSIONS = ("h", "hpp", "inl", "c", "cc", "cpp", "cxx")
 TEXT_EXTENSIONS = ("h", "hpp", "inl", "c", "cc", "cpp", "cxx", "cs", "ini", "usf", "ush", "json", "uplugin", "uproject", "txt")
 EXCLUDED = (".git", ".vs", ".idea", "binaries", "build", "deriveddatacache", "intermediate", "saved", "node_modules")
-MARKERS = ("#include", "UCLASS", "USTRUCT", "UENUM", "UINTERFACE", "UFUNCTION", "UPROPERTY", "class ", "struct ", "enum ")
+MARKERS = ("#include", "UCLASS", "USTRUCT", "UENUM", "UINTERFACE", "UDELEGATE", "UFUNCTION", "UPROPERTY", "GENERATED_BODY", "DECLARE_")
 
 
 def walk(spark: SparkSession, roots: Sequence[str], extensions: Sequence[str], excluded: Sequence[str] = EXCLUDED) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,23 +15,23 @@ def debounced(events: DataFrame, key: str, time: str, tie: list[str], gap: int)
 
     The last accepted time is the fold's whole state, so that a key's events stream
     through its task in order, whatever their number: they are dealt by key, sorted, and
-    passed once.
+    passed once.  A null key is a key; an event without a time is never accepted.
     """
     names, schema = events.columns, events.schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, last = object(), 0
         for batch in batches:
             keep = []
-            for k, t in zip(batch[key].tolist(), batch[time].tolist(), strict=True):
-                fresh = k != now or t - last >= gap
+            for k, t in zip(batch.column(key).to_pylist(), batch.column(time).to_pylist(), strict=True):
+                fresh = t is not None and (k != now or t - last >= gap)
                 if fresh:
                     now, last = k, t
                 keep.append(fresh)
-            yield batch[pd.Series(keep, index=batch.index, dtype=bool)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     dealt = events.repartition(F.col(key)).sortWithinPartitions(key, time, *tie)
-    return dealt.select(*names).mapInPandas(run, schema)
+    return dealt.select(*names).mapInArrow(run, schema)
 
 
 def debounced_stream(events: DataFrame, key: str, time: str, gap: int) -> DataFrame:
@@ -47,11 +48,10 @@ def debounced_stream(events: DataFrame, key: str, time: str, gap: int) -> DataFr
             state.remove()
             return
         kept = []
-        for frame in frames:
-            for t in sorted(frame[time].tolist()):
-                if last is None or t - last >= gap:
-                    kept.append(t)
-                    last = t
+        for t in sorted(t for frame in frames for t in frame[time].dropna().tolist()):  # of the batch as a whole
+            if last is None or t - last >= gap:
+                kept.append(t)
+                last = t
         if last is not None:
             state.update((last,))
             state.setTimeoutDuration(max(1000, gap // 100))
