@@ -49,7 +49,7 @@ class Index:
 
     def symbols(self) -> DataFrame:
         """Classes and members as one table to search."""
-        place = self.files.select("path", "module_name")
+        place = self.files.groupBy("path").agg(F.min("module_name").alias("module_name"))
         c = self.classes.select(F.col("class_id").alias("id"), "name", F.col("symbol_type").alias("type"), F.lit(None).cast("string").alias("class_name"), "path", "line")
         m = self.members.select(F.col("member_id").alias("id"), "name", "type", "class_name", "path", "line")
         return c.union(m).join(place, "path", "left").select("id", "name", "type", "class_name", "module_name", "path", "line")

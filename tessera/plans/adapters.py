@@ -129,7 +129,7 @@ def index(spark: SparkSession, d: str, part: int | None = None) -> Index:
         F.when(key > 0, name(up)).alias("base"), "path", F.col("p_size").cast("long").alias("line"), (F.col("p_size") + 10).cast("long").alias("end_line"),
     )
     edges = p.where("p_partkey > 0").select(key.alias("child_id"), name(key).alias("child"), name(up).alias("parent"), F.when(key % 5 > 0, up).alias("parent_id"))
-    member = li.withColumn("member_id", F.col("l_orderkey") * 8 + F.col("l_linenumber")).groupBy("member_id").agg(
+    member = li.withColumn("member_id", F.col("l_orderkey") * 8 + F.col("l_linenumber") + (1 << 40)).groupBy("member_id").agg(
         *(F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"))
     )
     access = F.when(F.col("l_returnflag") == "A", "public").when(F.col("l_returnflag") == "N", "protected").otherwise("impl")
@@ -163,11 +163,11 @@ def index_sql(part: int | None = None, prefix: str = "") -> str:
 {prefix}members AS (SELECT m.member_id, m.l_partkey AS class_id, 'C' || m.l_partkey AS class_name, 'm' || (m.l_suppkey % 50) AS name, CASE WHEN m.l_linestatus = 'F' THEN 'function' ELSE 'property' END AS type,
     CASE m.l_returnflag WHEN 'A' THEN 'public' WHEN 'N' THEN 'protected' ELSE 'impl' END AS access, CASE WHEN m.l_suppkey % 2 = 0 THEN '(int a, TMap<int, int> b)' ELSE '()' END AS detail,
     'C' || m.l_suppkey AS return_type, f.path, m.l_linenumber * 10 AS line
-  FROM (SELECT l_orderkey * 8 + l_linenumber AS member_id, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_linenumber) AS l_linenumber, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus
+  FROM (SELECT l_orderkey * 8 + l_linenumber + {1 << 40} AS member_id, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_linenumber) AS l_linenumber, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus
         FROM lineitem {of("l_partkey")} GROUP BY 1) m JOIN files f ON f.file_id = m.l_suppkey % (SELECT count(*) FROM pages)),
 {prefix}calls AS (SELECT f.path, 'm' || (user_id % 50) AS name, event_id AS line FROM events JOIN files f ON f.file_id = event_id % (SELECT count(*) FROM pages) {of("event_id")}),
 {prefix}all_symbols AS (SELECT s.*, f.module_name FROM (SELECT class_id AS id, name, symbol_type AS type, NULL AS class_name, path, line FROM {prefix}classes
-  UNION ALL SELECT member_id, name, type, class_name, path, line FROM {prefix}members) s LEFT JOIN files f ON f.path = s.path)"""
+  UNION ALL SELECT member_id, name, type, class_name, path, line FROM {prefix}members) s LEFT JOIN (SELECT path, min(module_name) AS module_name FROM files GROUP BY path) f ON f.path = s.path)"""
 
 
 def operations(spark: SparkSession, d: str) -> DataFrame:

@@ -152,12 +152,12 @@ def scoped_enum_values(spark, d):
 
 @query("id:l name:s ord:l", f"""
 SELECT id, name, row_number() OVER (ORDER BY rank, kind, lower(name), path, line, id) - 1 AS ord FROM (
-  SELECT id, name, path, line, {_tier("m7", "name", "class_name", "module_name", "path")} AS rank, {_KIND} AS kind FROM all_symbols
-  WHERE module_name = (SELECT module_name FROM files WHERE file_id = 4) AND contains(lower(concat_ws(' ', name, type, class_name, module_name, path)), 'm7')) s ORDER BY ord LIMIT 30""", ad.FILES, ALL)
+  SELECT id, name, path, line, {_tier("c1", "name", "class_name", "module_name", "path")} AS rank, {_KIND} AS kind FROM all_symbols
+  WHERE module_name = (SELECT module_name FROM files WHERE file_id = 4) AND contains(lower(concat_ws(' ', name, type, class_name, module_name, path)), 'c1')) s ORDER BY ord LIMIT 30""", ad.FILES, ALL)
 def module_symbol_search(spark, d):
     """Ranked search within a module."""
     e = engine(spark, d)
-    return e.search_symbols_in_modules([e.index.files.where("file_id = 4").first()["module_name"]], "m7", None, 30)
+    return e.search_symbols_in_modules([e.index.files.where("file_id = 4").first()["module_name"]], "c1", None, 30)
 
 
 @query("name:s path:s line:l", """
