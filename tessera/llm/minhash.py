@@ -129,10 +129,12 @@ def _open(blocked: DataFrame, links: DataFrame) -> DataFrame:
     """blocked(key, node, block, cluster, weight) with `label`, the component by links, for
     the keys whose classes lie in several blocks and several components."""
     placed = blocked.join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    placed = shared_table(placed, "labelled")
     spread = placed.groupBy("key").agg(
-        F.min("label").alias("l"), F.max("label").alias("m"), F.min("block").alias("b"), F.max("block").alias("c")
+        F.min("label").alias("l"), F.max("label").alias("m"), F.min("block").alias("b"), F.max("block").alias("c"), F.count("*").alias("n")
     )
-    return shared_table(placed.join(spread.where("l <> m and b <> c").select("key"), "key", "left_semi"), "open")
+    still = spread.where("l <> m and b <> c").select("key", "n", F.lit(True).alias("open"))
+    return shared_table(join_counted(placed, still, "key", max(1, placed.count())).drop("open"), "open")
 
 
 def _sampled(left: DataFrame, turn: int) -> DataFrame:
