@@ -551,5 +551,9 @@ class Engine:
         return fs.resolve_config(items, fs.config_stack(project, engine, platform, kind))
 
     def status(self) -> dict[str, int]:
-        """Whether the index holds files and classes: 1 or 0 of each, without counting."""
-        return {"files": self.index.files.limit(1).count(), "classes": self.index.classes.limit(1).count()}
+        """Row counts of the index."""
+        return {"files": self.index.files.count(), "classes": self.index.classes.count()}
+
+    def ready(self) -> bool:
+        """Whether the index holds any file and class, without counting them."""
+        return not self.index.files.isEmpty() and not self.index.classes.isEmpty()

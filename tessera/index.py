@@ -119,16 +119,45 @@ def discover_modules(walked: DataFrame, scripts: DataFrame) -> DataFrame:
     return _shaped(real.unionByName(rest), "modules")
 
 
+def discover_components(descriptions: DataFrame) -> DataFrame:
+    """The project and its plugins from their description files(path, text): named for the
+    file, shown by their friendly name where they have one, rooted at its folder."""
+    low = F.lower("path")
+    stem = F.regexp_replace(tx.file_name("path"), r"\.[^.]*$", "")
+    shown = F.get_json_object("text", "$.FriendlyName")
+    kind = F.when(low.endswith(".uproject"), "Game").when(low.contains("/engine/plugins/"), "Engine").otherwise("Plugin")
+    found = descriptions.where(low.endswith(".uproject") | low.endswith(".uplugin"))
+    return _shaped(found.select(stem.alias("name"), F.coalesce(F.nullif(shown, F.lit("")), stem).alias("display_name"), kind.alias("type"), stem.alias("owner"), tx.directory("path").alias("root_path")), "components")
+
+
+def virtual_modules(components: DataFrame) -> DataFrame:
+    """Modules without a build script: the configuration of each project."""
+    games = components.where("type = 'Game'")
+    return _shaped(games.select(F.lit("_GameConfig").alias("name"), F.lit("Config").alias("type"), F.lit("Individual").alias("scope"), F.concat("root_path", F.lit("/Config")).alias("root"), "owner", F.array().cast("array<string>").alias("deps")), "modules")
+
+
+def owned(modules: DataFrame, components: DataFrame) -> DataFrame:
+    """modules with the component whose folder is the longest that holds their root, and
+    its owner."""
+    places = modules.select(F.col("root").alias("path")).distinct()
+    best = links.longest_prefix(places, components.select(F.col("root_path").alias("root"))).withColumnRenamed("root", "__root")
+    of = components.groupBy(F.col("root_path").alias("__root")).agg(F.min("name").alias("__component"), F.min_by("owner", "name").alias("__owner"))
+    found = modules.join(best.withColumnRenamed("path", "root"), "root", "left").join(of, "__root", "left")
+    return _shaped(found.withColumn("component", F.coalesce("component", "__component")).withColumn("owner", F.coalesce("owner", "__owner")), "modules")
+
+
 def build(spark: SparkSession, roots: Sequence[str], excluded: Sequence[str] = fs.EXCLUDED) -> Index:
     """Index of all files below the roots."""
     walked = fs.walk(spark, roots, [*fs.TEXT_EXTENSIONS, "uasset", "umap"], excluded)
     texts = fs.texts(walked)
     modules = discover_modules(walked, texts.where(tx.extension(tx.file_name("path")) == "cs"))
+    components = discover_components(texts.where(tx.extension(tx.file_name("path")).isin("uproject", "uplugin")))
+    modules = owned(modules.unionByName(virtual_modules(components)), components)
     source = texts.where(tx.extension(tx.file_name("path")).isin(*fs.SOURCE_EXTENSIONS)).where(fs.is_interesting_header("text") | ~tx.extension(tx.file_name("path")).isin("h", "hpp", "inl"))
     tables = symbol_tables(cpp.parse_sources(source))
     meta = spark.createDataFrame([("version", str(VERSION))], SCHEMAS["meta"])
     files = _shaped(fs.file_table(walked, modules.where("root <> ''")).fillna({"module_name": "_Global"}), "files")
-    return bind(Index(files=files, modules=modules, components=spark.createDataFrame([], SCHEMAS["components"]), texts=texts, meta=meta, **tables))
+    return bind(Index(files=files, modules=modules, components=components, texts=texts, meta=meta, **tables))
 
 
 def update(index: Index, changed: DataFrame, deleted: DataFrame | None = None) -> Index:
@@ -140,6 +169,8 @@ def update(index: Index, changed: DataFrame, deleted: DataFrame | None = None) -
     gone = gone.distinct()
     fresh = symbol_tables(cpp.parse_sources(changed)) | {"texts": changed.select("path", "text")}
     named = changed.withColumn("filename", tx.file_name("path")).withColumn("directory", tx.directory("path")).withColumn("extension", tx.extension("filename"))
+    for c in ("mtime", "size"):
+        named = named if c in named.columns else named.withColumn(c, F.lit(None).cast("long"))
     named = named.withColumn("file_id", F.xxhash64("path")).withColumn("is_header", F.col("extension").isin("h", "hpp", "inl")).withColumn("file_hash", F.sha2(F.col("text").cast("binary"), 256))
     old = index.files.select("path", "module_name", "module_root")
     fresh["files"] = _shaped(named.join(old, "path", "left"), "files")
@@ -150,3 +181,46 @@ def update(index: Index, changed: DataFrame, deleted: DataFrame | None = None) -
     alive = tables["classes"].select(F.col("class_id").alias("child_id"))
     tables["inheritance"] = index.inheritance.unionByName(fresh["inheritance"]).dropDuplicates(["child_id", "parent"]).join(alive, "child_id", "left_semi")
     return bind(Index(**{n: (df if n == "meta" else df.select(*[c.split(" ")[0] for c in SCHEMAS[n].split(", ")])) for n, df in tables.items()}))
+
+
+def refresh(index: Index, roots: Sequence[str], excluded: Sequence[str] = fs.EXCLUDED) -> Index:
+    """The index brought up to what lies below the roots now.  Files whose time is that of
+    the index are not read; of the others, those with the hash of the index are not parsed;
+    what is gone is removed."""
+    walked = fs.walk(index.spark, roots, fs.TEXT_EXTENSIONS, excluded)
+    known = index.files.where(F.col("extension").isin(*fs.TEXT_EXTENSIONS))
+    plan = links.refresh_plan(walked, known)
+    touched = walked.join(plan.where("action = 'parse'").select("path"), "path", "left_semi")
+    changed = fs.changed(touched, known)
+    fresh = fs.texts(changed).join(changed.select("path", "mtime", "size"), "path")
+    return update(index, fresh, plan.where("action = 'delete'").select("path"))
+
+
+def save_version(index: Index, folder: str, version: int) -> None:
+    """Saves beside earlier versions; a reader sees it once it is whole."""
+    index.save(f"{folder}/v{version:012d}")
+    done = index.spark.createDataFrame([(version,)], "version long")
+    done.coalesce(1).write.mode("append").parquet(f"{folder}/versions")
+
+
+def load_latest(spark: SparkSession, folder: str) -> tuple[Index, int]:
+    """The last whole version and its number."""
+    version = spark.read.schema("version long").parquet(f"{folder}/versions").agg(F.max("version")).first()[0]
+    return Index.load(spark, f"{folder}/v{version:012d}"), version
+
+
+def follow(changes: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None):
+    """Keeps a saved index current over a stream of changes(path, text, deleted): every
+    micro-batch makes a version; of several changes of a path in it, one counts.  A batch
+    that is run again replaces the version it made."""
+    from tessera.streaming.changes import maintain
+
+    def apply(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        index, version = load_latest(spark, folder)
+        if version > epoch:  # this epoch, made whole before a failure
+            return
+        last = batch.groupBy("path").agg(F.max_by("text", F.struct("deleted", "text")).alias("text"), F.max("deleted").alias("deleted"))
+        save_version(update(index, last.where("not deleted").select("path", "text"), last.where("deleted").select("path")), folder, epoch + 1)
+
+    return maintain(changes, apply, checkpoint, trigger)

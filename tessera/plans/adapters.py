@@ -6,6 +6,8 @@ and their members; documents give lines of text; events give an operation log.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,6 +114,7 @@ PARENTS = """parents AS (
 )"""
 
 
+@lru_cache(maxsize=4)
 def index(spark: SparkSession, d: str, part: int | None = None) -> Index:
     """An index over the generic tables: pages are files and texts, part gives classes (all,
     or those whose key has the remainder `part` modulo 2), lineitem members, events calls.

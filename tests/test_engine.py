@@ -3,6 +3,7 @@ from __future__ import annotations
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import index as ix
 from tessera.engine import Engine
@@ -12,7 +13,7 @@ from tessera.sources import files as fs
 
 FILES = {
     "Source/Game/Game.Build.cs": 'PublicDependencyModuleNames.AddRange(new string[] { "Core", "Engine" });\nPrivateDependencyModuleNames.Add("Slate");',
-    "Source/Game/Public/Base.h": "#pragma once\nclass UBase\n{\npublic:\n\tvoid ParentOnly();\n\tint Shared(int A, int B = 3) const;\nprotected:\n\tint Guarded;\n};\n",
+    "Source/Game/Public/Base.h": "#include <cstdint>\nclass UBase\n{\npublic:\n\tvoid ParentOnly();\n\tint Shared(int A, int B = 3) const;\nprotected:\n\tint Guarded;\n};\n",
     "Source/Game/Public/Actor.h": '#pragma once\n#include "Base.h"\n// Foo in a comment\nUCLASS()\nclass GAME_API AMyActor : public UBase\n{\n\tGENERATED_BODY()\npublic:\n\tUFUNCTION(BlueprintCallable)\n\tvoid LocalAction(const FString& Name);\n\tint Shared(int A) const;\n\tTObjectPtr<UBase> Held;\nprivate:\n\tfloat Secret = 1.0f;\n};\nenum class EMode { Idle, Walk = 4, Run };\n',
     "Source/Game/Private/Actor.cpp": '#include "Actor.h"\nvoid AMyActor::LocalAction(const FString& Name)\n{\n\tShared(1); // Shared(2)\n\tSecret = 2;\n\tLog("Shared");\n}\n',
     "Source/Game/Private/Loop.h": '#include "Loop2.h"\nstruct FLoop { int X; };\n',
@@ -213,3 +214,56 @@ def test_two_sources(engine):
     assert both.signature_help("Shared", "1, ").count() == e.signature_help("Shared", "1, ").count() > 0
     found = {(r.code, r.line) for r in e.diagnostics("/p/Public/Y.h", "class Y\n{\n\tvoid F()\n};\n").collect()}
     assert ("UECPP002", 2) in found
+
+
+def test_components_and_refresh_by_hash(spark, tmp_path):
+    root = tmp_path / "G"
+    for name, text in (FILES | {"G.uproject": '{"FileVersion": 3}', "Plugins/P/P.uplugin": '{"FriendlyName": "Pretty"}', "Plugins/P/Source/PM/PM.Build.cs": "// none"}).items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    ix.save_version(ix.build(spark, [str(root)]), str(tmp_path / "index"), 0)
+    index, _ = ix.load_latest(spark, str(tmp_path / "index"))
+    e = Engine(index)
+    assert {(r.name, r.display_name, r.type) for r in e.components().collect()} == {("G", "G", "Game"), ("P", "Pretty", "Plugin")}
+    assert {(r.name, r.component) for r in index.modules.collect()} == {("Game", "G"), ("PM", "P"), ("_GameConfig", "G"), ("_Global", None)}
+    assert e.component_data("P").first().name == "PM" and e.ready()
+    (root / "Source/Game/Private/Loop.h").write_text("#include \"Loop2.h\"\nstruct FRenamed { int Z; };\n")
+    (root / "Source/Game/Private/Loop2.h").unlink()
+    again = ix.refresh(index, [str(root)])
+    assert names(again.classes.where("path like '%Loop%'")) == ["FRenamed"]
+    assert again.classes.count() == index.classes.count() - 1
+    assert again.files.where("path like '%Loop.h' and file_hash is not null and mtime is not null").count() == 1
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text('{"path": "/x/New.h", "text": "#include \\"a.h\\"\\nstruct FNew { int A; };", "deleted": false}\n')
+    stream = spark.readStream.schema("path string, text string, deleted boolean").json(str(tmp_path / "in"))
+    ix.follow(stream, str(tmp_path / "index"), str(tmp_path / "checkpoint")).awaitTermination()
+    after, version = ix.load_latest(spark, str(tmp_path / "index"))
+    assert version == 1 and names(after.classes.where("path = '/x/New.h'")) == ["FNew"]
+
+
+def test_implementation_and_find_over_two_sources(engine):
+    e, root = engine
+    hit = e.goto_implementation("", 1, "LocalAction", enclosing="AMyActor").first()
+    assert hit.path.endswith("Actor.cpp")
+    assert e.goto_implementation("", 1, "ParentOnly", enclosing="AMyActor").first().path.endswith("Base.h")
+    assert e.goto_implementation("", 1, "Nothing", enclosing="AMyActor").isEmpty() and e.goto_implementation("", 1, "LocalAction").isEmpty()
+    both = Engine(e.index, e.index)
+    assert {r.source for r in both.fast_find("Loop").collect()} == {"project"}
+    assert {r.source for r in both.global_find("Loop", 500).collect()} == {"project", "engine"}
+    assert [r.ord for r in both.global_find("Loop", 500).orderBy("ord").collect()] == list(range(both.global_find("Loop", 500).count()))
+    assert Engine(e.index).fast_find("Loop", scope="engine").isEmpty()
+
+
+def test_headers_without_a_marker_are_not_parsed(spark):
+    rows = [("class A {};", False), ("#pragma once\nenum B { C };", False), ("#include <a>", True), ("UDELEGATE()", True), ("DECLARE_DELEGATE(F)", True), ("GENERATED_BODY()", True), ("", False)]
+    df = spark.createDataFrame(rows, "text string, want boolean")
+    assert df.where(fs.is_interesting_header("text") != F.col("want")).isEmpty()
+
+
+def test_parameters_in_brackets_count_once(spark):
+    from tessera.engine import parameter_count
+
+    rows = [("()", 0), ("( )", 0), ("(int a)", 1), ("(TMap<int, FName> m)", 1), ("(TMap<int, FName> m, int (*f)(int, int)) const", 2), ("(int a = f(1, 2), b)", 2)]
+    df = spark.createDataFrame(rows, "d string, n int")
+    assert df.where(parameter_count("d") != F.col("n")).isEmpty()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import matching as mt
 from tessera.functions import text as tx
 from tessera.operators import catalog, graph, links, oplog, ordered, usage
-from tessera.plans import registry
+from tessera.plans import engine_queries, registry  # noqa: F401
 from tessera.streaming import changes
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -203,3 +203,9 @@ def test_entry_works_with_and_without_llm(spark):
 
     assert entry.entry(spark).columns == ["file_id", "filename", "path", "rank", "ord"]
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(registry.QUERIES) <= set(entry.queries())
+
+
+def test_debounce_of_null_and_large_keys(spark):
+    rows = [(None, 0), (None, 1), (None, 150), (2**60, 0), (2**60 + 1, 1), (2**60, 50), (None, None)]
+    df = spark.createDataFrame([(k, i, t) for i, (k, t) in enumerate(rows)], "k long, id long, t long")
+    assert sorted(r.id for r in changes.debounced(df, "k", "t", ["id"], 100).collect()) == [0, 2, 3, 4]
