@@ -7,6 +7,7 @@ the tables; their docstrings say "extension".
 from __future__ import annotations
 
 import re
+from collections import OrderedDict
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,12 +16,14 @@ from pyspark.sql import functions as F
 from tessera.functions import matching as mt
 from tessera.functions import text as tx
 from tessera.index import Index
-from tessera.operators import assets, catalog, completion, diagnostics, graph, links, ordered, search, usage
+from tessera.operators import assets, catalog, completion, diagnostics, graph, links, ordered, places, search, usage
 from tessera.sources import cpp, words
 from tessera.sources import files as fs
 
 FUNCTION = "%function%"
 OVERLOADS = 16
+#: Completion lists and their rows that an engine keeps; the longest unused one goes first.
+CACHED_LISTS = 400
 
 
 def parameter_count(detail: Column | str) -> Column:
@@ -38,6 +41,8 @@ def parameter_count(detail: Column | str) -> Column:
 class Engine:
     def __init__(self, index: Index, engine: Index | None = None, asset_graph: DataFrame | None = None) -> None:
         self.index, self.behind, self.assets = index, engine, asset_graph
+        self._completed: OrderedDict[tuple, list] = OrderedDict()
+        self._configured: dict[tuple, dict[str, list]] = {}
 
     # --- files -----------------------------------------------------------------------
 
@@ -318,6 +323,37 @@ class Engine:
         lines = texts.select("path", F.posexplode(tx.text_lines("text")).alias("n", "text")).withColumn("line", F.col("n") + 1)
         return usage.usages(lines, symbol, limit)
 
+    def usage_scope(self, text: str, line: int, symbol: str, qualifier: str | None = None, enclosing: str | None = None) -> tuple[str, str | None]:
+        """Where usages of a symbol may be: ("local", None) for a variable of the buffer,
+        ("member", owner) for a member of the class that a qualifier or the place names,
+        with the class of its chain that owns it, else ("global", None)."""
+        if not qualifier and cpp.variable_type(text, symbol, line):
+            return "local", None
+        target = enclosing if qualifier in (None, "this", "Super") else self._class_of(text, line, qualifier)
+        hit = self.symbol_in_chain(target, symbol).first() if target else None
+        return ("member", hit["class_name"]) if hit else ("global", None)
+
+    def member_usages(self, symbol: str, owner: str, context: str | None = None, limit: int = usage.RESULT_CAP) -> DataFrame:
+        """Declarations of a member first, then its usages within methods of its class, of
+        those that derive from it and of the class at the cursor, or qualified by one."""
+        i = self.index
+        declared = places.member_places(i.members, i.texts, symbol, owner)
+        family = self._closure(owner, down=True).select("name").union(i.spark.createDataFrame([(n,) for n in {owner, context or owner}], "name string"))
+        lines = places.numbered_lines(i.texts)
+        hits = usage.usages(lines.where(F.col("text").contains(symbol)), symbol, usage.FILE_CAP)
+        ranges = usage.method_ranges(lines.join(hits.select("path").distinct(), "path", "left_semi"))
+        inside = places.in_classes(usage.within_ranges(hits.drop("ord"), ranges), family)
+        rows = inside.select("path", "line", F.col("column").cast("long").alias("column"), tx.strip("text").alias("context"), "kind")
+        both = ordered.staged_union([declared.select("path", "line", "column", "context", "kind"), rows])
+        unique = ordered.first_wins(both, ["path", "line", "column"], ["stage"])
+        return ordered.top(unique, ["stage", "path", "line", "column"], limit).drop("stage")
+
+    def member_declarations(self, symbol: str, owner: str) -> DataFrame:
+        return places.member_places(self.index.members, self.index.texts, symbol, owner)
+
+    def header_of_type(self, name: str) -> DataFrame:
+        return places.header_of_type(self.index.files, self.index.texts, name)
+
     def call_sites(self, symbol: str, limit: int | None = None) -> DataFrame:
         return ordered.top(self.index.calls.where(F.col("name") == symbol), ["path", "line"], limit or 200)
 
@@ -438,6 +474,22 @@ class Engine:
                 stages.append(ordered.top(completion.enum_items(at.enum_values, prefix), ["sort_text", "label"], completion.GLOBALS))
         return completion.merge_items(stages)
 
+    def completion_list(self, text: str, line: int, column: int, within: str | None = None) -> list:
+        """Rows of `completions`, in order, kept for the next call of the same kind."""
+        key = (hash(text), line, column, within)
+        if key in self._completed:
+            self._completed.move_to_end(key)
+        else:
+            self._completed[key] = self.completions(text, line, column, within).orderBy("ord").collect()
+            if len(self._completed) > CACHED_LISTS:
+                self._completed.popitem(last=False)
+        return self._completed[key]
+
+    @staticmethod
+    def buffer_parents(text: str) -> dict[str, list[str]]:
+        """Parents of each class that a buffer declares."""
+        return {r[1]: [b.strip() for b in r[7].split(",")] for r in cpp.parse(text) if r[0] == "class" and r[7]}
+
     def expression_type(self, text: str, line: int, expression: str, within: str | None = None, depth: int = 4) -> str | None:
         """The type of a chained expression at a line of a buffer, one lookup a hop; None
         where a hop has no known type.  `auto` takes the type of what was assigned, up to
@@ -550,6 +602,20 @@ class Engine:
         items = fs.ini_items(self.index.texts.where(F.lower("path").endswith(".ini")))
         return fs.resolve_config(items, fs.config_stack(project, engine, platform, kind))
 
+    def config_data(self, project: str, engine: str | None, kinds: Sequence[str] = ("Engine", "Game", "Input", "Editor")) -> dict[str, list]:
+        """Resolved settings of every available platform, and of none; kept until
+        `forget_config` says that a file has changed."""
+        key = (project, engine, tuple(kinds))
+        if key not in self._configured:
+            found = [None, *(r["name"] for r in places.platforms(self.index.files, project, engine).orderBy("name").collect())]
+            self._configured[key] = {
+                p or "Default": [r for kind in kinds for r in self.config(project, engine, p, kind).orderBy("section", "key").collect()] for p in found
+            }
+        return self._configured[key]
+
+    def forget_config(self) -> None:
+        self._configured.clear()
+
     def status(self) -> dict[str, int]:
         """Row counts of the index."""
         return {"files": self.index.files.count(), "classes": self.index.classes.count()}

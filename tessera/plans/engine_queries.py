@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera import engine as en
 from tessera.functions import text as tx
-from tessera.operators import assets, catalog, completion, diagnostics, links, ordered
+from tessera.operators import assets, catalog, completion, diagnostics, links, ordered, places
 from tessera.plans import adapters as ad
 from tessera.plans.registry import _KIND, _tier, query
 from tessera.sources import files as fs
@@ -456,3 +456,88 @@ def page_filled_from_engine(spark, d):
     s = ad.symbols(spark, d).where(F.col("name").contains("blue"))
     own, more = (ordered.top(s.where(F.col("id") % 2 == k), ["name", "line", "id"], 3000) for k in (0, 1))
     return ordered.append_source(own, more, 3000)
+
+
+# --- places --------------------------------------------------------------------------
+
+
+@query("doc_id:l line:l col0:l", r"""
+SELECT doc_id, coalesce(hit, 1) AS line, coalesce(col, 0) AS col0 FROM (SELECT d.doc_id, min(l.line) AS hit, arg_min(length(regexp_extract(l.text, '^(.*?)(^|[^A-Za-z0-9_])the([^A-Za-z0-9_]|$)', 1)) + length(regexp_extract(l.text, '^(.*?)(^|[^A-Za-z0-9_])the([^A-Za-z0-9_]|$)', 2)), l.line) AS col
+  FROM documents d LEFT JOIN lines l ON l.doc_id = d.doc_id AND l.line <= 9 AND regexp_matches(l.text, '(^|[^A-Za-z0-9_])the([^A-Za-z0-9_]|$)') GROUP BY 1) x""", ad.LINES)
+def near_lines(spark, d):
+    """The first of nine lines that holds a word, for the head of every document."""
+    t = ad.table(spark, d, "documents").withColumn("path", F.col("doc_id").cast("string"))
+    hits = t.select("path", "doc_id", F.lit(1).cast("long").alias("line"))
+    return places.near_line(hits, places.numbered_lines(t.select("path", "text")), "the").withColumn("col0", F.col("column"))
+
+
+@query("path:s line:l", "SELECT 'G/Public/Part12.h' AS path, 3 AS line FROM part WHERE p_partkey = 12")
+def type_header(spark, d):
+    """Declaration of a type in the header named for it, not in one that only names it."""
+    p = ad.table(spark, d, "part")
+    folder = F.when(F.col("p_partkey") % 2 == 0, "G/Public/").otherwise("G/Classes/")
+    path = F.concat(folder, F.lit("Part"), "p_partkey", F.lit(".h"))
+    body = F.concat(F.lit("class UPart12;\n// class UPart12 {\nclass G_API\n  UPart"), "p_partkey", F.lit(" final : public UBase\n{\n  UPart12* Next;\n};"))
+    made = p.select(path.alias("path"), body.alias("text")).withColumn("filename", tx.file_name("path"))
+    return places.header_of_type(made, made, "UPart12")
+
+
+@query("path:s line:l kind:s context:s", """
+SELECT DISTINCT m.path, m.line, 'declaration' AS kind, coalesce(l.text, 'C37::m5') AS context FROM members m LEFT JOIN (
+  SELECT path, line, min(trim(text, chr(32) || chr(9) || chr(13) || chr(10))) AS text FROM (SELECT path, generate_subscripts(parts, 1) AS line, unnest(parts) AS text FROM (SELECT f.path, regexp_split_to_array(regexp_replace(html, '\\r?\\n$', ''), '\\r?\\n') AS parts FROM pages JOIN files f ON f.file_id = page_id) a) b GROUP BY 1, 2) l
+  ON l.path = m.path AND l.line = m.line WHERE m.name = 'm5' AND m.class_name = 'C37'""", ad.FILES, ALL)
+def member_places(spark, d):
+    """Declarations of a member with the line they stand in."""
+    return engine(spark, d).member_declarations("m5", "C37")
+
+
+@query("path:s kind:s", """
+SELECT path, CASE WHEN p_size % 2 = 0 AND p_partkey % 3 = 0 THEN 'definition' ELSE 'declaration' END AS kind
+FROM (SELECT 'F' || p_partkey || CASE WHEN p_size % 2 = 0 THEN '.CPP' ELSE '.h' END AS path, * FROM part) x""")
+def member_place_kinds(spark, d):
+    """Definitions and declarations by file and line."""
+    p = ad.table(spark, d, "part")
+    path = F.concat(F.lit("F"), "p_partkey", F.when(F.col("p_size") % 2 == 0, ".CPP").otherwise(".h"))
+    context = F.when(F.col("p_partkey") % 3 == 0, "void A::Run()").when(F.col("p_partkey") % 3 == 1, "void Run();").otherwise("void A::Go()")
+    return p.select(path.alias("path")).withColumn("kind", F.lit(None).cast("string")).drop("kind").join(
+        p.select(path.alias("path"), places.member_place_kind(path, context, "Run").alias("kind")), "path")
+
+
+@query("id:l", """
+SELECT p_partkey AS id FROM part WHERE CASE WHEN p_partkey % 3 = 0 THEN 'A' || (p_size % 4) ELSE 'B' || (p_size % 5) END IN ('A1', 'B2', 'B3')""")
+def usages_in_classes(spark, d):
+    """Usages that concern a family of classes, by their scope or the method around."""
+    p = ad.table(spark, d, "part")
+    head = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("  A"), F.col("p_size") % 4, F.lit(" :: "))).otherwise("  x.y; ")
+    hits = p.select(F.col("p_partkey").alias("id"), F.concat(head, F.lit("Run()")).alias("text"), F.length(head).alias("column"), F.concat(F.lit("B"), F.col("p_size") % 5).alias("class_name"))
+    return places.in_classes(hits, spark.createDataFrame([("A1",), ("B2",), ("B3",)], "name string"))
+
+
+@query("path:s", """
+SELECT DISTINCT 'D:/G/' || CASE WHEN p_size % 2 = 0 THEN 'Content/' ELSE 'Other/' END || ['BP_', 'T_', 'DA_'][p_partkey % 3 + 1] || p_partkey || ['.uasset', '.umap', '.txt'][p_size % 3 + 1] AS path FROM part
+WHERE p_size % 2 = 0 AND (p_size % 3 = 1 OR (p_size % 3 = 0 AND p_partkey % 3 <> 1))""")
+def candidate_assets(spark, d):
+    """Important assets below a content folder."""
+    p = ad.table(spark, d, "part")
+    pick = lambda xs, at: F.element_at(F.array(*map(F.lit, xs)), (at % 3 + 1).cast("int"))
+    path = F.concat(F.lit("D:\\G\\"), F.when(F.col("p_size") % 2 == 0, "Content\\").otherwise("Other\\"), pick(("BP_", "T_", "DA_"), F.col("p_partkey")), "p_partkey", pick((".uasset", ".umap", ".txt"), F.col("p_size")))
+    return places.candidate_assets(p.select(tx.normalize_path(path).alias("path")))
+
+
+@query("path:s", "SELECT 'D:/G/Content/X/P31.umap' AS path FROM part WHERE p_partkey = 31")
+def asset_file(spark, d):
+    """The file of an object path."""
+    p = ad.table(spark, d, "part").select(F.concat(F.lit("D:/G/Content/X/P"), "p_partkey", F.when(F.col("p_partkey") % 2 == 0, ".uasset").otherwise(".umap")).alias("path"))
+    return places.find_asset_file(p.union(p.select(F.replace("path", F.lit("/X/"), F.lit("/A/")))), "/Game/X/P31")
+
+
+@query("name:s", "SELECT DISTINCT name FROM (SELECT CASE p_size % 5 WHEN 0 THEN 'Mac' WHEN 1 THEN 'P' || p_size WHEN 2 THEN 'Q' || p_size WHEN 3 THEN 'R' || p_size END AS name FROM part) x WHERE name IS NOT NULL")
+def config_platforms(spark, d):
+    """Platforms that have a folder of their own."""
+    p, k, n = ad.table(spark, d, "part"), F.col("p_size") % 5, F.col("p_size")
+    path = (
+        F.when(k == 0, F.lit("/g/Config/Mac/x.txt")).when(k == 1, F.concat(F.lit("/g/Config/P"), n, F.lit("/P"), n, F.lit("Engine.ini")))
+        .when(k == 2, F.concat(F.lit("/e/Platforms/Q"), n, F.lit("/DataDrivenPlatformInfo.ini"))).when(k == 3, F.concat(F.lit("/g/Platforms/R"), n, F.lit("/Config/a/b.ini")))
+        .otherwise(F.concat(F.lit("/g/Config/S"), n, F.lit("/note.txt")))
+    )
+    return places.platforms(p.select(path.alias("path")), "/g", "/e")

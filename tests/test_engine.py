@@ -267,3 +267,28 @@ def test_parameters_in_brackets_count_once(spark):
     rows = [("()", 0), ("( )", 0), ("(int a)", 1), ("(TMap<int, FName> m)", 1), ("(TMap<int, FName> m, int (*f)(int, int)) const", 2), ("(int a = f(1, 2), b)", 2)]
     df = spark.createDataFrame(rows, "d string, n int")
     assert df.where(parameter_count("d") != F.col("n")).isEmpty()
+
+
+def test_usage_scopes_and_member_usages(engine):
+    e, root = engine
+    text = FILES["Source/Game/Private/Actor.cpp"]
+    assert e.usage_scope(text, 4, "Shared", None, "AMyActor") == ("member", "AMyActor")
+    assert e.usage_scope(text, 4, "ParentOnly", "this", "AMyActor") == ("member", "UBase")
+    assert e.usage_scope("void F()\n{\n\tint Local = 1;\n\tLocal++;\n}\n", 4, "Local")[0] == "local"
+    assert e.usage_scope(text, 4, "Nowhere", None, "AMyActor") == ("global", None)
+    rows = e.member_usages("Shared", "AMyActor").collect()
+    assert rows[0].kind == "declaration" and rows[0].path.endswith("Actor.h")
+    assert [(r.path.rsplit("/")[-1], r.line) for r in rows if r.kind == "call"] == [("Actor.cpp", 4)]
+    assert e.header_of_type("UBase").first().line == 2 and e.header_of_type("AMyActor").isEmpty()
+
+
+def test_caches_answer_again_until_forgotten(engine):
+    e, root = engine
+    text = "AMyActor* A;\nA->Lo"
+    first = e.completion_list(text, 2, 5)
+    assert first is e.completion_list(text, 2, 5) and [r.label for r in first][0] == "LocalAction"
+    data = e.config_data(root, None)
+    assert data is e.config_data(root, None) and "Default" in data
+    e.forget_config()
+    assert data is not e.config_data(root, None)
+    assert e.buffer_parents(FILES["Source/Game/Public/Actor.h"])["AMyActor"] == ["UBase"]
