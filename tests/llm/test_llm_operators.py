@@ -792,3 +792,18 @@ def test_comparison_in_tiles_finds_the_same_groups():
         return len(set(label))
 
     assert groups(minhash.compare(sets, side, 80)) == groups(minhash.compare(sets, side, 80, limit=256))
+
+
+def test_base_columns_equal_their_sql(spark):
+    import duckdb
+
+    from tessera.llm import registry
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    for name, run in registry.BASE_QUERIES.items():
+        got = run(spark, folder)
+        found = con.execute(registry.ORACLE_SQL[name])
+        assert [c[0] for c in found.description] == got.columns
+        assert sorted(map(tuple, got.collect())) == sorted(found.fetchall()), name
