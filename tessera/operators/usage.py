@@ -17,6 +17,12 @@ def word_hits(lines: DataFrame, word: str) -> DataFrame:
     return holding.withColumn("column", F.explode(tx.word_columns("text", word)))
 
 
+def word_counts(lines: DataFrame, word: str) -> DataFrame:
+    """(path, n): whole occurrences of a word by path, counted without their places."""
+    counts = lines.where(F.col("text").contains(word)).select("path", F.regexp_count("text", F.lit(tx.whole_word(word))).alias("n"))
+    return counts.groupBy("path").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def usages(lines: DataFrame, word: str, limit: int = RESULT_CAP) -> DataFrame:
     """Usages in code, outside comments and strings, each with its kind; a place counts
     once; the first `limit` by path, line and column."""

@@ -429,7 +429,7 @@ SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM (SELECT doc_id, len(list_filter(
 def word_usages(spark, d):
     """Whole-word occurrences of a word by document."""
     lines = ad.lines(spark, d).withColumnRenamed("doc_id", "path")
-    return usage.word_hits(lines, "the").groupBy(F.col("path").alias("doc_id")).agg(F.count("*").alias("n"))
+    return usage.word_counts(lines, "the").withColumnRenamed("path", "doc_id")
 
 
 @query("path:s line:l col0:l kind:s", r"""

@@ -7,6 +7,7 @@ scopes.  Macro-generated code and declarations split by macros are not seen.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -91,15 +92,44 @@ class Scope:
     bases: list[str] = field(default_factory=list)
 
 
-def _scopes(plain: str) -> list[Scope]:
+class _Places:
+    """Lines, brace depths and access labels of a text, found once and then looked up."""
+
+    def __init__(self, plain: str) -> None:
+        self.newlines = [m.start() for m in re.finditer("\n", plain)]
+        self.braces, self.depths, self.ends = [], [], {}
+        opened, depth = [], 0
+        for m in re.finditer("[{}]", plain):
+            if m[0] == "{":
+                opened.append(m.start())
+            elif opened:
+                self.ends[opened.pop()] = m.start()
+            depth += 1 if m[0] == "{" else -1
+            self.braces.append(m.start())
+            self.depths.append(depth)
+        self.ends.update(dict.fromkeys(opened, len(plain) - 1))
+        labels = list(re.finditer(r"\b(public|protected|private)\s*:(?!:)", plain))
+        self.label_at, self.label = [m.start() for m in labels], [m[1] for m in labels]
+
+    def line(self, i: int) -> int:
+        return bisect.bisect_left(self.newlines, i) + 1
+
+    def depth(self, i: int) -> int:
+        """Brace depth before a place."""
+        at = bisect.bisect_left(self.braces, i)
+        return self.depths[at - 1] if at else 0
+
+    def access(self, start: int, i: int) -> str | None:
+        """The last label between two places."""
+        at = bisect.bisect_left(self.label_at, i)
+        return self.label[at - 1] if at and self.label_at[at - 1] >= start else None
+
+
+def _scopes(plain: str, places: _Places) -> list[Scope]:
     """Types with a body, and where each body ends."""
     out = []
     for m in _TYPE.finditer(plain):
-        depth, at = 0, m.end() - 1
-        for at in range(m.end() - 1, len(plain)):
-            depth += {"{": 1, "}": -1}.get(plain[at], 0)
-            if not depth:
-                break
+        at = places.ends.get(m.end() - 1, len(plain) - 1)
         kind = m[1].split()[0]
         bases = [re.sub(r"\b(public|protected|private|virtual)\b", "", b).split("<")[0].strip().split("::")[-1] for b in split_top_level(m[3] or "")]
         before = plain[max(0, m.start() - 400) : m.start(1)]
@@ -112,11 +142,12 @@ def parse(text: str) -> list[tuple]:
     """Symbol rows of one text, without the path: kind, name, owner, type, access, detail,
     return_type, base, line, end_line (lines from 1)."""
     plain = blank(text)
-    line_of = lambda i: plain.count("\n", 0, i) + 1
+    places = _Places(plain)
+    line_of = places.line
     rows: list[tuple] = []
     for m in re.finditer(r'^[ \t]*#[ \t]*include[ \t]+["<]([^">\n]+)[">]', text, re.M):
         rows.append(("include", m[1], None, None, None, None, None, None, line_of(m.start()), None))
-    scopes = _scopes(plain)
+    scopes = _scopes(plain, places)
     for s in scopes:
         rows.append(("class", s.name, None, s.kind, None, None, None, ",".join(s.bases) or None, line_of(s.start), line_of(s.end)))
         if s.kind in ("enum", "UENUM"):
@@ -124,19 +155,25 @@ def parse(text: str) -> list[tuple]:
                 if name := re.match(r"\w+", part):
                     at = plain.index(name[0], s.start)
                     rows.append(("enum_value", name[0], s.name, "enum_item", None, None, None, None, line_of(at), None))
-    types = [s for s in scopes if s.kind not in ("enum", "UENUM")]
+    types = [s for s in scopes if s.kind not in ("enum", "UENUM")]  # in order, bodies nested or apart
+    starts, around, open_ = [s.start for s in types], [], []
+    for n, s in enumerate(types):
+        while open_ and types[open_[-1]].end < s.start:
+            open_.pop()
+        around.append(open_[-1] if open_ else -1)
+        open_.append(n)
 
     def owner_of(i: int) -> Scope | None:
-        inside = [s for s in types if s.start < i < s.end]
-        return min(inside, key=lambda s: s.end - s.start) if inside else None
+        n = bisect.bisect_left(starts, i) - 1
+        while n >= 0 and types[n].end <= i:
+            n = around[n]
+        return types[n] if n >= 0 else None
 
     def depth_in(s: Scope, i: int) -> int:
-        part = plain[s.start : i]
-        return part.count("{") - part.count("}")
+        return places.depth(i) - places.depth(s.start)
 
     def access_at(s: Scope, i: int) -> str:
-        labels = [m for m in re.finditer(r"\b(public|protected|private)\s*:(?!:)", plain[s.start : i])]
-        return labels[-1][1] if labels else s.access
+        return places.access(s.start, i) or s.access
 
     def flags(i: int, name: str) -> str:
         before = plain[max(0, i - 300) : i]
@@ -159,7 +196,8 @@ def parse(text: str) -> list[tuple]:
         rows.append(("member", short, owner, " ".join(filter(None, [flags(m.start(), "UFUNCTION"), "function"])), access, normalize_parameters(m[3]), returned, None, line_of(at), None))
     for s in types:
         for m in _FIELD.finditer(plain, s.start + 1, s.end):
-            if any(a <= m.start(2) < b for a, b in taken) or "(" in m[0].split("=")[0] or owner_of(m.start(2)) is not s or depth_in(s, m.start(2)) != 1:
+            t = bisect.bisect_right(taken, (m.start(2), len(plain))) - 1
+            if (t >= 0 and m.start(2) < taken[t][1]) or "(" in m[0].split("=")[0] or owner_of(m.start(2)) is not s or depth_in(s, m.start(2)) != 1:
                 continue
             if m[1].split()[0] in _NOT_NAMES:
                 continue

@@ -2,21 +2,21 @@
 
 # Keywords, preprocessor directives, specifiers by macro, metadata keys, and
 # the types that well-known calls return.
-KEYWORDS = "auto break case catch class const constexpr continue do else enum explicit false final for if inline mutable namespace noexcept nullptr override private protected public return static struct switch template this true try typename using virtual void while".split()
+KEYWORDS = ("auto", "break", "case", "catch", "class", "const", "constexpr", "continue", "do", "else", "enum", "explicit", "false", "final", "for", "if", "inline", "mutable", "namespace", "noexcept", "nullptr", "override", "private", "protected", "public", "return", "static", "struct", "switch", "template", "this", "true", "try", "typename", "using", "virtual", "void", "while")
 DIRECTIVES = ("include", "pragma once", "define", "ifdef", "ifndef", "if", "elif", "else", "endif", "undef")
 SPECIFIERS = {
-    "UPROPERTY": "EditAnywhere EditDefaultsOnly EditInstanceOnly VisibleAnywhere VisibleDefaultsOnly VisibleInstanceOnly BlueprintReadOnly BlueprintReadWrite BlueprintAssignable BlueprintCallable Config GlobalConfig Transient DuplicateTransient SaveGame Instanced Replicated ReplicatedUsing Category meta".split(),
-    "UFUNCTION": "BlueprintCallable BlueprintPure BlueprintImplementableEvent BlueprintNativeEvent BlueprintAuthorityOnly BlueprintCosmetic CallInEditor Client Server NetMulticast Reliable Unreliable WithValidation Exec Category meta".split(),
-    "UCLASS": "Blueprintable BlueprintType Abstract NotBlueprintable Config DefaultConfig EditInlineNew CollapseCategories HideCategories ShowCategories ClassGroup meta".split(),
-    "USTRUCT": "BlueprintType Atomic NoExport meta".split(),
-    "UENUM": "BlueprintType ScriptName meta".split(),
+    "UPROPERTY": ("EditAnywhere", "EditDefaultsOnly", "EditInstanceOnly", "VisibleAnywhere", "VisibleDefaultsOnly", "VisibleInstanceOnly", "BlueprintReadOnly", "BlueprintReadWrite", "BlueprintAssignable", "BlueprintCallable", "Config", "GlobalConfig", "Transient", "DuplicateTransient", "SaveGame", "Instanced", "Replicated", "ReplicatedUsing", "Category", "meta"),
+    "UFUNCTION": ("BlueprintCallable", "BlueprintPure", "BlueprintImplementableEvent", "BlueprintNativeEvent", "BlueprintAuthorityOnly", "BlueprintCosmetic", "CallInEditor", "Client", "Server", "NetMulticast", "Reliable", "Unreliable", "WithValidation", "Exec", "Category", "meta"),
+    "UCLASS": ("Blueprintable", "BlueprintType", "Abstract", "NotBlueprintable", "Config", "DefaultConfig", "EditInlineNew", "CollapseCategories", "HideCategories", "ShowCategories", "ClassGroup", "meta"),
+    "USTRUCT": ("BlueprintType", "Atomic", "NoExport", "meta"),
+    "UENUM": ("BlueprintType", "ScriptName", "meta"),
 }
-COMMON_KEYS = "DisplayName ToolTip ShortToolTip DeprecatedFunction DeprecationMessage DevelopmentOnly ScriptName".split()
+COMMON_KEYS = ("DisplayName", "ToolTip", "ShortToolTip", "DeprecatedFunction", "DeprecationMessage", "DevelopmentOnly", "ScriptName")
 KEYS = {
-    "UPROPERTY": "AllowPrivateAccess ClampMin ClampMax UIMin UIMax Units EditCondition EditConditionHides BindWidget BindWidgetOptional ExposeOnSpawn MakeEditWidget MultiLine AllowedClasses DisallowedClasses".split(),
-    "UFUNCTION": "WorldContext CallableWithoutWorldContext DefaultToSelf HidePin AdvancedDisplay AutoCreateRefTerm DeterminesOutputType ExpandEnumAsExecs Latent LatentInfo CompactNodeTitle Keywords".split(),
-    "UCLASS": "BlueprintSpawnableComponent ChildCanTick ChildCannotTick ShowWorldContextPin DontUseGenericSpawnObject".split(),
-    "USTRUCT": "HasNativeMake HasNativeBreak".split(),
+    "UPROPERTY": ("AllowPrivateAccess", "ClampMin", "ClampMax", "UIMin", "UIMax", "Units", "EditCondition", "EditConditionHides", "BindWidget", "BindWidgetOptional", "ExposeOnSpawn", "MakeEditWidget", "MultiLine", "AllowedClasses", "DisallowedClasses"),
+    "UFUNCTION": ("WorldContext", "CallableWithoutWorldContext", "DefaultToSelf", "HidePin", "AdvancedDisplay", "AutoCreateRefTerm", "DeterminesOutputType", "ExpandEnumAsExecs", "Latent", "LatentInfo", "CompactNodeTitle", "Keywords"),
+    "UCLASS": ("BlueprintSpawnableComponent", "ChildCanTick", "ChildCannotTick", "ShowWorldContextPin", "DontUseGenericSpawnObject"),
+    "USTRUCT": ("HasNativeMake", "HasNativeBreak"),
 }
 KNOWN_CALLS = {
     "GetWorld": "UWorld", "GetGameInstance": "UGameInstance", "GetOwner": "AActor", "GetController": "AController", "GetPawn": "APawn",
