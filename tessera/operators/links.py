@@ -37,11 +37,28 @@ def longest_prefix(paths: DataFrame, roots: DataFrame) -> DataFrame:
     return paths.join(hits, "path", "left")
 
 
+def holding(points: DataFrame, intervals: DataFrame, scope: str) -> DataFrame:
+    """Pairs of points(scope, start, stop) and the intervals(scope, lo, hi) that hold them.
+
+    An interval stands in the one or two cells of its own width (a power of two) that it
+    touches; a point looks into its cell of every width in use.  So a point meets what lies
+    near it, not all of its scope.
+    """
+    width = lambda level: F.pow(F.lit(2.0), level)
+    cell = lambda at, level: F.floor(F.col(at) / width(F.col(level))).cast("long")
+    sized = intervals.where("lo <= hi").withColumn("__level", F.ceil(F.log2(F.greatest(F.col("hi") - F.col("lo"), F.lit(1)))).cast("int"))
+    cells = sized.withColumn("__cell", F.explode(F.array_distinct(F.array(cell("lo", "__level"), cell("hi", "__level"))))).withColumnRenamed(scope, "__scope")
+    levels = sized.agg(F.collect_set("__level").alias("__levels"))  # some sixty at most
+    asked = points.crossJoin(F.broadcast(levels)).withColumn("__at", F.explode("__levels")).withColumn("__of", cell("start", "__at")).drop("__levels")
+    meets = (F.col(scope) == F.col("__scope")) & (F.col("__at") == F.col("__level")) & (F.col("__of") == F.col("__cell"))
+    found = asked.join(cells, meets & (F.col("lo") <= F.col("start")) & (F.col("stop") <= F.col("hi")))
+    return found.drop("__scope", "__level", "__cell", "__at", "__of")
+
+
 def innermost(points: DataFrame, intervals: DataFrame, scope: str) -> DataFrame:
     """points(scope, id, start, stop) with `owner`: the shortest of intervals(scope,
     owner, lo, hi) that holds them."""
-    joined = points.join(intervals, scope, "left").where("owner is null or (lo <= start and stop <= hi)")
-    best = first_wins(joined, [scope, "id"], [(F.col("hi") - F.col("lo")).asc_nulls_last(), "owner"])
+    best = first_wins(holding(points, intervals, scope), [scope, "id"], [F.col("hi") - F.col("lo"), "owner"])
     return points.join(best.select(scope, "id", "owner"), [scope, "id"], "left")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.operators.links import holding
 from tessera.operators.ordered import first_wins, top
 
 RESULT_CAP, FILE_CAP = 300, 2000
@@ -64,7 +65,7 @@ def method_ranges(lines: DataFrame, head: str = r"([A-Za-z_][A-Za-z0-9_]*)::[~A-
 
 def within_ranges(hits: DataFrame, ranges: DataFrame) -> DataFrame:
     """hits with the class of the range that holds their line, or null; the innermost."""
-    r = ranges.select(F.col("path").alias("__p"), "class_name", "start", "stop")
-    joined = hits.join(r, (F.col("path") == F.col("__p")) & F.col("line").between(F.col("start"), F.col("stop")), "left")
-    span = (F.col("stop") - F.col("start")).asc_nulls_last()
-    return first_wins(joined, hits.columns, [span, "class_name"]).drop("__p", "start", "stop")
+    points = hits.select("path", F.col("line").alias("start"), F.col("line").alias("stop")).distinct()
+    spans = ranges.select("path", "class_name", F.col("start").alias("lo"), F.col("stop").alias("hi"))
+    best = first_wins(holding(points, spans, "path"), ["path", "start"], [F.col("hi") - F.col("lo"), "class_name"])
+    return hits.join(best.select("path", F.col("start").alias("line"), "class_name"), ["path", "line"], "left").select(*hits.columns, "class_name")
