@@ -261,20 +261,23 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     keyed = shared_table(keys.join(firsts, "key"), "keys")
     blocks = _blocks(keyed, classes.select("node", "weight"))
 
-    def confirmed(tasks: DataFrame) -> DataFrame:
-        dealt = tasks.join(classes.select("node", "uid"), "node")
-        return shared_table(_confirm(found.select("uid", "text").join(dealt, "uid"), k, percent), "confirmed")
+    def confirmed(routed: DataFrame) -> DataFrame:
+        return shared_table(_confirm(routed, k, percent), "confirmed")
 
-    links = confirmed(blocks.select("node", F.col("block").alias("task"), F.lit(-1).alias("side")))
+    texts = found.select("uid", "text")
+    each = blocks.select("node", F.col("block").alias("task"), F.lit(-1).alias("side"))
+    links = confirmed(texts.join(each.join(classes.select("node", "uid"), "node"), "uid"))
     cut = blocks.where("cut").select("node", "block", "cluster", "weight")
     if not cut.isEmpty():
         blocked = shared_table(keyed.select("key", "node").join(cut, "node"), "blocked")
+        own = classes.select("uid", "node").join(cut.select("node"), "node", "left_semi")
+        large = shared_table(texts.join(own, "uid").drop("uid"), "large")  # so that rounds read no other text
         left, turn, before = _open(blocked, links), 0, None
         while (labels := left.select("label").distinct().count()) and (before is None or 4 * labels <= 3 * before):
-            links = links.union(confirmed(_sampled(left, turn)))
+            links = links.union(confirmed(_sampled(left, turn).join(large, "node")))
             left, turn, before = _open(blocked, links), turn + 1, labels
         if labels:
-            links = links.union(confirmed(_across(left)))
+            links = links.union(confirmed(_across(left).join(large, "node")))
     roots = components(links)
     return found, classes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
