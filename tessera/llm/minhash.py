@@ -317,10 +317,13 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Rows are told apart as rows: where several repeat a doc_id, each is judged by its own
     text, and of identical rows one stays.  Rows without words all stay.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    found, roots = _grouped(_numbered(docs, F.struct(*columns).alias("row")), k, percent)
+    # The text stands beside the other columns of a row, once.
+    others = F.struct(F.lit(True).alias("__any"), *(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    kind = docs.schema["text"].dataType
+    own = [F.col("text").cast(kind).alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
+    found, roots = _grouped(_numbered(docs, others.alias("row")), k, percent)
     held = found.where("node is not null").select("uid", "node", F.struct(F.col("doc_id").isNull(), "doc_id", "uid").alias("place"))
     best = held.groupBy("node").agg(F.min("place").alias("place")).join(roots, "node").groupBy("root").agg(F.min("place").alias("place"))
     stays = best.select(F.col("place.uid").alias("uid"))
-    wordless = found.where("node is null").select("row.*")
-    return found.where("node is not null").join(stays, "uid", "left_semi").select("row.*").unionByName(wordless)
+    wordless = found.where("node is null").select(*own)
+    return found.where("node is not null").join(stays, "uid", "left_semi").select(*own).unionByName(wordless)
