@@ -11,9 +11,8 @@ from tessera.functions import text as tx
 from tessera.operators import assets
 from tessera.operators.ordered import first_wins, top
 
-#: Lines after an indexed place in which its name may have moved, headers that are looked
-#: into for a type.
-NEAR, HEADERS = 8, 50
+#: Lines after an indexed place in which its name may have moved.
+NEAR = 8
 # Platforms known by name, wherever they have a folder.
 PLATFORMS = ("Windows", "Mac", "Linux", "Android", "IOS", "TVOS", "Apple", "Unix")
 
@@ -42,13 +41,13 @@ def type_stem(name: str) -> str:
 
 def header_of_type(files: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     """(path, line) of the declaration of a type in a header named for it: exactly or with
-    the name inside, by folder and length of path, of the first HEADERS."""
+    the name inside; of all that declare it, the first by folder and length of path."""
     stem = type_stem(name)
     file = F.lower("filename")
     like = (file.endswith(".h") | file.endswith(".hpp")) & file.contains(stem.lower()) & ~file.endswith(".generated.h")
     folder = F.when(F.col("path").contains("/Classes/"), 0).when(F.col("path").contains("/Public/"), 1).when(F.col("path").contains("/Private/"), 2).otherwise(3)
-    page = top(files.where(like).select("path").distinct(), [folder, F.length("path"), "path"], HEADERS).select("path", "ord")
-    lines = numbered_lines(texts.join(F.broadcast(page), "path", "left_semi"))
+    headers = files.where(like).select("path").distinct()
+    lines = numbered_lines(texts.where(F.col("text").contains(name)).join(headers, "path", "left_semi"))
     # A macro or an attribute may part the keyword from the name by a line or two.
     bare = F.regexp_replace("text", "//.*$", "")
     from pyspark.sql import Window
@@ -57,7 +56,7 @@ def header_of_type(files: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     keyword = r"(?<![A-Za-z0-9_])(class|struct|enum)(?![A-Za-z0-9_])"
     declared = lines.withColumn("ahead", ahead).where(bare.rlike(keyword) & F.col("ahead").rlike(rf"{keyword}[^;{{:]*{tx.whole_word(name)}\s*(final\s*)?[:{{]"))
     first = declared.groupBy("path").agg(F.min("line").alias("line"))
-    return top(first.join(page, "path").withColumnRenamed("ord", "place"), ["place"], 1).select("path", "line")
+    return top(first, [folder, F.length("path"), "path"], 1).select("path", "line")
 
 
 def member_place_kind(path: Column | str, context: Column | str, name: str) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera import index as ix
 from tessera.engine import Engine
-from tessera.operators import assets
+from tessera.functions import text as tx
+from tessera.operators import assets, places
 from tessera.sources import cpp, packages
 from tessera.sources import files as fs
 
@@ -292,3 +293,10 @@ def test_caches_answer_again_until_forgotten(engine):
     e.forget_config()
     assert data is not e.config_data(root, None)
     assert e.buffer_parents(FILES["Source/Game/Public/Actor.h"])["AMyActor"] == ["UBase"]
+
+
+def test_header_of_a_type_behind_many_that_only_name_it(spark):
+    rows = [(f"G/Classes/Part12{i}.h", f"class UPart12;\nclass UPart12{i}\n{{\n  UPart12* Next;\n}};") for i in range(80)]
+    rows += [("G/Public/MyPart12.h", "struct UPart12\n{\n};"), ("G/Public/Part12.h", "\nclass G_API\n  UPart12 final : public UBase\n{\n};")]
+    files = spark.createDataFrame(rows, "path string, text string").withColumn("filename", tx.file_name("path"))
+    assert [tuple(r) for r in places.header_of_type(files, files, "UPart12").collect()] == [("G/Public/Part12.h", 2)]
