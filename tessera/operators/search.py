@@ -65,12 +65,13 @@ def search_files_ranked(files: DataFrame, pattern: str, limit: int = 100) -> Dat
 
 def grep(texts: DataFrame, pattern: str, limit: int = 100, offset: int = 0, order: Sequence[str] = ("path",)) -> DataFrame:
     """Lines holding the pattern in any case, in order of file and line, as (keys, line
-    from 1, text trimmed).  The pattern is taken as it is, blanks too; empty finds nothing."""
+    from 1, text trimmed).  The pattern is taken as it is, blanks too; empty finds nothing.
+    Where several texts have one key, equal lines of theirs go by length and text."""
     limit = clamp(limit, 100, *TEXT_LIMIT)
     source = texts.where(tx.contains_ci("text", pattern)) if pattern else texts.limit(0)
     lines = source.select(*order, F.posexplode(tx.text_lines("text")).alias("at", "raw"))
     hits = lines.where(tx.contains_ci("raw", pattern)).select(*order, (F.col("at") + 1).alias("line"), tx.strip("raw").alias("text"))
-    return top(hits, [*order, "line"], limit, offset)
+    return top(hits, [*order, "line", F.length("text"), "text"], limit, offset)
 
 
 def found(df: DataFrame, kind: str, name: Column, path: Column, line: Column) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import matching as mt
 from tessera.functions import text as tx
-from tessera.operators import catalog, graph, links, oplog, ordered, usage
+from tessera.operators import catalog, graph, links, oplog, ordered, search, usage
 from tessera.plans import engine_queries, registry  # noqa: F401
 from tessera.streaming import changes
 
@@ -130,6 +130,13 @@ def test_second_stage_runs_only_below_the_threshold(spark, n, stages):
     assert {r.stage for r in catalog.search_files(df, "HIT").collect()} == stages
 
 
+def test_lines_of_texts_with_one_path_have_an_order(spark):
+    rows = [("p", "a longer TRACK(1)"), ("p", "track(3)"), ("p", "track(2)"), ("o", "track(9)")]
+    for given in (rows, rows[::-1]):
+        got = search.grep(spark.createDataFrame(given, "path string, text string"), "track(").orderBy("ord").collect()
+        assert [(r.path, r.line, r.text) for r in got] == [("o", 1, "track(9)"), ("p", 1, "track(2)"), ("p", 1, "track(3)"), ("p", 1, "a longer TRACK(1)")]
+
+
 def test_merge_first_wins(spark):
     first = spark.createDataFrame([("n", "p", 1)], "name string, path string, line int")
     second = spark.createDataFrame([("n", "p", 1), ("n", "p", 2)], "name string, path string, line int")
