@@ -60,7 +60,8 @@ class Engine:
         i = self.index
         start = catalog.find_file(i.files, i.spark.createDataFrame([(path,)], "path string")).join(i.files.select("file_id", F.col("path").alias("node")), "file_id")
         edges = i.includes.select(F.col("path").alias("src"), F.col("resolved").alias("dst"))
-        found = graph.bfs(edges, start.select("node"), None if recursive else 1, include_seeds=False).select(F.col("node").alias("path")).distinct()
+        reached = graph.reachable(edges, start) if recursive else graph.bfs(edges, start, 1, include_seeds=False)
+        found = reached.select(F.col("node").alias("path")).distinct()
         return found.where(~F.lower("path").contains("/engine/")) if game_only else found
 
     def target_files(self) -> DataFrame:

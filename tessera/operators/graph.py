@@ -7,6 +7,10 @@ a lost executor costs one round.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +20,8 @@ from tessera.plans.storage import shared_table
 #: Steps that one round takes before it drops what is known: more of them from a frontier
 #: of few rows, where a round costs more than what it may walk twice.
 HOPS, SMALL_HOPS, SMALL = 3, 8, 20_000
+#: Edges that one task walks through; so many take it about half a gigabyte.
+WALKED = 6_000_000
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, include_seeds: bool = True) -> DataFrame:
@@ -50,6 +56,62 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, includ
     return found if include_seeds else found.where("depth > 0")
 
 
+def reachable(edges: DataFrame, seeds: DataFrame, walked: int = WALKED) -> DataFrame:
+    """(node) of all that the seeds(node) reach over edges(src, dst) by an edge or more; a
+    seed appears where a cycle returns to it or another seed leads to it.
+
+    However deep the graph, up to `walked` edges are walked by one task over numbers that
+    stand for the nodes; more of them go by the rounds of `bfs`.
+    """
+    links = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    links, start = shared_table(links, "edges"), shared_table(seeds.select("node").where("node is not null").distinct(), "seeds")
+    if links.count() > walked:
+        return bfs(links, start, include_seeds=False).select("node").distinct()
+    names = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
+    names = shared_table(names.withColumn("id", F.monotonically_increasing_id()), "nodes")  # kept, as another run numbers otherwise
+    ends = lambda c: names.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id"))
+    numbered = links.join(ends("src"), "src").join(ends("dst"), "dst").select("src_id", "dst_id")
+    asked = start.join(names, "node").select(F.lit(None).cast("long").alias("src_id"), F.col("id").alias("dst_id"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b.column(0).is_valid().to_numpy(zero_copy_only=False), b.column(0).fill_null(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if got:
+            edge, src, dst = (np.concatenate(x) for x in zip(*got, strict=True))
+            got.clear()
+            found = _walk(src[edge], dst[edge], dst[~edge])
+            for at in range(0, len(found), 100_000):
+                yield pa.record_batch([pa.array(found[at : at + 100_000], pa.int64())], names=["id"])
+
+    found = numbered.union(asked).repartition(1).mapInArrow(walk, "id long")
+    return names.join(found, "id").select("node")
+
+
+def _walk(src: np.ndarray, dst: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Nodes that the seeds reach by an edge or more."""
+    order = np.argsort(src, kind="stable")
+    src, dst = src[order], dst[order]
+    del order
+    owners, first = np.unique(src, return_index=True)
+    first, last = first.astype(np.int32), np.append(first[1:], len(src)).astype(np.int32)
+    nodes = np.unique(dst)
+    to = np.searchsorted(nodes, dst).astype(np.int32)  # edges lead to places in `nodes`
+    del src, dst
+    out = np.full(len(nodes), -1, dtype=np.int32)  # and from there to places in `owners`, -1 for none
+    _, at, owner = np.intersect1d(nodes, owners, assume_unique=True, return_indices=True)
+    out[at] = owner
+    seen, open_ = bytearray(len(nodes)), np.flatnonzero(np.isin(owners, seeds)).tolist()
+    del owners
+    first, last, to, out = map(memoryview, (first, last, to, out))  # faster than arrays one by one
+    while open_:
+        at = open_.pop()
+        for n in to[first[at] : last[at]]:
+            if not seen[n]:
+                seen[n] = 1
+                if out[n] >= 0:
+                    open_.append(out[n])
+    return nodes[np.frombuffer(seen, dtype=bool)]
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

@@ -300,3 +300,19 @@ def test_header_of_a_type_behind_many_that_only_name_it(spark):
     rows += [("G/Public/MyPart12.h", "struct UPart12\n{\n};"), ("G/Public/Part12.h", "\nclass G_API\n  UPart12 final : public UBase\n{\n};")]
     files = spark.createDataFrame(rows, "path string, text string").withColumn("filename", tx.file_name("path"))
     assert [tuple(r) for r in places.header_of_type(files, files, "UPart12").collect()] == [("G/Public/Part12.h", 2)]
+
+
+def test_files_of_a_deep_chain_take_few_jobs(engine, spark):
+    from dataclasses import replace
+
+    e, _ = engine
+    n = F.col("id")
+    name = lambda i: F.concat(F.lit("/c/F"), i, F.lit(".h"))
+    made = spark.range(201).select(name(n).alias("path"), tx.file_name(name(n)).alias("filename"), (n + 1000).alias("file_id"), F.lit("/c").alias("directory"))
+    files = e.index.files.limit(0).unionByName(made, allowMissingColumns=True)
+    includes = e.index.includes.limit(0).unionByName(spark.range(200).select(name(n).alias("path"), name(n + 1).alias("resolved")), allowMissingColumns=True)
+    spark.sparkContext.setJobGroup("deep", "deep")
+    found = names(Engine(replace(e.index, files=files, includes=includes)).depend_files("/c/F0.h"), "path")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("deep")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == sorted(f"/c/F{i}.h" for i in range(1, 201)) and len(jobs) < 60

@@ -154,6 +154,18 @@ def test_bfs_with_cycles_depths_and_late_edges(spark):
     assert graph.bfs(long, spark.createDataFrame([(0,)], "node long")).count() == 31
 
 
+def test_reachable_equals_bfs(spark):
+    r = random.Random(5)
+    for n, links_ in ((40, 30), (40, 60), (300, 299)):
+        pairs = [(f"n{r.randrange(n)}", f"n{r.randrange(n)}") for _ in range(links_)] if n < 300 else [(f"n{i}", f"n{i + 1}") for i in range(links_)]
+        edges = spark.createDataFrame(pairs + [(None, "n1"), ("n2", None), pairs[0]], "src string, dst string")
+        seeds = spark.createDataFrame([(pairs[0][0],), (pairs[3][0],), ("unknown",), (None,)], "node string")
+        want = {x.node for x in graph.bfs(edges, seeds, include_seeds=False).collect()}
+        got = [x.node for x in graph.reachable(edges, seeds).collect()]
+        assert len(got) == len(set(got)) and set(got) == want == {x.node for x in graph.reachable(edges, seeds, walked=0).collect()}
+    assert graph.reachable(edges.limit(0), seeds).isEmpty() and graph.reachable(edges, seeds.limit(0)).isEmpty()
+
+
 def test_prefix_roots_and_bindings(spark):
     paths = spark.createDataFrame([("/a/b/c/x.h",), ("/a/bc/x.h",), ("/z",)], "path string")
     roots = spark.createDataFrame([("/a/b",), ("/A/B/C",)], "root string")
