@@ -300,6 +300,38 @@ def test_classifier_and_rules_on_held_out_rows(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, q in truth.items() if q}
 
 
+def test_every_labelled_row_counts_for_the_threshold(spark):
+    """Labels that say nothing, so that the threshold falls where rows lie close."""
+    r = random.Random(8)
+    docs = frame(spark, [(i, prose(i, 50 + i % 90, 30 + i % 300), "s") for i in range(9000)])
+    truth = {i: int(r.random() < 0.95) for i in range(9000)}
+    judged = quality_rules.judge_documents(docs, spark.createDataFrame([(i, q, 0) for i, q in truth.items()], "doc_id long, quality int, toxic int")).collect()
+    learned = [x for x in judged if not x.base_failed and zlib.crc32(str(x.doc_id).encode()) % 3 != 1]
+    good = sorted(x.anomaly for x in learned if truth[x.doc_id])
+    allowed = good[len(good) - 1 - int(quality_rules.GOOD_LOSS * len(good))]
+    threshold = (allowed + min(x.anomaly for x in learned if not truth[x.doc_id] and x.anomaly > allowed)) / 2
+    assert len(judged) == 9000 and len(good) > 3000
+    assert all(x.kept == (not x.base_failed and x.anomaly <= threshold) for x in judged)
+
+
+def test_kth_largest_equals_a_sort(spark):
+    r = random.Random(4)
+    values = [r.choice([r.random(), 0.25, 0.5, 0.5 + 2**-40, r.random() * 1e-9]) for _ in range(400)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for k in (1, 57, 200, 400):
+        assert quality_rules.kth_largest(df, "x", k, 8) == sorted(values, reverse=True)[k - 1]
+
+
+def test_trees_drawn_from_a_table_do_not_depend_on_its_parts(spark):
+    r = random.Random(6)
+    rows = [(i, int(i % 9 > 0), [r.random() for _ in range(3)]) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, y int, rates array<double>")
+    one, two = quality_rules.fit_table(df), quality_rules.fit_table(df.repartition(7))
+    at = np.array([p for *_, p in rows])
+    assert len(one.trees) == 200 and (one.anomaly(at) == two.anomaly(at)).all()
+    assert len({t.cut[0] for t in one.trees}) > 150 and not quality_rules.fit_table(df.where("y = 1")).trees
+
+
 def slow_score(model, raw, bits):
     """The classifier's forward pass in plain Python: one bucket after the other."""
     words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
