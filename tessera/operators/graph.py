@@ -7,7 +7,9 @@ a lost executor costs one round.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,8 @@ from tessera.plans.storage import shared_table
 #: Steps that one round takes before it drops what is known: more of them from a frontier
 #: of few rows, where a round costs more than what it may walk twice.
 HOPS, SMALL_HOPS, SMALL = 3, 8, 20_000
-#: Edges that one task walks through; so many take it about half a gigabyte.
-WALKED = 6_000_000
+#: Edges that one task walks through: 4 bytes each, and at most 9 a node.
+WALKED = 32_000_000
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, include_seeds: bool = True) -> DataFrame:
@@ -65,51 +67,50 @@ def reachable(edges: DataFrame, seeds: DataFrame, walked: int = WALKED) -> DataF
     """
     links = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
     links, start = shared_table(links, "edges"), shared_table(seeds.select("node").where("node is not null").distinct(), "seeds")
-    if links.count() > walked:
+    if (total := links.count()) > walked:
         return bfs(links, start, include_seeds=False).select("node").distinct()
     names = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
-    names = shared_table(names.withColumn("id", F.monotonically_increasing_id()), "nodes")  # kept, as another run numbers otherwise
+    names = shared_table(names.withColumn("at", F.monotonically_increasing_id()), "nodes")  # kept, as another run numbers otherwise
+    part = F.shiftright("at", 33).cast("int")
+    sizes = {r["part"]: r["count"] for r in names.groupBy(part.alias("part")).count().collect()}
+    starts = list(accumulate((sizes.get(i, 0) for i in range(max(sizes, default=0) + 1)), initial=0))
+    names = names.select("node", (F.element_at(F.array(*map(F.lit, starts)), part + 1) + F.col("at").bitwiseAND((1 << 33) - 1)).cast("int").alias("id"))
     ends = lambda c: names.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id"))
     numbered = links.join(ends("src"), "src").join(ends("dst"), "dst").select("src_id", "dst_id")
-    asked = start.join(names, "node").select(F.lit(None).cast("long").alias("src_id"), F.col("id").alias("dst_id"))
+    asked = start.join(names, "node").select(F.lit(None).cast("int").alias("src_id"), F.col("id").alias("dst_id"))
+    nodes = starts[-1]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).is_valid().to_numpy(zero_copy_only=False), b.column(0).fill_null(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if got:
-            edge, src, dst = (np.concatenate(x) for x in zip(*got, strict=True))
-            got.clear()
-            found = _walk(src[edge], dst[edge], dst[~edge])
-            for at in range(0, len(found), 100_000):
-                yield pa.record_batch([pa.array(found[at : at + 100_000], pa.int64())], names=["id"])
-
-    found = numbered.union(asked).repartition(1).mapInArrow(walk, "id long")
+        first, to, seeds, filled = np.zeros(nodes + 1, dtype=np.int32), np.empty(total, dtype=np.int32), array("i"), 0
+        for b in batches:  # in order of src, seeds before all
+            src, dst = b.column(0), b.column(1).to_numpy()
+            seeds.extend(dst[: src.null_count].tolist())
+            own, n = np.unique(src.drop_null().to_numpy(), return_counts=True)
+            first[own + 1] += n.astype(np.int32)
+            edges_here = len(dst) - src.null_count
+            to[filled : filled + edges_here] = dst[src.null_count :]
+            filled += edges_here
+        seen = _walk(np.cumsum(first, out=first), to, seeds)
+        for at in range(0, nodes, 100_000):
+            found = np.flatnonzero(seen[at : at + 100_000]) + at
+            yield pa.record_batch([pa.array(found, pa.int32())], names=["id"])
+
+    found = numbered.union(asked).repartition(1).sortWithinPartitions("src_id").mapInArrow(walk, "id int")
     return names.join(found, "id").select("node")
 
 
-def _walk(src: np.ndarray, dst: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """Nodes that the seeds reach by an edge or more."""
-    order = np.argsort(src, kind="stable")
-    src, dst = src[order], dst[order]
-    del order
-    owners, first = np.unique(src, return_index=True)
-    first, last = first.astype(np.int32), np.append(first[1:], len(src)).astype(np.int32)
-    nodes = np.unique(dst)
-    to = np.searchsorted(nodes, dst).astype(np.int32)  # edges lead to places in `nodes`
-    del src, dst
-    out = np.full(len(nodes), -1, dtype=np.int32)  # and from there to places in `owners`, -1 for none
-    _, at, owner = np.intersect1d(nodes, owners, assume_unique=True, return_indices=True)
-    out[at] = owner
-    seen, open_ = bytearray(len(nodes)), np.flatnonzero(np.isin(owners, seeds)).tolist()
-    del owners
-    first, last, to, out = map(memoryview, (first, last, to, out))  # faster than arrays one by one
+def _walk(first: np.ndarray, to: np.ndarray, seeds: array) -> np.ndarray:
+    """Whether the seeds reach each node by an edge or more; node i leads to the nodes
+    to[first[i]:first[i + 1]].  Opens each node once, each seed once more."""
+    seen, open_ = np.zeros(len(first) - 1, dtype=np.uint8), seeds
+    first, to, marks = map(memoryview, (first, to, seen))  # faster than arrays one by one
     while open_:
         at = open_.pop()
-        for n in to[first[at] : last[at]]:
-            if not seen[n]:
-                seen[n] = 1
-                if out[n] >= 0:
-                    open_.append(out[n])
-    return nodes[np.frombuffer(seen, dtype=bool)]
+        for n in to[first[at] : first[at + 1]]:
+            if not marks[n]:
+                marks[n] = 1
+                open_.append(n)
+    return seen
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
