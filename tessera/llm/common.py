@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans.storage import shared_table
+from tessera.plans.storage import scratch, shared_path, shared_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,7 +85,10 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     Returns (node, root): one row for each node that is not the smallest of its
     component.  Runs until nothing changes; with `rounds`, raises where that many are not
     enough.  Nothing is gathered per node, and edges of a hub are not sent to one task.
+    A round is two plans, with the edges of the large star as a table between them: the
+    small star reads them four times, and as one plan that took much of the driver's memory.
     """
+    spark = edges.sparkSession
     ends = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     now = shared_table(ends.where("u <> v").distinct(), "links")
 
@@ -100,9 +103,12 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         total = 2 * seen[0]
         near = _with_least(both, "a", "b", total).where("b > a")
         large = near.select(F.col("b").alias("u"), F.least("a", "m").alias("v")).distinct()
-        low = _with_least(large, "u", "v", total)
-        small = low.select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
-        now = shared_table(small.distinct(), "links")
+        path = shared_path(spark, "links")
+        with scratch(spark):
+            low = _with_least(shared_table(large, "stars"), "u", "v", total)
+            small = low.select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
+            small.distinct().write.parquet(path)
+        now = spark.read.schema(now.schema).parquet(path)
         before, seen, done = seen, digest(now), done + 1
         if before == seen:
             break

@@ -25,6 +25,9 @@ from tessera.plans.storage import shared_table
 TRAIN_ROWS = 3000
 #: And of these as many, in that order, as fit into so many bytes on the driver.
 TRAIN_BYTES = 64 << 20
+#: Training features lie in arrays of so many numbers: ones of that size go back to the
+#: system when training ends, thousands of small ones would stay with the driver.
+CHUNK = 1 << 23
 FOLDS, HELD_OUT = 3, 1
 _SIZES = (3, 4, 5)
 _SPACES = np.array([b in (0x20, *range(0x09, 0x0E)) for b in range(256)])
@@ -96,10 +99,15 @@ def train(texts: list[bytes], labels: list[int], shape: Shape = Shape()) -> Clas
     vectors = rng.uniform(-1, 1, (shape.buckets, shape.width)).astype(np.float32) / shape.width
     output = np.zeros((shape.width, 2), dtype=np.float32)
     bias = np.zeros(2, dtype=np.float32)
-    docs = []
+    docs, buckets, parts, end = [], np.empty(0, dtype=np.int32), np.empty(0, dtype=np.float32), 0
     for raw in texts:
         bucket, count = np.unique(features(raw, shape.bits), return_counts=True)
-        docs.append((bucket, (count / max(1, count.sum())).astype(np.float32)))
+        start, end = end, end + len(bucket)
+        if end > len(buckets):
+            room = max(CHUNK, len(bucket))
+            buckets, parts, start, end = np.empty(room, dtype=np.int32), np.empty(room, dtype=np.float32), 0, len(bucket)
+        buckets[start:end], parts[start:end] = bucket, count / max(1, count.sum())
+        docs.append((buckets[start:end], parts[start:end]))
     rare = 1 / max(min(np.mean(y == 0), np.mean(y == 1)), 1e-9)
     weight = np.where(y == (np.mean(y) < 0.5), min(3.0, rare / 2), 1.0)
     steps, at = shape.epochs * len(docs), 0

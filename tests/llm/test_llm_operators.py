@@ -272,6 +272,41 @@ def test_components_chain_and_star(spark):
     assert got == {i: 0 for i in range(1, 61)} | {j: 100 for j in range(101, 160)}
 
 
+def test_components_plan_little_at_once(spark):
+    """The driver's memory follows the largest plan of a round."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long")
+    runs = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = runs.executionsCount()
+    common.components(edges)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    seen = runs.executionsList()
+    plans = [seen.apply(i).physicalPlanDescription() for i in range(before, seen.size())]
+    scans = [len(re.findall(r"(?m)^\(\d+\) Scan parquet", plan)) for plan in plans]
+    assert len(plans) > 2 and 0 < max(scans) <= 20
+
+
+def test_training_leaves_the_driver_little_memory():
+    """Arrays of the training features are few and large, whatever the number of texts."""
+    import tracemalloc
+
+    texts = [prose(i, 60, 500).encode() for i in range(300)]
+    small, real = [], quality_classifier.features
+
+    def counted(raw, bits):
+        small.append(sum(1 for x in tracemalloc.take_snapshot().traces if 1000 < x.size < 1 << 20 and "quality_classifier" in x.traceback[0].filename) if len(small) == 299 else 0)
+        return real(raw, bits)
+
+    quality_classifier.features = counted
+    tracemalloc.start()
+    try:
+        quality_classifier.train(texts, [i % 2 for i in range(300)])
+    finally:
+        tracemalloc.stop()
+        quality_classifier.features = real
+    assert max(small) < 30
+
+
 # --- op4, op8 ------------------------------------------------------------------------
 
 
